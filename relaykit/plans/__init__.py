@@ -1,0 +1 @@
+"""Test-plan rows: expansion, sizing and timing."""
