@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from relaykit.functions.variants import lookup
+
 # SQL type of each inferred label.
 LABEL_TYPES = {
     "objectId": "STRING(24)",
@@ -63,11 +65,6 @@ SPARK_TYPES = {
 }
 
 
-def lookup(key: Column, values: dict[str, str]) -> Column:
-    """Value of a small fixed table as an expression, null for an unknown key."""
-    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key)
-
-
 def label_type(
     label: str,
     overrides: dict[str, str] | None = None,

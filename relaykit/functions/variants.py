@@ -24,6 +24,20 @@ ISO_DATE_TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{
 ISO_MAX_LENGTH = 35
 INT32_MAX = 2147483647
 
+# A wrapper's key with the kind of the value it may hold.
+WRAPPER_SIGNATURE = (
+    r"^\$(oid STRING|date .*|timestamp .*|numberInt (STRING|BIGINT)|numberLong (STRING|BIGINT)"
+    r"|numberDouble (STRING|BIGINT|DOUBLE|DECIMAL.*)|numberDecimal STRING)$"
+)
+SCALAR_KINDS = {
+    "VOID": "null", "STRING": "string", "BIGINT": "int32", "DECIMAL": "double", "DOUBLE": "double", "BOOLEAN": "bool",
+}
+
+
+def lookup(key: Column, values: dict[str, str]) -> Column:
+    """Value of a small fixed table as an expression, null for an unknown key."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key)
+
 
 def json_path(names: list[str]) -> str:
     return "$" + "".join(f".{n}" if re.fullmatch(r"[A-Za-z_]\w*", n) else f"['{n}']" for n in names)
@@ -50,33 +64,19 @@ def json_text(value: Column, names: list[str]) -> Column:
 
 def wrapper_label(members: Column) -> Column:
     """Label of a wrapper object, null for any other object. ``members`` is the object as a map."""
-    ladder = F.lit(None).cast("string")
-    for key, label in WRAPPERS.items():
-        holds = F.map_keys(members)[0] == key
-        inner = F.schema_of_variant(F.map_values(members)[0])
-        if key == "$oid":
-            holds &= F.coalesce(get(F.map_values(members)[0], [], "string"), F.lit("")).rlike(HEX24)
-        elif key in ("$numberInt", "$numberLong"):
-            holds &= inner.isin("STRING", "BIGINT")
-        elif key == "$numberDouble":
-            holds &= inner.isin("STRING", "BIGINT", "DOUBLE") | inner.startswith("DECIMAL")
-        elif key == "$numberDecimal":
-            holds &= inner == "STRING"
-        ladder = F.when(holds, F.lit(label)).otherwise(ladder)
-    return F.when(F.size(members) == 1, ladder)
+    key, inner = F.map_keys(members)[0], F.map_values(members)[0]
+    signature = F.concat_ws(" ", key, F.schema_of_variant(inner))
+    fits = signature.rlike(WRAPPER_SIGNATURE) & (
+        (key != "$oid") | F.coalesce(get(inner, [], "string").rlike(HEX24), F.lit(False))
+    )
+    return F.when((F.size(members) == 1) & key.startswith("$") & fits, lookup(key, WRAPPERS))
 
 
 def scalar_kind(value: Column) -> Column:
     """Kind of a value that is neither an object nor an array: null, bool, int32, int64, double or string."""
-    schema = F.schema_of_variant(value)
-    return (
-        F.when(schema == "VOID", "null")
-        .when(schema == "STRING", "string")
-        .when(schema == "BIGINT", F.when(F.abs(get(value, [], "decimal(20,0)")) > INT32_MAX, "int64").otherwise("int32"))
-        .when(schema.startswith("DECIMAL") | (schema == "DOUBLE"), "double")
-        .when(schema == "BOOLEAN", "bool")
-        .otherwise("string")
-    )
+    found = lookup(F.substring_index(F.schema_of_variant(value), "(", 1), SCALAR_KINDS)
+    wide = (found == "int32") & ~get(value, [], "decimal(20,0)").between(-INT32_MAX, INT32_MAX)
+    return F.when(wide, "int64").otherwise(F.coalesce(found, F.lit("string")))
 
 
 def string_label(text: Column) -> Column:
@@ -88,16 +88,17 @@ def string_label(text: Column) -> Column:
     )
 
 
-def kind(value: Column, members: Column, elements: Column) -> Column:
-    """Stored kind of a value: wrappers count as the scalar they stand for; text is always string."""
+def scalar_label(value: Column) -> Column:
+    """Like ``scalar_kind``, but text is split into objectId, date and string."""
+    found = scalar_kind(value)
+    return F.when(found == "string", string_label(get(value, [], "string"))).otherwise(found)
+
+
+def kind(value: Column) -> Column:
+    """Stored kind of any value: wrappers count as the scalar they stand for; text is always string."""
+    members = as_map(value)
     return (
         F.when(members.isNotNull(), F.coalesce(wrapper_label(members), F.lit("object")))
-        .when(elements.isNotNull(), "array")
+        .when(as_array(value).isNotNull(), "array")
         .otherwise(scalar_kind(value))
     )
-
-
-def label(value: Column, members: Column, elements: Column) -> Column:
-    """Inferred label: like ``kind`` but text is split into objectId, date and string."""
-    found = kind(value, members, elements)
-    return F.when(found == "string", string_label(get(value, [], "string"))).otherwise(found)

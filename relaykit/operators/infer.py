@@ -9,6 +9,7 @@ from relaykit.functions import sqltypes, variants
 
 # Order in which labels win when one path carries several; numbers are widened within their group.
 NUMERIC_LABELS = ["decimal", "double", "int64", "int32"]
+SCALAR = "scalar"  # marks a node that is closed but not yet labelled
 ID_LIKE_SHARE = 0.9
 SMALL_ARRAY = 8
 
@@ -29,96 +30,91 @@ def document_depth(docs: DataFrame, doc: str = "doc") -> int:
     return docs.agg(F.max(deepest)).first()[0] or 0
 
 
-def document_nodes(doc: Column, max_depth: int, element_cap: int | None = None) -> Column:
-    """All nodes of one document as ``array<struct<path, label, size>>``, without leaving the row.
+def document_paths(
+    docs: DataFrame, id_col: str = "_id", doc: str = "doc", max_depth: int | None = None, element_cap: int | None = None
+) -> DataFrame:
+    """One row per node: ``[id, path, label, size]``; ``size`` is the length of an array.
 
-    Level by level the open nodes are replaced by themselves, labelled, and their children. Elements stand
-    under ``path[]``; arrays inside arrays are labelled but not entered.
+    Each level replaces an open node by itself and its children, so the whole walk is one chain of narrow
+    generators; scalars are labelled once, at the end. Elements stand under ``path[]``; arrays inside arrays
+    are labelled but not entered.
     """
-    def node(path: Column, label: Column, size: Column, value: Column, inner: Column) -> Column:
-        return F.struct(
-            path.alias("path"), label.alias("label"), size.alias("size"), value.alias("value"), inner.alias("inner")
-        )
-
-    no_text, no_value, no_size = F.lit(None).cast("string"), F.lit(None).cast("variant"), F.lit(None).cast("int")
-    top = variants.as_map(doc)
+    nodes = docs.select(F.col(id_col).alias("id"), F.explode(variants.as_map(F.col(doc))).alias("path", "value")).select(
+        "id", "path", F.lit(None).cast("string").alias("label"), F.lit(None).cast("int").alias("size"), "value"
+    )
+    for _ in range(max_depth or document_depth(docs, doc)):
+        nodes = _open_level(nodes, element_cap)
+    label = F.when(F.col("label") == SCALAR, variants.scalar_label(F.col("value"))).otherwise(F.col("label"))
+    return nodes.select(F.col("id").alias(id_col), "path", label.alias("label"), "size")
+
+
+def _open_level(nodes: DataFrame, element_cap: int | None) -> DataFrame:
+    is_open = F.col("label").isNull()
+    seen = nodes.withColumns(
+        {
+            "members": F.when(is_open, variants.as_map(F.col("value"))),
+            "elements": F.when(is_open, variants.as_array(F.col("value"))),
+        }
+    ).withColumn(
+        "label",
+        F.coalesce(
+            F.col("label"),
+            F.when(F.col("elements").isNotNull(), "array")
+            .when(F.col("members").isNull(), SCALAR)
+            .otherwise(F.coalesce(variants.wrapper_label(F.col("members")), F.lit("object"))),
+        ),
+    )
 
-    def fields(path: Column, members: Column) -> Column:
-        return F.transform(
-            F.map_entries(members),
-            lambda e: node(F.concat(path, e["key"]), no_text, no_size, e["value"], F.lit(False)),
-        )
+    def node(path: Column, label: Column, size: Column, value: Column) -> Column:
+        return F.struct(path.alias("path"), label.alias("label"), size.alias("size"), value.alias("value"))
 
-    def opened(n: Column) -> Column:
-        is_open = n["label"].isNull()
-        return F.struct(
-            n.alias("node"),
-            F.when(is_open, variants.as_map(n["value"])).alias("members"),
-            F.when(is_open, variants.as_array(n["value"])).alias("elements"),
+    no_label, no_size = F.lit(None).cast("string"), F.lit(None).cast("int")
+    elements = F.col("elements") if element_cap is None else F.slice("elements", 1, element_cap)
+    itself = F.array(
+        node(
+            F.col("path"), F.col("label"), F.coalesce("size", F.size("elements")),
+            F.when(F.col("label") == SCALAR, F.col("value")),
         )
-
-    def labelled(o: Column) -> Column:
-        n = o["node"]
-        found = F.coalesce(n["label"], variants.label(n["value"], o["members"], o["elements"]))
-        return F.struct(n.alias("node"), found.alias("label"), o["members"].alias("members"), o["elements"].alias("elements"))
-
-    def spread(o: Column) -> Column:
-        n = o["node"]
-        size = F.coalesce(n["size"], F.when(o["label"] == "array", F.size(o["elements"])))
-        itself = F.array(node(n["path"], o["label"], size, no_value, n["inner"]))
-        elements = o["elements"] if element_cap is None else F.slice(o["elements"], 1, element_cap)
-        children = F.when(
-            (o["label"] == "object") & o["members"].isNotNull(), fields(F.concat(n["path"], F.lit(".")), o["members"])
-        ).when(
-            o["elements"].isNotNull() & ~n["inner"],
+    )
+    with_children = F.when(
+        F.col("members").isNotNull() & (F.col("label") == "object"),
+        F.concat(
+            itself,
             F.transform(
-                elements,
-                lambda x: node(F.concat(n["path"], F.lit("[]")), no_text, no_size, x, F.lit(True)),
+                F.map_entries("members"),
+                lambda e: node(F.concat_ws(".", "path", e["key"]), no_label, no_size, e["value"]),
             ),
-        )
-        return F.concat(itself, F.coalesce(children, F.array().cast("array<struct<path:string,label:string,size:int,value:variant,inner:boolean>>")))
+        ),
+    ).when(
+        F.col("elements").isNotNull() & ~F.col("path").endswith("[]"),
+        F.concat(
+            itself, F.transform(elements, lambda x: node(F.concat_ws("", "path", F.lit("[]")), no_label, no_size, x))
+        ),
+    )
+    return seen.select("id", F.explode(with_children.otherwise(itself)).alias("n")).select("id", "n.*")
 
-    nodes = fields(F.lit(""), top)
-    for _ in range(max(max_depth, 1)):
-        nodes = F.flatten(F.transform(F.transform(F.transform(nodes, opened), labelled), spread))
-    return F.transform(nodes, lambda n: F.struct(n["path"].alias("path"), n["label"].alias("label"), n["size"].alias("size")))
 
+def _per_document(nodes: DataFrame, id_col: str, *keys: str, **counts: Column) -> DataFrame:
+    """Counts nodes by ``keys``, keeping documents apart only where a path can repeat within one document.
 
-def document_paths(
-    docs: DataFrame, id_col: str = "_id", doc: str = "doc", max_depth: int | None = None, element_cap: int | None = None
-) -> DataFrame:
-    """One row per node: ``[id, path, label, size]``; ``size`` is the length of an array."""
-    depth = max_depth or document_depth(docs, doc)
-    return docs.select(
-        F.col(id_col), F.explode(document_nodes(F.col(doc), depth, element_cap)).alias("n")
-    ).select(id_col, "n.path", "n.label", "n.size")
+    A path outside arrays occurs once per document, so those rows collapse on the map side; only paths under
+    an array are shuffled by document, after a partial count.
+    """
+    repeats = F.when(F.col("path").contains("[]"), F.col(id_col))
+    sums = {"n_nodes": F.count(F.lit(1)), **counts}
+    return nodes.groupBy(repeats.alias("_doc"), *keys).agg(*[c.alias(n) for n, c in sums.items()])
 
 
-def path_labels(
-    docs: DataFrame, doc: str = "doc", max_depth: int | None = None, element_cap: int | None = None
-) -> DataFrame:
-    """Documents and nodes per (path, label): ``[path, label, n_docs, n_nodes]``.
+def _documents() -> Column:
+    return F.sum(F.when(F.col("_doc").isNull(), F.col("n_nodes")).otherwise(1))
 
-    Repeats are counted inside the row first, so one small aggregation remains and no distinct over documents.
-    """
-    depth = max_depth or document_depth(docs, doc)
-    nodes = F.transform(
-        document_nodes(F.col(doc), depth, element_cap), lambda n: F.struct(n["path"].alias("path"), n["label"].alias("label"))
-    )
+
+def path_labels(nodes: DataFrame, id_col: str = "_id") -> DataFrame:
+    """Documents and nodes per (path, label) of ``document_paths`` rows: ``[path, label, n_docs, n_nodes]``."""
     return (
-        docs.select(nodes.alias("nodes"))
-        .select(
-            F.explode(
-                F.concat(
-                    F.transform(F.array_distinct("nodes"), lambda n: F.struct(n["path"], n["label"], F.lit(1), F.lit(0))),
-                    F.transform(F.col("nodes"), lambda n: F.struct(n["path"], n["label"], F.lit(0), F.lit(1))),
-                )
-            ).alias("n")
-        )
-        .select("n.*")
-        .toDF("path", "label", "docs", "nodes")
+        _per_document(nodes, id_col, "path", "label")
         .groupBy("path", "label")
-        .agg(F.sum("docs").alias("n_docs"), F.sum("nodes").alias("n_nodes"))
+        .agg(_documents().alias("n_docs"), F.sum("n_nodes").alias("n_nodes"))
     )
 
 
@@ -131,9 +127,9 @@ def merged_label(labels: Column) -> Column:
     return merged.when((F.size(known) == 1) & F.array_contains(known, "bool"), "bool").otherwise("string")
 
 
-def infer_schema(counts: DataFrame) -> DataFrame:
-    """Merged label per path from ``path_labels`` rows: ``[path, label]``."""
-    return counts.groupBy("path").agg(merged_label(F.collect_set("label")).alias("label"))
+def infer_schema(nodes: DataFrame) -> DataFrame:
+    """Merged label per path of ``document_paths`` (or ``path_labels``) rows: ``[path, label]``."""
+    return nodes.groupBy("path").agg(merged_label(F.collect_set("label")).alias("label"))
 
 
 def sql_types(schema: DataFrame, overrides: dict[str, str] | None = None, **defaults) -> DataFrame:
@@ -142,48 +138,30 @@ def sql_types(schema: DataFrame, overrides: dict[str, str] | None = None, **defa
     return schema.withColumn("sql_type", F.coalesce(sqltypes.lookup(F.col("label"), table), F.lit("STRING")))
 
 
-def path_report(docs: DataFrame, doc: str = "doc", max_depth: int | None = None) -> DataFrame:
-    """Presence, nulls and label conflicts per path, over whole documents.
+def path_report(nodes: DataFrame, id_col: str = "_id") -> DataFrame:
+    """Presence, nulls and label conflicts per path of ``document_paths`` rows.
 
     ``n_docs`` documents hold the path, ``n_null`` of its nodes are null, ``conflict`` marks two or more labels.
     """
-    depth = max_depth or document_depth(docs, doc)
-    nodes = document_nodes(F.col(doc), depth)
+    found = _per_document(
+        nodes, id_col, "path", nulls=F.count_if(F.col("label") == "null"), found=F.collect_set("label")
+    )
     return (
-        docs.select(nodes.alias("nodes"))
-        .select(
-            F.explode(
-                F.concat(
-                    F.transform(
-                        F.array_distinct(F.transform(F.col("nodes"), lambda n: n["path"])),
-                        lambda p: F.struct(p, F.lit(None).cast("string"), F.lit(1)),
-                    ),
-                    F.transform(F.col("nodes"), lambda n: F.struct(n["path"], n["label"], F.lit(0))),
-                )
-            ).alias("n")
-        )
-        .select("n.*")
-        .toDF("path", "label", "present")
-        .groupBy("path")
+        found.groupBy("path")
         .agg(
-            F.sum("present").alias("n_docs"),
-            F.count("label").alias("n_nodes"),
-            F.count_if(F.col("label") == "null").alias("n_null"),
-            F.array_sort(F.array_remove(F.collect_set("label"), "null")).alias("labels"),
+            _documents().alias("n_docs"),
+            F.sum("n_nodes").alias("n_nodes"),
+            F.sum("nulls").alias("n_null"),
+            F.array_sort(F.array_remove(F.array_distinct(F.flatten(F.collect_set("found"))), "null")).alias("labels"),
         )
         .withColumn("conflict", F.size("labels") > 1)
         .withColumn("labels", F.array_join("labels", ","))
     )
 
 
-def shape_profile(docs: DataFrame, doc: str = "doc", max_depth: int | None = None) -> DataFrame:
+def shape_profile(nodes: DataFrame) -> DataFrame:
     """Object and array paths with lengths, share of id-like elements and the suggested table shape."""
-    depth = max_depth or document_depth(docs, doc)
-    nodes = (
-        docs.select(F.explode(document_nodes(F.col(doc), depth)).alias("n"))
-        .select("n.*")
-        .withColumn("element", F.col("path").endswith("[]"))
-    )
+    nodes = nodes.withColumn("element", F.col("path").endswith("[]"))
     per_path = nodes.groupBy(F.regexp_replace("path", r"\[\]$", "").alias("path")).agg(
         F.count_if(~F.col("element") & (F.col("label") == "array")).alias("n_arrays"),
         F.count_if(~F.col("element") & (F.col("label") == "object")).alias("n_objects"),
