@@ -16,8 +16,8 @@ SMALL_ARRAY = 8
 
 def document_depth(docs: DataFrame, doc: str = "doc") -> int:
     """Deepest nesting of objects and arrays in any document, counted on the brackets outside strings."""
-    text = F.to_json(F.col(doc))
-    brackets = F.regexp_replace(F.regexp_replace(text, r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+    unescaped = F.regexp_replace(F.to_json(F.col(doc)), r"\\.", "")
+    brackets = F.regexp_replace(F.regexp_replace(unescaped, '"[^"]*"', ""), r"[^\[\]{}]", "")
     steps = F.transform(F.split(brackets, ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
     deepest = F.aggregate(
         steps,

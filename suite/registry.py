@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ["transforms"]
+SECTIONS = ["transforms", "inference"]
 
 
 def all_queries() -> dict:
