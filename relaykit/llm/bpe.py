@@ -17,8 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from relaykit.llm.common import slices
 
 # White space as Unicode's property has it; Python's own \s also takes U+001C to U+001F.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -26,9 +29,10 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 _JOINED_SPACE = re.compile(f"[{_SPACE}] (?: |\\Z)")
 _BORN_WITH_TEXT = -1
 # Bounds of a worker's memory, not of the work: what was forgotten is computed again.
-_KNOWN_BYTES = 120_000_000
-_KNOWN_PAIRS = 600_000
+_KNOWN_BYTES = 50_000_000
+_KNOWN_PAIRS = 400_000
 _SLICE_CHARS = 4_000_000
+_ADDED = StructType.fromDDL("ids binary, n_tokens bigint, decoded binary")
 
 
 def _rust_spaces(pattern: str) -> str:
@@ -235,7 +239,7 @@ def _loaded(name: str) -> list:
     return []
 
 
-def _vocabulary(shared, pattern: str) -> Vocabulary:
+def _vocabulary(shared, pattern: str | None) -> Vocabulary:
     """The worker's own vocabulary, built once for each broadcast and kept over its tasks."""
     kept = _loaded(f"{shared._path if hasattr(shared, '_path') else id(shared)}:{pattern}")
     if not kept:
@@ -243,47 +247,39 @@ def _vocabulary(shared, pattern: str) -> Vocabulary:
     return kept[0]
 
 
-class Codec:
-    """Encodes and decodes columns. The ranks are broadcast: a file of some 50,000 tokens, whatever the data."""
-
-    def __init__(self, spark: SparkSession, path: str, pattern: str):
-        self.shared, self.pattern = spark.sparkContext.broadcast(read_ranks(path)), pattern
-
-    def encode(self, text: Column) -> Column:
-        """Struct of ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens``; a null text counts as empty."""
-        shared, pattern = self.shared, self.pattern
-
-        @F.arrow_udf("struct<ids: binary, n_tokens: bigint>")
-        def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            vocabulary = _vocabulary(shared, pattern)
-            for batch in batches:
-                ids = vocabulary.encode_all([text or "" for text in batch.to_pylist()])
-                counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), counts], ["ids", "n_tokens"])
-
-        return encoded(text)
-
-    def decode(self, ids: Column) -> Column:
-        """The bytes behind packed ids; null stays null. An id that the vocabulary lacks raises KeyError."""
-        shared, pattern = self.shared, self.pattern
-
-        @F.arrow_udf("binary")
-        def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            vocabulary = _vocabulary(shared, pattern)
-            for batch in batches:
-                decoded = (None if packed is None else vocabulary.decode(packed) for packed in batch.to_pylist())
-                yield pa.array(decoded, pa.binary())
-
-        return texts(ids)
-
-
 def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Adds ``ids`` (packed), ``n_tokens`` and ``decoded`` (the bytes that the ids stand for) to every row.
+    """Adds ``ids`` (binary: little-endian unsigned 32-bit), ``n_tokens`` and ``decoded`` (the bytes of the ids) to every row.
 
-    One pass without a shuffle. Null texts count as empty: no ids, 0 tokens. Repeated rows are encoded each.
-    A column that already has one of the new names is replaced.
+    One pass without a shuffle; the ranks (a file of some 50,000 tokens, whatever the data) are broadcast. Null
+    texts count as empty: no ids, 0 tokens. Repeated rows are encoded each; an empty table stays empty. A column
+    that already has one of the new names is replaced.
     """
-    codec = Codec(df.sparkSession, path, pattern)
-    coded = df.withColumn("ids", codec.encode(F.col(text)))
-    coded = coded.withColumn("n_tokens", F.col("ids.n_tokens")).withColumn("ids", F.col("ids.ids"))
-    return coded.withColumn("decoded", codec.decode(F.col("ids")))
+    df = df.drop("ids", "n_tokens", "decoded")
+    shared = df.sparkSession.sparkContext.broadcast(read_ranks(path))
+    place = df.columns.index(text)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _vocabulary(shared, pattern)
+        for batch in batches:
+            for part in slices(batch, place):
+                ids = vocabulary.encode_all([t or "" for t in part.column(place).to_pylist()])
+                counts = [len(x) // 4 for x in ids]
+                back = [vocabulary.decode(x) for x in ids]
+                new = [pa.array(ids, pa.binary()), pa.array(counts, pa.int64()), pa.array(back, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "ids", "n_tokens", "decoded"])
+
+    schema = StructType([*df.schema.fields, *_ADDED.fields])
+    return df.mapInArrow(coded, schema)
+
+
+def decode_ids(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """Adds ``decoded``, the bytes behind packed ids; null stays null. An id that the vocabulary lacks raises KeyError."""
+    shared = df.sparkSession.sparkContext.broadcast(read_ranks(path))
+
+    @F.arrow_udf("binary")
+    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary = _vocabulary(shared, None)
+        for batch in batches:
+            yield pa.array([None if x is None else vocabulary.decode(x) for x in batch.to_pylist()], pa.binary())
+
+    return df.withColumn("decoded", texts(F.col(ids)))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows that hold about ``size`` bytes of a text column; a longer text makes a run alone."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at, total = 0, 0
+    for row, length in enumerate(lengths.tolist()):
+        if row > at and total + length > size:
+            yield batch.slice(at, row - at)
+            at, total = row, 0
+        total += length
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null. Counted without an array: each word shrinks to one character."""
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "a")

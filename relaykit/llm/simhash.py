@@ -159,9 +159,10 @@ def links(fingerprints: DataFrame, most: int = 4) -> DataFrame:
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for members in _whole_groups(batches):
-            a, b = _forest(members, most)
+            # Unsigned: numpy counts the bits of a signed number's absolute value.
+            a, b = _forest(members.view(np.uint64), most)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     sent = fingerprints.select("fingerprint").mapInArrow(spread, "fingerprint bigint, anchor bigint")
     heavy = sent.groupBy("anchor").count().filter(F.col("count") > BLOCK)
