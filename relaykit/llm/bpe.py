@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, LongType, StructType
 
 from relaykit.llm.common import slices
 
@@ -32,7 +32,7 @@ _BORN_WITH_TEXT = -1
 _KNOWN_BYTES = 50_000_000
 _KNOWN_PAIRS = 400_000
 _SLICE_CHARS = 4_000_000
-_ADDED = StructType.fromDDL("ids binary, n_tokens bigint, decoded binary")
+_ADDED = StructType().add("ids", BinaryType()).add("n_tokens", LongType()).add("decoded", BinaryType())
 
 
 def _rust_spaces(pattern: str) -> str:
