@@ -82,7 +82,7 @@ SELECT conv_id, count(*) AS n_turns,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(chars)::BIGINT AS formatted_chars, min(bad) IS NULL AS valid, min(bad)::INTEGER AS first_bad
-FROM g GROUP BY conv_id""".replace("\\\\", "\\")
+FROM g GROUP BY conv_id"""
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
