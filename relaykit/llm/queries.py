@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaykit.llm import bpe, chat, simhash, token_counts, topk
+from relaykit.llm import bpe, chat, mixing, simhash, token_counts, topk, toxicity
 from relaykit.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -85,6 +85,24 @@ SELECT conv_id, count(*) AS n_turns,
 FROM g GROUP BY conv_id"""
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    every = plan.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    return every.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train_on_labels(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, RANKS, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "n_pretokens")
@@ -95,5 +113,7 @@ QUERIES = {
     "op2_bpe": (op2_bpe, None),
     "op4_simhash": (op4_simhash, None),
     "op6_chat_format": (op6_chat_format, OP6_SQL),
+    "op7_mixing": (op7_mixing, None),
+    "op8_toxicity": (op8_toxicity, None),
     "op9_token_counts": (op9_token_counts, None),
 }
