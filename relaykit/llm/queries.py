@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaykit.llm import bpe, chat, mixing, simhash, token_counts, topk, toxicity
+from relaykit.llm import bpe, chat, mixing, simhash, substring, token_counts, topk, toxicity
 from relaykit.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -108,6 +108,28 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, RANKS, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "n_pretokens")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = substring.remove_repeats(docs, window=35)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# Words of valid UTF-8 never split inside a character, so DuckDB's regular expression gives the same ones.
+OP10_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+g AS (SELECT s.r, i, md5(array_to_string(w[i : i + 34], ' ')) AS h FROM s JOIN d USING (r)),
+c AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM g JOIN c USING (h)),
+kept AS (
+    SELECT u.r, count(*) AS n, string_agg(x, ' ' ORDER BY u.p) AS t
+    FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) u
+    LEFT JOIN gone ON gone.r = u.r AND gone.p = u.p WHERE gone.p IS NULL GROUP BY u.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
+
 QUERIES = {
     "op1_voronoi_knn": (op1_voronoi_knn, OP1_SQL),
     "op2_bpe": (op2_bpe, None),
@@ -116,4 +138,5 @@ QUERIES = {
     "op7_mixing": (op7_mixing, None),
     "op8_toxicity": (op8_toxicity, None),
     "op9_token_counts": (op9_token_counts, None),
+    "op10_substring_dedup": (op10_substring_dedup, OP10_SQL),
 }
