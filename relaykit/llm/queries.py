@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaykit.llm import bpe, chat, mixing, simhash, substring, token_counts, topk, toxicity
+from relaykit.llm import bpe, chat, mixing, pii, simhash, substring, token_counts, topk, toxicity
 from relaykit.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -41,6 +41,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(pii.of_kind(base, k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.describe(base), 256).alias("base_sha256"), pii.describe(F.col("spans")).alias("spans"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     added = spark.range(2).select(
@@ -134,6 +141,7 @@ QUERIES = {
     "op1_voronoi_knn": (op1_voronoi_knn, OP1_SQL),
     "op2_bpe": (op2_bpe, None),
     "op4_simhash": (op4_simhash, None),
+    "op5_pii": (op5_pii, None),
     "op6_chat_format": (op6_chat_format, OP6_SQL),
     "op7_mixing": (op7_mixing, None),
     "op8_toxicity": (op8_toxicity, None),
