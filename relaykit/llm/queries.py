@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaykit.llm import bpe, chat, mixing, pii, simhash, substring, token_counts, topk, toxicity
+from relaykit.llm import ann, bpe, chat, mixing, pii, simhash, substring, token_counts, topk, toxicity
 from relaykit.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -36,6 +36,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), most=4, words=4)
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
@@ -140,6 +144,7 @@ FROM d LEFT JOIN kept USING (r)"""
 QUERIES = {
     "op1_voronoi_knn": (op1_voronoi_knn, OP1_SQL),
     "op2_bpe": (op2_bpe, None),
+    "op3_graph_ann": (op3_graph_ann, None),
     "op4_simhash": (op4_simhash, None),
     "op5_pii": (op5_pii, None),
     "op6_chat_format": (op6_chat_format, OP6_SQL),

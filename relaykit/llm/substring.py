@@ -30,6 +30,7 @@ from relaykit.llm.common import cut, slices
 GRAM = 12
 # More contexts than this at one anchor are compared window by window, over many tasks.
 HEAVY = 1_000
+KEY = "_text_key"
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
 
@@ -187,8 +188,19 @@ def _text_key(text: bytes) -> bytes:
     return xxhash.xxh3_128_digest(text)
 
 
-def repeated_windows(docs: DataFrame, window: int = 50, gram: int = GRAM, text: str = "text") -> DataFrame:
-    """``text_key, marks``: for each distinct text with a repeated window, where such windows start.
+def with_text_key(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` and a 128-bit hash of the text; a null text counts as empty."""
+
+    @F.arrow_udf("binary")
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([_text_key((t or "").encode()) for t in batch.to_pylist()], pa.binary())
+
+    return docs.withColumn(KEY, hashed(F.col(text)))
+
+
+def repeated_windows(keyed: DataFrame, window: int = 50, gram: int = GRAM, text: str = "text") -> DataFrame:
+    """``text_key, marks`` of rows with their text key (``with_text_key``): for each distinct text with a repeated window, where such windows start.
 
     ``text_key`` is a 128-bit hash of the text; ``marks`` are pairs of first window and number of windows. A window
     that occurs twice in one text, or once in each of two rows with the same text, is repeated. Texts shorter than a
@@ -207,32 +219,37 @@ def repeated_windows(docs: DataFrame, window: int = 50, gram: int = GRAM, text:
                 columns += [pa.array(found["first"].astype(np.int32)), pa.array(found["n"].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["anchor", "context", "text_key", "first", "n"])
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(
+    rows = keyed.select(F.col(text).alias("text")).mapInArrow(
         cut_up, "anchor bigint, context bigint, text_key binary, first int, n int"
     )
+    # An anchor that occurs once is dropped before anything wider than its hash and a count is shuffled.
+    repeated = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).filter("total > 1").select("anchor")
     # Copies of a text fall together here, before anything is gathered by anchor.
-    places = cut(rows.groupBy("anchor", "context", "text_key", "first", "n").agg(F.count(F.lit(1)).alias("times")))
+    places = cut(
+        rows.join(repeated, "anchor", "left_semi")
+        .groupBy("anchor", "context", "text_key", "first", "n").agg(F.count(F.lit(1)).alias("times"))
+    )
     contexts = places.groupBy("anchor", "context").agg(
         F.sum("times").alias("times"), F.min(F.struct("text_key", "first", "n")).alias("sample")
     )
-    anchors = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants"), F.sum("times").alias("total")).filter("total > 1")
-    known = cut(contexts.join(anchors, "anchor").select("anchor", "context", "times", "variants", "sample.*"))
+    variants = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants"))
+    known = cut(contexts.join(variants, "anchor").select("anchor", "context", "times", "variants", "sample.*"))
     whole = known.filter("variants = 1").select("anchor", "context", F.lit(0).alias("at"), F.col("n").alias("many"))
     unsure = known.filter("variants > 1")
 
-    # The words of one sample of each context in question.
+    # The words of one sample of each context in question. All columns of the keyed rows are kept up to here, so that
+    # this join and the one in remove_repeats share one shuffle of the texts.
     wanted = unsure.groupBy("text_key").agg(F.collect_list(F.struct("anchor", "context", "times", "variants", "first", "n")).alias("parts"))
-    keyed = docs.select(F.coalesce(text, F.lit("")).alias("text"))
-    keyed = keyed.select("text", text_key(F.col("text")).alias("text_key")).join(wanted, "text_key")
-    one = keyed.dropDuplicates(["text_key"]).select("text", "parts")
+    one = keyed.join(wanted.withColumnRenamed("text_key", KEY), KEY).dropDuplicates([KEY])
+    text_at, parts_at = one.columns.index(text), one.columns.index("parts")
 
     def quote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "context", "times", "heavy", "at", "split", "words"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary()]
         for batch in batches:
             out: list[tuple] = []
-            for body, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = body.encode().split()
+            for body, parts in zip(batch.column(text_at).to_pylist(), batch.column(parts_at).to_pylist()):
+                words = (body or "").encode().split()
                 for p in parts:
                     piece = words[p["first"] : p["first"] + p["n"] + window - 1]
                     if p["variants"] <= HEAVY:
@@ -285,15 +302,6 @@ def repeated_windows(docs: DataFrame, window: int = 50, gram: int = GRAM, text:
     )
 
 
-def text_key(text):
-    @F.arrow_udf("binary")
-    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([_text_key(t.encode()) for t in batch.to_pylist()], pa.binary())
-
-    return hashed(text)
-
-
 def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM, text: str = "text") -> DataFrame:
     """Adds ``kept`` (the words left, joined by one space), ``n_words`` and ``n_removed`` to every row.
 
@@ -302,10 +310,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM, text: st
     already have one of the new names are replaced. An empty table stays empty.
     """
     docs = docs.drop("kept", "n_words", "n_removed")
-    marks = repeated_windows(docs, window, gram, text).withColumnRenamed("text_key", "_text_key").withColumnRenamed("marks", "_marks")
     columns = docs.columns
-    keyed = docs.withColumn("_text_key", text_key(F.coalesce(text, F.lit(""))))
-    joined = keyed.join(marks, "_text_key", "left").select(*columns, "_marks")
+    keyed = with_text_key(docs, text)
+    marks = repeated_windows(keyed, window, gram, text)
+    marks = marks.withColumnRenamed("text_key", KEY).withColumnRenamed("marks", "_marks")
+    joined = keyed.join(marks, KEY, "left").select(*columns, "_marks")
     place = columns.index(text)
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
