@@ -18,16 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, kept in the folder of ``spark.checkpoint.dir`` and cut from its lineage.
-
-    Only a local session may lack that setting (tests); it gets a temporary folder.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only a local session may lack it (tests) and gets a temporary one."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="relaykit-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once, kept in the shared folder and cut from its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

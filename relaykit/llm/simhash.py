@@ -180,6 +180,13 @@ def links(fingerprints: DataFrame, most: int = 4) -> DataFrame:
     return dealt.mapInArrow(solve, "a bigint, b bigint")
 
 
+def _classified(marked: DataFrame, most: int) -> DataFrame:
+    """``marked`` (one row per document with ``id`` and ``fingerprint``) with ``component``, a name of the linked group."""
+    groups = cut(marked.select("fingerprint").distinct())
+    parts = connected_components(links(groups, most)).withColumnRenamed("node", "fingerprint")
+    return marked.join(parts, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+
+
 def near_duplicates(
     df: DataFrame, most: int = 4, words: int = 5, text: str = "text", row_id: str = "doc_id"
 ) -> DataFrame:
@@ -191,11 +198,23 @@ def near_duplicates(
     an empty one. Other columns of ``df`` are not read.
     """
     marked = cut(df.select(F.col(row_id).alias("id"), fingerprint(F.col(text), words).alias("fingerprint")))
-    groups = cut(marked.groupBy("fingerprint").agg(F.min("id").alias("first_id")))
-    parts = connected_components(links(groups, most))
-    joined = groups.join(parts.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
-        "component", F.coalesce("component", "fingerprint")
-    )
-    named = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    whole = joined.join(named, "component").select("fingerprint", "component_id")
+    named = _classified(marked.groupBy("fingerprint").agg(F.min("id").alias("first_id")), most)
+    smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    whole = named.join(smallest, "component").select("fingerprint", "component_id")
     return marked.join(whole, "fingerprint").select(F.col("id").alias(row_id), "fingerprint", "component_id")
+
+
+def deduplicate(df: DataFrame, most: int = 4, words: int = 5, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """One row of ``df`` of each group of near duplicates, with all its columns: that of the smallest id.
+
+    Groups as in ``near_duplicates``. A null id counts as the largest; of equal ids the row with the smaller hash of
+    its text stays; rows that agree in id and text are one. Rows are told apart by 96 bits of hashes of both.
+    """
+    keys = (F.xxhash64(row_id, text).alias("_key"), F.hash(text, row_id).alias("_second_key"))
+    marked = cut(df.select(F.col(row_id).alias("id"), fingerprint(F.col(text), words).alias("fingerprint"), *keys))
+    rank = F.struct(F.col("id").isNull(), F.col("id"), F.col("_key"), F.col("_second_key"))
+    first = marked.groupBy("fingerprint").agg(F.min(rank).alias("first"))
+    chosen = _classified(first, most).groupBy("component").agg(F.min("first").alias("first"))
+    chosen = chosen.select("first._key", "first._second_key")
+    kept = df.select("*", *keys).join(chosen, ["_key", "_second_key"], "left_semi")
+    return kept.dropDuplicates(["_key", "_second_key"]).drop("_key", "_second_key")
