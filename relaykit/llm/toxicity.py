@@ -51,7 +51,7 @@ class _WordScores(dict):
 @dataclass(frozen=True)
 class Training:
     # At most about so many labelled documents are learnt from, chosen by a hash of their id.
-    documents: int = 30_000
+    documents: int = 20_000
     # Share of them that calibrates the score and gives no token counts.
     calibration: int = 4
     # Weight of the prior, in tokens; its shape is the frequency of tokens in all training documents.
@@ -237,8 +237,13 @@ def held_out(row_id: Column) -> Column:
     return F.crc32(F.coalesce(row_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def train_on_labels(documents: DataFrame, labels: DataFrame) -> Model:
-    """A model of ``labels.toxic``, from the labelled documents that are not held out."""
-    marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    rows = documents.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(marks, "doc_id")
-    return train(rows)
+def train_on_labels(documents: DataFrame, labels: DataFrame, how: Training = Training()) -> Model:
+    """A model of ``labels.toxic``, from the labelled documents that are not held out.
+
+    The sample is drawn by a hash of the id on both sides, so only its texts meet their labels.
+    """
+    marks = labels.filter("toxic is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
+    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(max(marks.count(), 1))) < how.documents
+    rows = documents.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).filter(chosen)
+    return train(rows.join(marks.filter(chosen), "doc_id"), how=how)
