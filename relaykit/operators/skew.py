@@ -7,40 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A build side of at most this many narrow rows is broadcast; anything larger is shuffled.
-BROADCAST_ROWS = 500_000
-
-
-def join_checked(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Joins a side that is normally tiny: broadcast after counting it, shuffled when it is not tiny.
-
-    The count stops at ``max_rows + 1`` rows, so checking a large side stays cheap.
-    """
-    small = right.limit(max_rows + 1).count() <= max_rows
-    return left.join(F.broadcast(right) if small else right, list(on), how)
-
-
-def split_heavy_groups(df: DataFrame, keys: Sequence[str], max_rows: int, name: str = "part_no") -> DataFrame:
-    """Adds a part number so that no group of ``keys + [name]`` is expected to exceed ``max_rows`` rows.
-
-    Groups within the bound keep part 0. Sizes come from a pre-aggregated count, so a hot key costs one
-    counter per task; its rows are then spread by a hash of the whole row.
-    """
-    keys = list(keys)
-    heavy = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > max_rows)
-        .select(*keys, F.ceil(F.col("_rows") / max_rows).alias("_parts"))
-    )
-    if heavy.isEmpty():
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.coalesce(F.col("_parts"), F.lit(1)))
-    return join_checked(df, heavy, keys, "left").withColumn(name, spread).drop("_parts")
-
-
 def number_in_group(
     df: DataFrame, keys: Sequence[str], order: str, width: int = 1_000_000, name: str = "position"
 ) -> DataFrame:
@@ -59,7 +25,7 @@ def number_in_group(
     )
     in_range = Window.partitionBy(*keys, "_range").orderBy(order)
     return (
-        cut.join(before, [*keys, "_range"])
+        _join_null_safe(cut, before, [*keys, "_range"])
         .withColumn(name, F.col("_before") + F.row_number().over(in_range))
         .drop("_range", "_before")
     )
@@ -81,7 +47,14 @@ def carry_forward(
         .select(*keys, block, F.last("_last", ignorenulls=True).over(earlier).alias("_entering"))
     )
     return (
-        df.join(entering, [*keys, block])
+        _join_null_safe(df, entering, [*keys, block])
         .withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(upto), F.col("_entering")))
         .drop("_entering")
     )
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which a null key equals a null key; the keys stay once."""
+    renamed = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
+    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])

@@ -24,10 +24,13 @@ def build_session(app: str = "relaykit", master: str | None = None, **conf: str)
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for intermediate tables and stream state.
+    """A fresh folder for intermediate tables and stream state, under ``spark.checkpoint.dir``.
 
-    On a cluster it lies under ``spark.checkpoint.dir``, which every executor must reach. Only where
-    that setting is absent (local tests) a temporary folder is used.
+    Every executor must reach it. Only a local session may lack the setting (tests) and gets a temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="relaykit-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="relaykit-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaykit.operators.skew import split_heavy_groups
-
-# An order with more lines than this becomes several documents, as a document store would bound its size.
-MAX_ITEMS = 50_000
-
 LINE_ORDER = [
     "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate",
 ]
@@ -23,12 +18,9 @@ def money(col: str) -> str:
     return f"cast({col} as decimal(18,2))"
 
 
-def object_id(ts: str, key: str, part: str = "0") -> str:
-    """24 hex digits: seconds, part, key. The same text works in both engines but for the hex function."""
-    return (
-        f"lower(concat(lpad(hex(unix_timestamp({ts})), 8, '0'), "
-        f"lpad(hex({part}), 4, '0'), lpad(hex({key}), 12, '0')))"
-    )
+def object_id(ts: str, key: str) -> str:
+    """24 hex digits: seconds, zeros, key."""
+    return f"lower(concat(lpad(hex(unix_timestamp({ts})), 8, '0'), '0000', lpad(hex({key}), 12, '0')))"
 
 
 def object_id_sql(ts: str, key: str) -> str:
@@ -42,8 +34,11 @@ TIER = "element_at(array('BRONZE','SILVER','GOLD','PLATINUM'), cast(o_custkey %
 
 
 def order_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One typed row per order document: ``_id`` text and a ``doc`` struct with customer, items and amounts."""
-    lines = split_heavy_groups(table(spark, sf_dir, "lineitem"), ["l_orderkey"], MAX_ITEMS)
+    """One typed row per order document: ``_id`` text and a ``doc`` struct with customer, items and amounts.
+
+    The lines of an order are one array, so an order must fit into a row, as any document must.
+    """
+    lines = table(spark, sf_dir, "lineitem")
     item = F.expr(
         f"""struct(
             concat('SKU-', l_partkey) as sku,
@@ -54,7 +49,7 @@ def order_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     ordered = F.array_sort(F.collect_list(F.struct(*LINE_ORDER, item.alias("item"))))
     items = (
-        lines.groupBy("l_orderkey", "part_no")
+        lines.groupBy("l_orderkey")
         .agg(
             F.transform(ordered, lambda x: x["item"]).alias("items"),
             F.sum(F.expr(money("l_extendedprice"))).alias("subtotal"),
@@ -68,7 +63,7 @@ def order_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("tax", F.expr("cast(round(subtotal * 0.08, 2) as decimal(18,2))"))
         .withColumn("ship", F.expr("cast(case when subtotal > 100 then 0 else 5.99 end as decimal(18,2))"))
     )
-    oid = object_id("o_orderdate", "o_orderkey", "coalesce(part_no, 0)")
+    oid = object_id("o_orderdate", "o_orderkey")
     return joined.selectExpr(
         f"{oid} as _id",
         f"""struct(
@@ -131,9 +126,9 @@ amounts AS (
 def article_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article documents as ``[_id STRING, doc VARIANT]``: one per conversation, its turns as mixed elements.
 
-    A conversation with more turns than the bound becomes several documents.
+    The turns of a conversation are one array, so a conversation must fit into a row.
     """
-    turns = split_heavy_groups(table(spark, sf_dir, "conversations"), ["conv_id"], MAX_ITEMS)
+    turns = table(spark, sf_dir, "conversations")
     element = F.expr(
         """struct(turn,
             case role when 'user' then 'rich-text' when 'assistant' then 'toggle' else 'image' end as type,
@@ -143,9 +138,9 @@ def article_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             case role when 'assistant' then text end as title,
             case when role not in ('user', 'assistant') then length(text) end as width)"""
     )
-    grouped = turns.groupBy("conv_id", "part_no").agg(F.array_sort(F.collect_list(element)).alias("elements"))
+    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(element)).alias("elements"))
     built = grouped.selectExpr(
-        "lower(concat('66000000', lpad(hex(part_no), 4, '0'), lpad(hex(conv_id), 12, '0'))) as _id",
+        "lower(concat('660000000000', lpad(hex(conv_id), 12, '0'))) as _id",
         """concat(
              '{"title":"Article ', conv_id, '","elements":',
              to_json(elements), ',"orderRef":"', lower(lpad(hex(conv_id * 7), 24, '0')),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ["transforms", "inference"]
+SECTIONS = ["transforms", "inference", "orders"]
 
 
 def all_queries() -> dict:
