@@ -79,7 +79,7 @@ def w_line_price(spark, sf_dir):
     discounts = t["customers"].selectExpr("c_id", "c_id % 20 / 64D as c_discount")
     items = t["items"].selectExpr("i_id", "cast(i_price as double) as i_price")
     priced = w.price_lines(t["lines"], items, taxes, discounts)
-    return doubles(priced.groupBy("o_key").agg(F.sum(F.expr("cast(round(amount, 4) as decimal(18,4))")).alias("amount")), "amount")
+    return doubles(priced.groupBy("o_key").agg((F.sum(F.expr("cast(floor(amount * 10000 + 0.5D) as bigint)")) / 10000).alias("amount")), "amount")
 
 
 def w_assign_order_ids(spark, sf_dir):
@@ -155,8 +155,8 @@ QUERIES = {
     ),
     "w_line_price": (
         w_line_price,
-        BASE + f"""SELECT o_key, CAST(sum(CAST(round(ol_quantity * CAST({money('p_retailprice')} AS DOUBLE) * (1 + l.w_id / 128.0::DOUBLE + l.d_id / 256.0::DOUBLE)
-            * (1 - l.c_id % 20 / 64.0::DOUBLE), 4) AS DECIMAL(18,4))) AS DOUBLE) AS amount
+        BASE + f"""SELECT o_key, sum(CAST(floor((ol_quantity * CAST({money('p_retailprice')} AS DOUBLE) * (1 + l.w_id / 128.0::DOUBLE + l.d_id / 256.0::DOUBLE)
+            * (1 - l.c_id % 20 / 64.0::DOUBLE)) * 10000 + 0.5) AS BIGINT))::BIGINT / 10000 AS amount
         FROM l JOIN part ON p_partkey = i_id JOIN c ON c.c_id = l.c_id GROUP BY o_key""",
     ),
     "w_stock_update": (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ["transforms", "inference", "orders"]
+SECTIONS = ["transforms", "inference", "orders", "records"]
 
 
 def all_queries() -> dict:
