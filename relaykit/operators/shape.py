@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from relaykit.functions import naming, sqltypes, variants
 
+# Key column type of each id strategy.
 ID_TYPES = {"rowid": "INT8", "uuid": "UUID", "use_objectid": "STRING(24)", "natural": "STRING"}
 
 
@@ -51,8 +52,11 @@ class Table:
     families: dict[str, list[str]] = field(default_factory=dict)
 
     def add(self, column: TableColumn) -> None:
-        if all(c.name != column.name for c in self.columns):
-            self.columns.append(column)
+        """Appends a column. A name that another path has taken gets the next free number."""
+        if any(c.name == column.name and c.path == column.path and c.role == column.role for c in self.columns):
+            return
+        *_, column.name = naming.unique_names([*[c.name for c in self.columns], column.name])
+        self.columns.append(column)
 
 
 @dataclass
@@ -188,8 +192,13 @@ class _Planner:
         return self.mapping
 
     def place(self, node: _Node, table: Table, below: str, depth: int) -> None:
-        if node.element is not None:
+        if node.element is not None and (node.fields or node.label not in (None, "array")):
+            # An array in some documents, something else in others: kept whole, so nothing is lost.
+            table.add(self.column(node, below, sql_type="JSON"))
+        elif node.element is not None:
             self.place_array(node, table, below)
+        elif node.fields and node.label not in (None, "object"):
+            table.add(self.column(node, below, sql_type="JSON"))
         elif node.fields:
             self.place_object(node, table, below, depth)
         elif node.path in self.references and table.kind == "base":
@@ -431,7 +440,18 @@ def table_rows(docs: DataFrame, mapping: Mapping, table: Table, id_col: str = "_
     for c in table.columns:
         if c.generated:
             shaped = shaped.withColumn(c.name, F.expr(c.generated).cast(sqltypes.spark_type(c.sql_type)))
-    return shaped.dropDuplicates(table.key) if table.kind == "shared" else shaped
+    return first_by_key(shaped, table.key) if table.kind == "shared" else shaped
+
+
+def first_by_key(df: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key: the smallest by all columns in order, so reruns agree. ``shared_conflicts`` lists the others."""
+    best = df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in key]).agg(F.min(F.struct(*df.columns)).alias("row"))
+    return best.select("row.*")
+
+
+def shared_conflicts(df: DataFrame, key: list[str]) -> DataFrame:
+    """Keys of a shared table that documents describe differently, with the number of descriptions."""
+    return df.distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
 
 
 def shape_documents(docs: DataFrame, mapping: Mapping, id_col: str = "_id", doc: str = "doc") -> dict[str, DataFrame]:
@@ -453,16 +473,17 @@ def _label_of(sql: str) -> str:
 
 
 def conversion_failures(docs: DataFrame, mapping: Mapping, table: Table, id_col: str = "_id", doc: str = "doc") -> DataFrame:
-    """Values present in the source that do not fit their column: ``[source, column, value]``."""
+    """Values present in the source that do not fit their column, too long texts among them: ``[source, column, value]``."""
     rows, _ = _rows(docs, table, id_col, doc)
     checks = []
     for c in table.columns:
         if c.role != "field" or c.path is None or c.sql_type == "JSON":
             continue
         steps = _steps(c.path)
-        lost = variants.json_text(F.col("_row"), steps).isNotNull() & typed_value(
-            F.col("_row"), steps, c.label, c.sql_type
-        ).isNull()
+        value = typed_value(F.col("_row"), steps, c.label, c.sql_type)
+        length = re.fullmatch(r"STRING\((\d+)\)", c.sql_type)
+        bad = value.isNull() | (F.length(value) > int(length[1])) if length else value.isNull()
+        lost = variants.json_text(F.col("_row"), steps).isNotNull() & bad
         checks.append(
             F.when(lost, F.struct(F.lit(c.name).alias("column"), variants.json_text(F.col("_row"), steps).alias("value")))
         )
@@ -477,8 +498,9 @@ def resolve_references(
     """Fills ``column`` of the child with the key of the parent whose legacy id it names; null is an orphan.
 
     The parent is reduced to its two id columns, so Spark broadcasts it when that is small and shuffles otherwise.
+    Of several parents with one legacy id the smallest key counts, so no child row is multiplied.
     """
-    ids = parent.select(F.col(parent_legacy).alias(legacy), F.col(parent_id).alias("_resolved"))
+    ids = parent.groupBy(F.col(parent_legacy).alias(legacy)).agg(F.min(parent_id).alias("_resolved"))
     joined = child.join(ids, legacy, "left")
     return joined.withColumn(column, F.col("_resolved")).select(*child.columns, *([] if column in child.columns else [column]))
 

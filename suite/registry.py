@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ["transforms", "inference", "orders", "records"]
+SECTIONS = ["transforms", "inference", "shape", "orders", "records"]
 
 
 def all_queries() -> dict:
