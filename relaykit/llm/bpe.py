@@ -29,9 +29,9 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 _JOINED_SPACE = re.compile(f"[{_SPACE}] (?: |\\Z)")
 _BORN_WITH_TEXT = -1
 # Bounds of a worker's memory, not of the work: what was forgotten is computed again.
-_KNOWN_BYTES = 50_000_000
-_KNOWN_PAIRS = 400_000
-_SLICE_CHARS = 4_000_000
+_KNOWN_BYTES = 24_000_000
+_KNOWN_PAIRS = 200_000
+_SLICE_CHARS = 2_000_000
 _ADDED = StructType().add("ids", BinaryType()).add("n_tokens", LongType()).add("decoded", BinaryType())
 
 

@@ -37,8 +37,8 @@ def _fingerprint(text: str | None, words: int, seed: int) -> int:
     last = max(1, len(found) - words + 1)
     digest = xxhash.xxh64_intdigest
     ones = np.zeros(64, np.int64)
-    for at in range(0, last, 65536):
-        shingles = [b" ".join(found[i : i + words]) for i in range(at, min(at + 65536, last))]
+    for at in range(0, last, 16384):
+        shingles = [b" ".join(found[i : i + words]) for i in range(at, min(at + 16384, last))]
         hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64, len(shingles))
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = (2 * ones > last).astype(np.uint8)
@@ -152,8 +152,8 @@ def links(fingerprints: DataFrame, most: int = 4) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(values), 20_000):
-                part = values[at : at + 20_000]
+            for at in range(0, len(values), 4_000):
+                part = values[at : at + 4_000]
                 row, key = anchors(part, most)
                 yield pa.RecordBatch.from_arrays([pa.array(part[row]), pa.array(key)], ["fingerprint", "anchor"])
 

@@ -28,7 +28,7 @@ from relaykit.llm.common import cut, slices
 TOKEN = re.compile(r"[^\W\d_]+")
 # A word also counts by its beginnings, as abuse is inflected.
 STEMS = (4, 5, 6)
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 150_000
 
 
 def features(word: str) -> list[str]:
