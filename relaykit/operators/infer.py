@@ -10,8 +10,6 @@ from relaykit.functions import sqltypes, variants
 # Order in which labels win when one path carries several; numbers are widened within their group.
 NUMERIC_LABELS = ["decimal", "double", "int64", "int32"]
 SCALAR = "scalar"  # marks a node that is closed but not yet labelled
-ID_LIKE_SHARE = 0.9
-SMALL_ARRAY = 8
 
 
 def document_depth(docs: DataFrame, doc: str = "doc") -> int:
@@ -37,14 +35,18 @@ def document_paths(
 
     Each level replaces an open node by itself and its children, so the whole walk is one chain of narrow
     generators; scalars are labelled once, at the end. Elements stand under ``path[]``; arrays inside arrays
-    are labelled but not entered.
+    are labelled but not entered. The number of levels is the depth of the documents, counted in one extra pass unless
+    ``max_depth`` gives it; a container at that depth is labelled as such and not entered. ``max_depth`` 0 or None: all.
     """
     nodes = docs.select(F.col(id_col).alias("id"), F.explode(variants.as_map(F.col(doc))).alias("path", "value")).select(
         "id", "path", F.lit(None).cast("string").alias("label"), F.lit(None).cast("int").alias("size"), "value"
     )
     for _ in range(max_depth or document_depth(docs, doc)):
         nodes = _open_level(nodes, element_cap)
-    label = F.when(F.col("label") == SCALAR, variants.scalar_label(F.col("value"))).otherwise(F.col("label"))
+    # What the walk left open lies at the depth bound: still a container, or a scalar.
+    container = F.when(variants.as_array(F.col("value")).isNotNull(), "array").when(variants.as_map(F.col("value")).isNotNull(), "object")
+    closed = F.coalesce(F.col("label"), container if max_depth else F.lit(None).cast("string"), F.lit(SCALAR))
+    label = F.when(closed == SCALAR, variants.scalar_label(F.col("value"))).otherwise(closed)
     return nodes.select(F.col("id").alias(id_col), "path", label.alias("label"), "size")
 
 
@@ -159,8 +161,11 @@ def path_report(nodes: DataFrame, id_col: str = "_id") -> DataFrame:
     )
 
 
-def shape_profile(nodes: DataFrame) -> DataFrame:
-    """Object and array paths with lengths, share of id-like elements and the suggested table shape."""
+def shape_profile(nodes: DataFrame, id_share: float = 0.9, small_array: int = 8) -> DataFrame:
+    """Object and array paths with lengths, share of id-like elements and the suggested table shape.
+
+    Arrays with at least ``id_share`` ids become junction tables; scalar arrays of at most ``small_array`` stay JSON.
+    """
     nodes = nodes.withColumn("element", F.col("path").endswith("[]"))
     per_path = nodes.groupBy(F.regexp_replace("path", r"\[\]$", "").alias("path")).agg(
         F.count_if(~F.col("element") & (F.col("label") == "array")).alias("n_arrays"),
@@ -178,14 +183,21 @@ def shape_profile(nodes: DataFrame) -> DataFrame:
         .withColumn(
             "suggestion",
             F.when(F.col("n_arrays") == 0, "columnize")
-            .when(ids >= ID_LIKE_SHARE, "junction_table")
+            .when(ids >= id_share, "junction_table")
             .when(F.col("n_element_objects") > 0, "child_table")
-            .when(F.coalesce("max_length", F.lit(0)) <= SMALL_ARRAY, "jsonb")
+            .when(F.coalesce("max_length", F.lit(0)) <= small_array, "jsonb")
             .otherwise("child_table"),
         )
     )
 
 
-def collect_labels(schema: DataFrame) -> dict[str, str]:
-    """The merged schema on the driver: one entry per path, so bounded by the shape of the documents."""
-    return {row["path"]: row["label"] for row in schema.collect()}
+def collect_labels(schema: DataFrame, most: int = 100_000) -> dict[str, str]:
+    """The merged schema on the driver, one entry per path.
+
+    More than ``most`` paths raise ValueError: then field names are data (ids as names), and such an object should be
+    read as a map.
+    """
+    rows = schema.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} paths: some object uses its field names as data")
+    return {row["path"]: row["label"] for row in rows}

@@ -168,31 +168,39 @@ def edit_path(df: DataFrame, path: str, edit: Edit, max_matches: int | None = No
     """Replaces every value the path matches by ``edit(value, type)``."""
     first, *rest = parse_path(path)
     known = field_type(df.schema, [Step(first.name)])
-    if known is None and (rest or first.is_array):
+    if max_matches == 0 or (known is None and (rest or first.is_array)):
         return df
     child = F.col(f"`{first.name}`") if known is not None else F.lit(None)
     cap = _Cap(max_matches) if max_matches is not None else None
     return df.withColumn(first.name, _edit_child(child, known, first, rest, edit, cap, F.lit(0)))
 
 
-def _drop(df: DataFrame, steps: list[Step]) -> DataFrame:
+def _drop(df: DataFrame, steps: list[Step], max_matches: int | None = None) -> DataFrame:
+    """Drops what the path matches; of array elements the first ``max_matches``. A struct that loses its only field goes too."""
     *parents, last = steps
-    if field_type(df.schema, steps) is None:
+    if max_matches == 0 or field_type(df.schema, steps) is None:
         return df
     if last.is_array:
-        keep = (lambda x, i: F.lit(False)) if last.each else (lambda x, i: i != last.index)
+        if last.each:
+            cap = max_matches
+            keep = (lambda x, i: F.lit(False)) if cap is None else (lambda x, i: i >= cap)
+        else:
+            keep = lambda x, i: i != last.index
         path = _text([*parents, Step(last.name)])
         return edit_path(df, path, lambda v, t: F.filter(v, keep))
     if not parents:
         return df.drop(last.name)
-    return edit_path(df, _text(parents), lambda v, t: v.dropFields(f"`{last.name}`"))
+    holder = field_type(df.schema, parents)
+    if isinstance(holder, T.StructType) and len(holder.fields) == 1:
+        return _drop(df, parents, max_matches)
+    return edit_path(df, _text(parents), lambda v, t: v.dropFields(f"`{last.name}`"), max_matches)
 
 
 def _text(steps: list[Step]) -> str:
     return ".".join(s.name + ("[]" if s.each else f"[{s.index}]" if s.index is not None else "") for s in steps)
 
 
-def _rename(df: DataFrame, path: str, to: str) -> DataFrame:
+def _rename(df: DataFrame, path: str, to: str, max_matches: int | None = None) -> DataFrame:
     old, new = parse_path(path), parse_path(to)
     if old == new or field_type(df.schema, old) is None:
         return df
@@ -208,11 +216,29 @@ def _rename(df: DataFrame, path: str, to: str) -> DataFrame:
             value = _field(value, name)
         return value
 
+    def kept(known, value: Column, present: Callable[[], Column]) -> Column:
+        """A source that is null leaves an existing target as it is."""
+        return value if known is None else F.coalesce(value, present().try_cast(_type_of(df, old)))
+
     if common == 0:
-        moved = _put(df, target, take(None))
+        moved = _put(df, target, kept(field_type(df.schema, new), take(None), lambda: read_path(to)))
         return _drop(moved, old)
-    moved = edit_path(df, _text(old[:common]), lambda v, t: _put_field(v, t, target, take(v)))
-    return _drop(moved, old)
+
+    def place(v: Column, t: T.DataType) -> Column:
+        def present() -> Column:
+            value = v
+            for name in target:
+                value = value[name]
+            return value
+
+        return _put_field(v, t, target, kept(field_type(df.schema, new), take(v), present))
+
+    moved = edit_path(df, _text(old[:common]), place, max_matches)
+    return _drop(moved, old, max_matches)
+
+
+def _type_of(df: DataFrame, steps: list[Step]) -> T.DataType:
+    return field_type(df.schema, steps)
 
 
 def _put(df: DataFrame, names: list[str], value: Column) -> DataFrame:
@@ -245,19 +271,20 @@ def to_decimal(value: Column, scale: int | None = None) -> Column:
     """Decimal rounded half up; null for text that is no number."""
     if scale is None:
         return value.cast("string").try_cast("decimal(38,9)")
-    return F.round(value.cast("string").try_cast("decimal(38,18)"), scale).cast(f"decimal(38,{scale})")
+    # One digit more than asked for would round twice; a cast to the target type rounds half up once.
+    return value.cast("string").try_cast(f"decimal(38,{scale})")
 
 
 def to_timestamp(value: Column, fmt: str | None = None, fmt_regex: str | None = None, zone: str = "UTC") -> Column:
     """Instant of a date-time text: the given format if its guard matches, else ISO with or without an offset."""
     text = F.btrim(value.cast("string"), F.lit(BLANKS))
     zoned = F.when(text.rlike(ZONED_STAMP), text.try_cast("timestamp"))
-    local = F.when(text.rlike(LOCAL_STAMP), text.try_cast("timestamp_ntz"))
-    iso = F.coalesce(zoned, F.convert_timezone(F.lit(zone), F.lit("UTC"), local).cast("timestamp"))
+    # Wall-clock time moves from its zone to the session's, in which a cast reads it: the same instant in any session.
+    instant = lambda wall: F.convert_timezone(F.lit(zone), F.current_timezone(), wall).cast("timestamp")
+    iso = F.coalesce(zoned, instant(F.when(text.rlike(LOCAL_STAMP), text.try_cast("timestamp_ntz"))))
     if not fmt:
         return iso
-    parsed = F.try_to_timestamp(text, F.lit(fmt))
-    custom = F.coalesce(zoned, F.to_utc_timestamp(parsed, zone))
+    custom = F.coalesce(zoned, instant(F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")))
     return F.when(text.rlike(f"^(?:{fmt_regex})$"), custom).otherwise(iso) if fmt_regex else custom
 
 
@@ -327,9 +354,9 @@ def apply_transform(df: DataFrame, spec: dict, max_matches: int | None = None) -
         return df
     steps = parse_path(path)
     if op == "drop":
-        return _drop(df, steps)
+        return _drop(df, steps, max_matches)
     if op == "rename":
-        return _rename(df, path, args["to"]) if args.get("to") else df
+        return _rename(df, path, args["to"], max_matches) if args.get("to") else df
     if op == "coalesce":
         sources = [read_path(p) for p in args.get("values", []) if field_type(df.schema, parse_path(p)) is not None]
 
@@ -338,6 +365,9 @@ def apply_transform(df: DataFrame, spec: dict, max_matches: int | None = None) -
 
         return edit_path(df, path, first, max_matches)
     if op == "default_if_missing":
+        # An absent parent, or an array that is not there, has nothing to fill.
+        if (len(steps) > 1 and field_type(df.schema, steps[:-1]) is None) or (steps[-1].is_array and field_type(df.schema, steps) is None):
+            return df
         value = F.lit(args.get("value"))
         return edit_path(
             df, path, lambda v, t: F.coalesce(v, value if isinstance(t, T.NullType) else value.cast(t)), max_matches
@@ -349,7 +379,11 @@ def apply_transform(df: DataFrame, spec: dict, max_matches: int | None = None) -
             else F.lit("")
             for p in args.get("paths", [])
         ]
-        return edit_path(df, path, lambda v, t: F.concat_ws(args.get("sep") or "", *parts), max_matches)
+        if field_type(df.schema, steps) is None:
+            return df
+        joined = F.concat_ws(args.get("sep") or "", *parts)
+        # Only a value that is there is replaced.
+        return edit_path(df, path, lambda v, t: F.when(v.isNotNull(), joined), max_matches)
     if field_type(df.schema, steps) is None:
         return df
     if op == "mask":
@@ -401,18 +435,25 @@ def transform_stats(df: DataFrame, specs: list[dict], max_matches: int | None =
 def cast_failures(df: DataFrame, specs: list[dict], key: str) -> DataFrame:
     """Values that a cast, decimal, uuid or timestamp transform turns to null: ``[key, op, path, value]``."""
     lost = []
-    for spec in active(specs):
+    for n, spec in enumerate(active(specs)):
         edit = _value_edit(spec["op"], spec.get("args") or {})
         dtype = field_type(df.schema, parse_path(spec["path"]))
-        if dtype is None or spec["op"] not in ("cast", "to_uuid", "to_decimal", "to_timestamp"):
-            continue
-        bad = F.filter(_all(None, parse_path(spec["path"])), lambda v: v.isNotNull() & edit(v, dtype).isNull())
-        lost.append(
-            F.transform(
-                F.coalesce(bad, F.array().cast(T.ArrayType(dtype))),
-                lambda v: F.struct(
-                    F.lit(spec["op"]).alias("op"), F.lit(spec["path"]).alias("path"), v.cast("string").alias("value")
-                ),
-            )
-        )
+        if dtype is not None and spec["op"] in ("cast", "to_uuid", "to_decimal", "to_timestamp"):
+            df = df.withColumn(f"_failed{n}", _failed(spec, edit, dtype))
+            lost.append(f"_failed{n}")
+        # Each transform is looked at on the rows as it finds them.
+        df = apply_transform(df, spec)
+    if not lost:
+        return df.select(key, F.lit(None).cast(FAILURE).alias("f")).filter(F.lit(False)).select(key, "f.*")
     return df.select(key, F.explode(F.concat(*lost)).alias("f")).select(key, "f.*")
+
+
+FAILURE = "struct<op:string,path:string,value:string>"
+
+
+def _failed(spec: dict, edit: Edit, dtype: T.DataType) -> Column:
+    bad = F.filter(_all(None, parse_path(spec["path"])), lambda v: v.isNotNull() & edit(v, dtype).isNull())
+    return F.transform(
+        F.coalesce(bad, F.array().cast(T.ArrayType(dtype))),
+        lambda v: F.struct(F.lit(spec["op"]).alias("op"), F.lit(spec["path"]).alias("path"), v.cast("string").alias("value")),
+    )

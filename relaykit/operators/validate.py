@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,18 +29,41 @@ def _join(path: Column | None, name: str) -> Column:
     return F.lit(name) if path is None else F.concat_ws(".", path, F.lit(name))
 
 
-def _value_checks(value: Column, schema: dict, path: Column | None) -> Column:
-    here = F.lit("") if path is None else path
-    kind = variants.kind(value)
-    text = F.coalesce(
-        *[variants.get(value, [w], "string") for w in ("$numberDecimal", "$numberLong", "$numberInt", "$numberDouble")],
-        variants.get(value, [], "string"),
-    )
+KEYWORDS = {
+    "bsonType", "pattern", "enum", "minimum", "minItems", "maxItems", "required", "properties", "additionalProperties", "items", "title", "description",
+}
+
+
+def check_schema(schema: dict, path: str = "") -> None:
+    """Raises ValueError for a keyword or type name that is not supported, so that no rule is passed over."""
+    where = f" at {path}" if path else ""
+    if unknown := set(schema) - KEYWORDS:
+        raise ValueError(f"unknown schema keywords {sorted(unknown)}{where}")
+    if unknown := set(_names(schema)) - set(TYPE_KINDS):
+        raise ValueError(f"unknown types {sorted(unknown)}{where}")
+    if not isinstance(schema.get("additionalProperties", True), bool):
+        raise ValueError(f"additionalProperties must be true or false{where}")
+    for name, inner in schema.get("properties", {}).items():
+        check_schema(inner, f"{path}.{name}".lstrip("."))
+    if "items" in schema:
+        check_schema(schema["items"], f"{path}[]")
+
+
+def _names(schema: dict) -> list[str]:
+    declared = schema.get("bsonType", [])
+    return [declared] if isinstance(declared, str) else list(declared)
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, so that an expression grows with the schema and no faster."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _value_checks(node: Column, schema: dict, here: Column) -> Column:
+    kind, text = node["kind"], node["text"] if {"pattern", "enum", "minimum"} & set(schema) else None
     tests: list[tuple[str, Column]] = []
-    declared = schema.get("bsonType")
-    if declared:
-        names = [declared] if isinstance(declared, str) else declared
-        tests.append(("bsonType", ~kind.isin([TYPE_KINDS[n] for n in names])))
+    if "bsonType" in schema:
+        tests.append(("bsonType", ~kind.isin([TYPE_KINDS[n] for n in _names(schema)])))
     if "pattern" in schema:
         tests.append(("pattern", (kind == "string") & ~text.rlike(schema["pattern"])))
     if "enum" in schema:
@@ -46,43 +71,56 @@ def _value_checks(value: Column, schema: dict, path: Column | None) -> Column:
     if "minimum" in schema:
         tests.append(("minimum", kind.isin("int32", "int64", "double", "decimal") & (text.try_cast("decimal(38,9)") < schema["minimum"])))
     if "minItems" in schema:
-        tests.append(("minItems", F.size(variants.as_array(value)) < schema["minItems"]))
+        tests.append(("minItems", F.size(node["elements"]) < schema["minItems"]))
     if "maxItems" in schema:
-        tests.append(("maxItems", F.size(variants.as_array(value)) > schema["maxItems"]))
+        tests.append(("maxItems", F.size(node["elements"]) > schema["maxItems"]))
     return F.array_compact(F.array(*[F.when(test, _broken(here, rule)) for rule, test in tests])) if tests else _none()
 
 
+def _node(value: Column, schema: dict) -> Column:
+    """What the tests of this schema read of a value, and no more: each part is a walk through the variant."""
+    parts = {"value": value, "kind": variants.kind(value)}
+    if {"pattern", "enum", "minimum"} & set(schema):
+        wrapped = ["$numberDecimal", "$numberLong", "$numberInt", "$numberDouble"] if "minimum" in schema or "enum" in schema else []
+        parts["text"] = F.coalesce(*[variants.get(value, [w], "string") for w in wrapped], variants.get(value, [], "string"))
+    if "required" in schema or "additionalProperties" in schema:
+        parts["members"] = variants.as_map(value)
+    if {"items", "minItems", "maxItems"} & set(schema):
+        parts["elements"] = variants.as_array(value)
+    return F.struct(*[column.alias(name) for name, column in parts.items()])
+
+
 def _check(value: Column, schema: dict, path: Column | None) -> Column:
-    parts = [_value_checks(value, schema, path)]
-    members = variants.as_map(value)
+    return _once(
+        value, lambda v: F.when(v.isNull(), _none()).otherwise(_once(_node(v, schema), lambda node: _node_checks(node, schema, path)))
+    )
+
+
+def _node_checks(node: Column, schema: dict, path: Column | None) -> Column:
+    parts = [_value_checks(node, schema, F.lit("") if path is None else path)]
+    value = node["value"]
     required = [
-        F.when(members.isNotNull() & variants.get(value, [name], "variant").isNull(), _broken(_join(path, name), "required"))
+        F.when(node["members"].isNotNull() & variants.get(value, [name], "variant").isNull(), _broken(_join(path, name), "required"))
         for name in schema.get("required", [])
     ]
     if required:
         parts.append(F.array_compact(F.array(*required)))
     properties = schema.get("properties", {})
     if schema.get("additionalProperties") is False:
-        unknown = F.array_except(F.map_keys(members), F.array(*[F.lit(n) for n in properties]))
-        named = F.transform(
-            unknown,
-            lambda n: _broken(n if path is None else F.concat_ws(".", path, n), "additionalProperties"),
-        )
+        unknown = F.array_except(F.map_keys(node["members"]), F.array(*[F.lit(n) for n in properties]))
+        named = F.transform(unknown, lambda n: _broken(n if path is None else F.concat_ws(".", path, n), "additionalProperties"))
         parts.append(F.coalesce(named, _none()))
     for name, inner in properties.items():
-        child = variants.get(value, [name], "variant")
-        parts.append(F.when(child.isNotNull(), _check(child, inner, _join(path, name))).otherwise(_none()))
+        parts.append(_check(variants.get(value, [name], "variant"), inner, _join(path, name)))
     if "items" in schema:
-        found = F.transform(
-            variants.as_array(value),
-            lambda x, i: _check(x, schema["items"], F.format_string("%s[%d]", path, i)),
-        )
+        found = F.transform(node["elements"], lambda x, i: _check(x, schema["items"], F.format_string("%s[%d]", path, i)))
         parts.append(F.coalesce(F.flatten(found), _none()))
     return F.concat(*[p.cast(VIOLATIONS) for p in parts])
 
 
 def document_violations(doc: Column, schema: dict) -> Column:
-    """All broken rules of one document as ``array<struct<path, rule>>``."""
+    """All broken rules of one document as ``array<struct<path, rule>>``; an unsupported schema raises ValueError."""
+    check_schema(schema)
     return _check(doc, schema, None)
 
 
@@ -91,114 +129,14 @@ def violations(docs: DataFrame, schema: dict, id_col: str = "_id", doc: str = "d
     return docs.select(id_col, F.explode(document_violations(F.col(doc), schema)).alias("v")).select(id_col, "v.*")
 
 
-def split_valid(docs: DataFrame, schema: dict, level: str = "strict", doc: str = "doc") -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected); the ``moderate`` level accepts all documents and only reports."""
+def outcomes(docs: DataFrame, schema: dict, level: str = "strict", doc: str = "doc") -> DataFrame:
+    """Adds ``violations`` and ``outcome`` (accepted or rejected) in one pass; the ``moderate`` level accepts all."""
     checked = docs.withColumn("violations", document_violations(F.col(doc), schema))
-    if level == "moderate":
-        return checked, checked.filter(F.lit(False))
-    clean = F.size("violations") == 0
-    return checked.filter(clean).drop("violations"), checked.filter(~clean)
-
-
-# Declared schema of the order and article collections.
-ORDER_SCHEMA = {
-    "bsonType": "object",
-    "additionalProperties": False,
-    "required": ["orderId", "customer", "items", "currency", "amounts", "status", "shipping", "createdAt", "updatedAt", "version"],
-    "properties": {
-        "_id": {"bsonType": "objectId"},
-        "orderId": {"bsonType": "string", "pattern": "^ORD-[A-Z0-9-]{8,}$"},
-        "customer": {
-            "bsonType": "object", "additionalProperties": False, "required": ["id", "email"],
-            "properties": {
-                "id": {"bsonType": "string"},
-                "email": {"bsonType": "string", "pattern": r"^[^@\s]+@[^@\s]+\.[^@\s]+$"},
-                "name": {"bsonType": "string"},
-                "loyaltyTier": {"bsonType": "string", "enum": ["BRONZE", "SILVER", "GOLD", "PLATINUM"]},
-            },
-        },
-        "items": {
-            "bsonType": "array", "minItems": 1,
-            "items": {
-                "bsonType": "object", "additionalProperties": False, "required": ["sku", "qty", "unitPrice"],
-                "properties": {
-                    "sku": {"bsonType": "string"},
-                    "name": {"bsonType": "string"},
-                    "qty": {"bsonType": "int", "minimum": 1},
-                    "unitPrice": {"bsonType": "decimal", "minimum": 0},
-                    "discount": {"bsonType": ["decimal", "null"], "minimum": 0},
-                },
-            },
-        },
-        "currency": {"bsonType": "string", "enum": ["USD", "EUR", "GBP"]},
-        "amounts": {
-            "bsonType": "object", "additionalProperties": False, "required": ["subtotal", "tax", "shipping", "total"],
-            "properties": {n: {"bsonType": "decimal", "minimum": 0} for n in ("subtotal", "tax", "shipping", "total")},
-        },
-        "status": {"bsonType": "string", "enum": ["NEW", "PAID", "SHIPPED", "DELIVERED", "CANCELLED"]},
-        "shipping": {
-            "bsonType": "object", "additionalProperties": False, "required": ["address", "location"],
-            "properties": {
-                "address": {
-                    "bsonType": "object", "additionalProperties": False, "required": ["line1", "city", "country", "postalCode"],
-                    "properties": {
-                        "line1": {"bsonType": "string"},
-                        "line2": {"bsonType": ["string", "null"]},
-                        "city": {"bsonType": "string"},
-                        "region": {"bsonType": ["string", "null"]},
-                        "country": {"bsonType": "string", "pattern": "^[A-Z]{2}$"},
-                        "postalCode": {"bsonType": "string"},
-                    },
-                },
-                "location": {
-                    "bsonType": "object", "additionalProperties": False, "required": ["type", "coordinates"],
-                    "properties": {
-                        "type": {"bsonType": "string", "enum": ["Point"]},
-                        "coordinates": {"bsonType": "array", "minItems": 2, "maxItems": 2, "items": {"bsonType": "double"}},
-                    },
-                },
-            },
-        },
-        "tags": {"bsonType": "array", "items": {"bsonType": "string"}},
-        "metadata": {"bsonType": "object"},
-        "payment": {
-            "bsonType": "object", "additionalProperties": False,
-            "properties": {
-                "method": {"bsonType": "string", "enum": ["CARD", "PAYPAL", "WIRE"]},
-                "last4": {"bsonType": ["string", "null"], "pattern": "^[0-9]{4}$"},
-            },
-        },
-        "createdAt": {"bsonType": "date"},
-        "updatedAt": {"bsonType": "date"},
-        "version": {"bsonType": "int", "minimum": 1},
-    },
-}
+    bad = F.lit(level != "moderate") & (F.size("violations") > 0)
+    return checked.withColumn("outcome", F.when(bad, "rejected").otherwise("accepted"))
 
-ARTICLE_SCHEMA = {
-    "bsonType": "object",
-    "additionalProperties": True,
-    "required": ["title", "elements", "published", "lastEditedAt"],
-    "properties": {
-        "_id": {"bsonType": "objectId"},
-        "title": {"bsonType": "string"},
-        "orderRef": {"bsonType": "objectId"},
-        "team": {"bsonType": ["objectId", "null"]},
-        "faqCollection": {"bsonType": ["objectId", "null"]},
-        "published": {"bsonType": "bool"},
-        "lastEditedAt": {"bsonType": "date"},
-        "html": {"bsonType": ["string", "null"]},
-        "elements": {
-            "bsonType": "array", "minItems": 1,
-            "items": {
-                "bsonType": "object", "additionalProperties": True,
-                "properties": {
-                    "type": {"bsonType": "string"},
-                    "id": {"bsonType": ["int", "long", "double", "string"], "pattern": "^[0-9]+$"},
-                    "_id": {"bsonType": "objectId"},
-                    **{n: {"bsonType": "string"} for n in ("html", "url", "justify", "title", "child", "fontFamily", "fontWeight", "textColor", "linkColor")},
-                    **{n: {"bsonType": ["int", "long", "double"]} for n in ("width", "fontSizePx")},
-                },
-            },
-        },
-    },
-}
+
+def write_outcomes(docs: DataFrame, schema: dict, path: str, level: str = "strict", doc: str = "doc") -> None:
+    """Both outcomes as Parquet in one pass: folders ``outcome=accepted`` and ``outcome=rejected`` of a shared path; documents as JSON."""
+    checked = outcomes(docs, schema, level, doc)
+    checked.withColumn(doc, F.to_json(doc)).write.partitionBy("outcome").mode("overwrite").parquet(path)

@@ -21,11 +21,6 @@ def parse_documents(lines: DataFrame, text: str = "value") -> DataFrame:
     )
 
 
-def unparsed_documents(lines: DataFrame, text: str = "value") -> DataFrame:
-    """Rows whose text is not JSON, for quarantine."""
-    return lines.filter(F.col(text).isNotNull() & F.try_parse_json(F.col(text)).isNull())
-
-
 def read_documents(spark: SparkSession, path: str, filters: dict | None = None) -> DataFrame:
     """A folder of JSON lines as documents, with a filter document applied."""
     docs = parse_documents(spark.read.text(path))
@@ -67,16 +62,30 @@ def _read(doc: Column, names: list[str], like) -> Column:
             *[variants.get(doc, [*names, k], "decimal(38,9)") for k in keys],
             F.when(numeric, variants.get(doc, names, "decimal(38,9)")),
         )
-    return F.coalesce(
-        variants.get(doc, [*names, "$oid"], "string"), variants.get(doc, [*names, "$date"], "string"),
-        variants.get(doc, names, "string"),
-    )
+    if isinstance(like, _Date):
+        millis = F.timestamp_millis(variants.get(doc, [*names, "$date", "$numberLong"], "bigint"))
+        texts = [variants.get(doc, [*names, *rest], "string").try_cast("timestamp") for rest in (["$date"], [])]
+        return F.coalesce(millis, *texts)
+    return F.coalesce(variants.get(doc, [*names, "$oid"], "string"), variants.get(doc, names, "string"))
+
+
+class _Date(str):
+    """A date literal: compared as an instant, not as text."""
 
 
 def _literal(value):
-    if isinstance(value, dict):
-        (value,) = value.values()
-    return value
+    if not isinstance(value, dict):
+        return value
+    ((kind, inner),) = value.items()
+    if kind != "$date":
+        return int(inner) if kind in ("$numberInt", "$numberLong") else float(inner) if kind in ("$numberDouble", "$numberDecimal") else inner
+    return _Date(inner["$numberLong"] if isinstance(inner, dict) else inner)
+
+
+def _bound(value) -> Column:
+    if not isinstance(value, _Date):
+        return F.lit(value)
+    return F.timestamp_millis(F.lit(int(value))) if value.lstrip("-").isdigit() else F.lit(str(value)).cast("timestamp")
 
 
 def _test(doc: Column, names: list[str], op: str, value) -> Column:
@@ -90,10 +99,10 @@ def _test(doc: Column, names: list[str], op: str, value) -> Column:
         if value is None:
             same = raw.isNull() | F.is_variant_null(raw)
         else:
-            same = F.coalesce(_read(doc, names, _literal(value)) == F.lit(_literal(value)), F.lit(False))
+            same = F.coalesce(_read(doc, names, _literal(value)) == _bound(_literal(value)), F.lit(False))
         return same if op == "$eq" else ~same
     read = _read(doc, names, _literal(value))
-    bound = F.lit(_literal(value))
+    bound = _bound(_literal(value))
     tests = {"$gt": read > bound, "$gte": read >= bound, "$lt": read < bound, "$lte": read <= bound}
     if op not in tests:
         raise ValueError(f"unknown filter operator {op}")

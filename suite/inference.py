@@ -5,19 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from relaykit.operators import infer, validate
-from suite.inputs import ORDER_OID, order_documents, order_structs, table
-
-_labels: dict[tuple, dict[str, str]] = {}
-
-
-def learned(spark, sf_dir, docs_of) -> dict[str, str]:
-    """Merged labels of a document input, inferred once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, docs_of.__name__)
-    if key not in _labels:
-        nodes = infer.document_paths(docs_of(spark, sf_dir))
-        _labels[key] = infer.collect_labels(infer.infer_schema(nodes))
-    return _labels[key]
-
+from suite.inputs import ORDER_OID, article_documents, order_documents, order_structs, table
+from suite.schemas import ARTICLE_SCHEMA, ORDER_SCHEMA
 
 # Paths of an order document that every document has once, with their labels.
 ORDER_PATHS = {
@@ -108,12 +97,18 @@ def broken_orders(spark, sf_dir):
 
 
 def validate_docs(spark, sf_dir):
-    return validate.violations(broken_orders(spark, sf_dir), validate.ORDER_SCHEMA)
+    return validate.violations(broken_orders(spark, sf_dir), ORDER_SCHEMA)
 
 
 def validate_split(spark, sf_dir):
-    good, bad = validate.split_valid(broken_orders(spark, sf_dir), validate.ORDER_SCHEMA)
-    return good.select("_id", F.lit("accepted").alias("outcome")).unionByName(bad.select("_id", F.lit("rejected").alias("outcome")))
+    return validate.outcomes(broken_orders(spark, sf_dir), ORDER_SCHEMA).select("_id", "outcome")
+
+
+def validate_articles(spark, sf_dir):
+    """Every fourth article lacks its title; all name their order by plain text where an object id is declared."""
+    docs = article_documents(spark, sf_dir)
+    bad = docs.withColumn("doc", F.when(F.conv(F.right("_id", F.lit(12)), 16, 10).cast("bigint") % 4 == 0, F.parse_json(F.regexp_replace(F.to_json("doc"), '"title":"Article', '"name":"Article'))).otherwise(F.col("doc")))
+    return validate.violations(bad, ARTICLE_SCHEMA).groupBy("path", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 BROKEN = f"""SELECT {ORDER_OID} AS _id, path, rule FROM (
@@ -134,9 +129,11 @@ MERGE_SQL = """SELECT path, CASE WHEN bool_or(label = 'object') THEN 'object' WH
 QUERIES = {
     "infer_paths": (lambda spark, sf_dir: infer.path_labels(infer.document_paths(order_documents(spark, sf_dir))), ORDER_LABELS),
     "infer_paths_capped": (
-        lambda spark, sf_dir: infer.path_labels(infer.document_paths(order_documents(spark, sf_dir), element_cap=5)).filter("path = 'items[].sku'"),
-        """SELECT 'items[].sku' AS path, 'string' AS label, count(*) AS n_docs, CAST(sum(least(n, 5)) AS BIGINT) AS n_nodes
-           FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)""",
+        lambda spark, sf_dir: infer.path_labels(infer.document_paths(order_documents(spark, sf_dir), element_cap=5)).filter("path like '%[]%' and path not like '%discount'"),
+        f"""SELECT p AS path, lb AS label, count(*) AS n_docs, CAST(sum(least(n, 5)) AS BIGINT) AS n_nodes
+           FROM (VALUES {_rows(ITEM_PATHS)}) v(p, lb), (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) GROUP BY 1, 2
+           UNION ALL SELECT 'shipping.location.coordinates[]', 'double', count(*), 2 * count(*) FROM orders
+           UNION ALL SELECT 'tags[]', 'string', count(*), count(*) FROM orders WHERE o_orderpriority = '1-URGENT'""",
     ),
     "infer_paths_props": (
         lambda spark, sf_dir: infer.path_labels(
@@ -190,6 +187,10 @@ QUERIES = {
             UNION ALL SELECT 'tags', count(*), 0, count(*) FILTER (o_orderpriority = '1-URGENT'), 1, round(count(*) FILTER (o_orderpriority = '1-URGENT') / count(*), 4), 0.0, 'jsonb' FROM orders""",
     ),
     "validate_docs": (validate_docs, BROKEN),
+    "validate_articles": (
+        validate_articles,
+        "SELECT 'title' AS path, 'required' AS rule, count(*) AS n FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 4 = 0 UNION ALL SELECT 'orderRef', 'bsonType', count(DISTINCT conv_id) FROM conversations",
+    ),
     "validate_split": (
         validate_split,
         f"SELECT {ORDER_OID} AS _id, CASE WHEN {ORDER_OID} IN (SELECT _id FROM ({BROKEN})) THEN 'rejected' ELSE 'accepted' END AS outcome FROM orders",
