@@ -15,6 +15,7 @@ Context runs cut every document's windows into disjoint sets, so an automaton co
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -185,18 +186,15 @@ def _repeats(contexts: list[tuple[list, int]], window: int) -> list[list[int]]:
 
 
 def _text_key(text: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(text)
+    return hashlib.md5(text, usedforsecurity=False).digest()
 
 
 def with_text_key(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` and a 128-bit hash of the text; a null text counts as empty."""
 
-    @F.arrow_udf("binary")
-    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([_text_key((t or "").encode()) for t in batch.to_pylist()], pa.binary())
-
-    return docs.withColumn(KEY, hashed(F.col(text)))
+    keyed = docs.withColumn(KEY, F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    # Never null; said here so that every join on the key starts from the same rows and can share their shuffle.
+    return keyed.filter(F.col(KEY).isNotNull())
 
 
 def repeated_windows(keyed: DataFrame, window: int = 50, gram: int = GRAM, text: str = "text") -> DataFrame:
@@ -211,7 +209,7 @@ def repeated_windows(keyed: DataFrame, window: int = 50, gram: int = GRAM, text:
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0, 2_000_000):
+            for part in slices(batch, 0, 1_000_000):
                 texts = [(t or "").encode() for t in part.column(0).to_pylist()]
                 found = _contexts(texts, window, gram)
                 keys = np.array([_text_key(t) for t in texts], dtype=object)
