@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -169,13 +169,18 @@ def candidates(text: Column) -> Column:
     for kind, pattern in WIDER.items():
         hint = (F.instr(body, "at") > 0) if kind == "email" else numbered
         out.append(_described(kind, _find(body, pattern, hint), False))
-    every = F.concat(*out)
-    bases = F.filter(every, lambda s: s["base"])
-    # Few wider candidates stand in one text beside base ones; only then the spans are compared.
-    apart = F.filter(
-        every, lambda s: s["base"] | ~F.exists(bases, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    )
-    return F.sort_array(F.when(F.size(bases) > 0, apart).otherwise(every))
+    return _once(F.concat(*out), lambda every: _once(F.filter(every, lambda s: s["base"]), lambda bases: _apart(every, bases)))
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _apart(every: Column, bases: Column) -> Column:
+    """All base spans, and the others that overlap none of them, in order. Few wider ones stand beside base ones in a text."""
+    free = lambda s: s["base"] | ~F.exists(bases, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return F.sort_array(F.filter(every, free))
 
 
 def _described(kind: str, spans: Column, base: bool) -> Column:
@@ -271,7 +276,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     Where spans overlap, the later one goes from the end of the earlier one. A null text stays null.
     """
     model = train(cut(df.select(candidates(F.col(text)).alias("spans"))))
-    searched = df.withColumn("_pii_spans", accepted(candidates(F.col(text)), model))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(state: Column, s: Column) -> Column:
         mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
@@ -281,9 +286,10 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
             F.concat(state["parts"], F.array(plain, F.when(s["end"] > state["at"], mark).otherwise(""))).alias("parts"),
         )
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    done = F.aggregate(
-        "_pii_spans", start, step,
-        lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col(text), s["at"] + 1, F.length(text))),
-    )
-    return searched.withColumn(text, F.when(F.size("_pii_spans") > 0, done).otherwise(F.col(text))).drop("_pii_spans")
+    def rest(state: Column) -> Column:
+        return F.concat(F.array_join(state["parts"], ""), F.substring(F.col(text), state["at"] + 1, F.length(text)))
+
+    def replaced(spans: Column) -> Column:
+        return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(F.col(text))
+
+    return df.withColumn(text, _once(accepted(candidates(F.col(text)), model), replaced))
