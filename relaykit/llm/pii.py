@@ -62,27 +62,35 @@ def _running(lengths: Column) -> Column:
             lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.concat(s["all"], F.array(s["sum"] + x)).alias("all")),
         )["all"]
 
-    numbers = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _CHUNK).cast("int"))
-    chunks = F.transform(numbers, lambda c: fold(F.slice(lengths, c * _CHUNK + 1, F.lit(_CHUNK))))
-    ends = F.transform(chunks, lambda c: F.element_at(c, -1))
-    before = F.concat(F.array(F.lit(0)), fold(ends))
-    lifted = F.zip_with(chunks, F.slice(before, F.lit(1), F.size(chunks)), lambda c, b: F.transform(c, lambda x: x + b))
-    return F.flatten(lifted)
+    def chunked(values: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _CHUNK).cast("int"))
+        return F.transform(numbers, lambda c: fold(F.slice(values, c * _CHUNK + 1, F.lit(_CHUNK))))
+
+    def lifted(chunks: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), fold(F.transform(chunks, lambda c: F.element_at(c, -1))))
+        pairs = F.zip_with(chunks, F.slice(before, F.lit(1), F.size(chunks)), lambda c, b: F.struct(c.alias("c"), b.alias("b")))
+        return F.flatten(F.transform(pairs, lambda p: F.transform(p["c"], lambda x: x + p["b"])))
+
+    return _once(lengths, lambda values: _once(chunked(values), lifted))
 
 
 def _find(text: Column, pattern: str, hint: Column) -> Column:
     """``start, end, match, before`` of every match, in code points; ``before`` is up to 32 characters of text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(
-        F.slice(gaps, F.lit(1), F.size(found)), found,
-        lambda g, m: F.struct((F.length(g) + F.length(m)).alias("step"), m.alias("match"), F.right(g, F.lit(32)).alias("before")),
-    )
-    ends = _running(F.transform(steps, lambda s: s["step"]))
-    spans = F.zip_with(
-        ends, steps,
-        lambda e, s: F.struct((e - F.length(s["match"])).alias("start"), e.alias("end"), s["match"].alias("match"), s["before"].alias("before")),
-    )
+
+    def steps(matched: Column) -> Column:
+        return F.zip_with(
+            F.slice(matched["gaps"], F.lit(1), F.size(matched["found"])), matched["found"],
+            lambda g, m: F.struct((F.length(g) + F.length(m)).alias("step"), m.alias("match"), F.right(g, F.lit(32)).alias("before")),
+        )
+
+    def placed(each: Column) -> Column:
+        return F.zip_with(
+            _running(F.transform(each, lambda s: s["step"])), each,
+            lambda e, s: F.struct((e - F.length(s["match"])).alias("start"), e.alias("end"), s["match"].alias("match"), s["before"].alias("before")),
+        )
+
+    matches = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    spans = _once(matches, lambda c: _once(steps(c), placed))
     nothing = F.array().cast("array<struct<start: int, end: int, match: string, before: string>>")
     return F.when(hint & F.rlike(text, F.lit(pattern)), spans).otherwise(nothing)
 
