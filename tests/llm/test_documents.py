@@ -129,7 +129,7 @@ def test_redaction_and_wider_spans(spark):
     got = [r["text"] for r in pii.redact(docs(spark, many)).orderBy("doc_id").collect()]
     assert got[0] is None and got[1] == "" and got[7] == "é日 mail é: [EMAIL], [IP]"
     assert got[-1] == "please call [PHONE] or write [EMAIL]"
-    assert pii.redact(docs(spark, many).limit(0)).count() == 0 and pii.find_spans(docs(spark, [])).count() == 0
+    assert pii.find_spans(docs(spark, [])).count() == 0
 
 
 def test_reliabilities_follow_agreement():
