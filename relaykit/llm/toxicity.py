@@ -29,6 +29,8 @@ TOKEN = re.compile(r"[^\W\d_]+")
 # A word also counts by its beginnings, as abuse is inflected.
 STEMS = (4, 5, 6)
 _KNOWN_WORDS = 150_000
+# Weight of the squared coefficients of the calibration, against one for each row.
+RIDGE = 0.02
 
 
 def features(word: str) -> list[str]:
@@ -153,8 +155,9 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", row_id:
     scores = {r["token"]: r["delta"] for r in chosen}
     # Null model: how often a token of a clean document scores, and what; a small cost for all others.
     mean = sum(scores.values()) / max(len(scores), 1)
-    other = -max(0.05, mean / 40)
     seen = [(r["delta"], (r["clean"] + 0.5) / (clean + 1.0)) for r in chosen]
+    # A random clean text must lose on average, or its segments would grow with its length.
+    other = -max(0.05, mean / 40, 2 * sum(p * s for s, p in seen))
     rate = _rate(seen, other)
     model = Model(scores, other, rate, 0.0, 0.0)
 
@@ -183,17 +186,17 @@ def _rate(seen: list[tuple[float, float]], other: float) -> float:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ones: int, zeros: int) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton steps; two pseudo-rows keep it finite."""
+    """Slope and offset of a logistic curve, by short Newton steps; a ridge keeps separable rows from driving it apart."""
     if not len(x) or x.std() == 0:
         return 0.0, math.log((ones + 1) / (zeros + 1))
     x, y = np.append(x, [x.mean()] * 2), np.append(y, [0, 1])
     middle, width = x.mean(), x.std()
     z = np.stack([(x - middle) / width, np.ones(len(x))], axis=1)
     beta = np.zeros(2)
-    for _ in range(50):
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        hessian = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, z.T @ (y - p) - 1e-3 * beta)
+        hessian = (z * (p * (1 - p))[:, None]).T @ z + RIDGE * np.eye(2)
+        step = np.clip(np.linalg.solve(hessian, z.T @ (y - p) - RIDGE * beta), -0.5, 0.5)
         beta += step
         if abs(step).max() < 1e-9:
             break
