@@ -26,7 +26,9 @@ from relaykit.llm.common import slices
 # White space as Unicode's property has it; Python's own \s also takes U+001C to U+001F.
 _SPACE = "\t-\r \x85\xa0  -     　"
 # Where this occurs, the white space of two neighbouring space-separated chunks belongs to one match.
-_JOINED_SPACE = re.compile(f"[{_SPACE}] (?: |\\Z)")
+_JOINED_SPACE = re.compile(f"[{_SPACE}] (?:[{_SPACE}]|\\Z)")
+# All other spaces.
+_CUT = re.compile(f"(?<![{_SPACE}]) | (?![{_SPACE}]|\\Z)")
 _BORN_WITH_TEXT = -1
 # Bounds of a worker's memory, not of the work: what was forgotten is computed again.
 _KNOWN_BYTES = 24_000_000
@@ -175,16 +177,17 @@ class Vocabulary:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Token ids of whole texts as little-endian unsigned 32-bit integers.
 
-        Each match of the pattern is encoded by itself. No match spans the border before a single space, so texts
-        are cut there, and each distinct chunk is matched and encoded once. A plain chunk stands for itself with
-        the space before it; a tuple holds text without one.
+        Each match of the pattern is encoded by itself. No match spans the border before a space, unless white space
+        is on both sides of that space or it ends the text; so texts are cut at all others, and each distinct chunk
+        is matched and encoded once. A plain chunk stands for itself with the space before it; a tuple holds text
+        without one.
         """
         out, at = [], 0
         while at < len(texts):
             cut, size = [], 0
             while at < len(texts) and (not cut or size + len(texts[at]) <= _SLICE_CHARS):
                 text = texts[at]
-                chunks = [text] if _JOINED_SPACE.search(text) else text.split(" ")
+                chunks = _CUT.split(text) if _JOINED_SPACE.search(text) else text.split(" ")
                 chunks[0] = (chunks[0],)
                 cut.append(chunks)
                 size += len(text)

@@ -29,6 +29,17 @@ def test_equals_the_library(text):
     assert VOCABULARY.decode(packed).decode() == text
 
 
+@pytest.mark.parametrize("text", ["a \xa0 \xa0 b", "a" + "\xa0 " * 4, "\xa0 \xa0 \xa0 \xa0", " \xa0 \xa0 ", "a \u3000 \n \xa0b", "x \n y \xa0 z   ", "\xa0 " * 9 + "b  c \xa0"])
+def test_alternating_white_space_is_one_match(text):
+    assert ids(VOCABULARY.encode(text)) == LIBRARY.encode_ordinary(text)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="ab1! \xa0\n\t\r\u3000\x1c'", max_size=14))
+def test_dense_white_space_equals_the_library(text):
+    assert ids(VOCABULARY.encode(text)) == LIBRARY.encode_ordinary(text)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.binary(max_size=40).map(lambda b: bytes(97 + x % 8 for x in b)), st.integers(0, 40), st.integers(0, 6), st.binary(max_size=5).map(lambda b: bytes(97 + x % 8 for x in b)))
 def test_appends_and_edits_are_exact(data, at, length, new):
