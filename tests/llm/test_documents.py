@@ -10,7 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from relaykit.llm import chat, mixing, pii, simhash, substring, toxicity
+import corpus_pipeline
+from relaykit.llm import chat, jaccard, mixing, pii, simhash, substring, toxicity
 from relaykit.llm.components import connected_components
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -89,6 +90,51 @@ def test_one_document_of_each_group_stays(spark):
     assert simhash.deduplicate(df.limit(0)).count() == 0 and simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def plain_groups(texts, words=5):
+    def found(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+    sets = [found(t) for t in texts]
+    return parts(sets, lambda a, b: a == b or 10 * len(a & b) >= 8 * len(a | b))
+
+
+@pytest.mark.parametrize(("pivots", "block"), [(4, 20_000), (1, 7)])
+def test_near_copies_down_to_the_threshold(spark, monkeypatch, pivots, block):
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    chance, common = random.Random(5), prose(40, 77)
+    texts = [None, "", " \n", "one", "ONE", "a b c d e", prose(9000, 3), prose(9000, 3) + " x"]
+    for n in range(12):
+        base = prose(chance.randrange(60, 300), n).split()
+        texts.append(" ".join(base))
+        for _ in range(6):
+            # Similarities on both sides of 0.8; one edited word changes five shingles.
+            other = base[:]
+            for at in chance.sample(range(len(other)), max(1, round(len(other) * chance.uniform(0.005, 0.035)))):
+                other[at] = f"z{chance.randrange(10**6)}"
+            texts.append(" ".join(other))
+    # Many copies of one text, and a passage that unrelated texts share.
+    base = prose(150, 900).split()
+    texts += [" ".join(base[:i] + [f"y{i}"] + base[i + 1 :]) for i in range(0, 150, 5)]
+    texts += [prose(150, 1000 + n) + " " + common for n in range(30)]
+    want = {p for p in plain_groups(texts)}
+    assert sorted(r["doc_id"] for r in jaccard.deduplicate(docs(spark, texts)).collect()) == sorted(want)
+    bits = {r["doc_id"] for r in simhash.deduplicate(docs(spark, texts), most=6, words=5).collect()}
+    assert bits - want
+
+
+def test_the_pipeline_drops_copies_just_above_the_threshold(spark):
+    base = prose(200, 1).split()
+    near, far = base[:], base[:]
+    for n in range(4):
+        near[20 + 40 * n] = f"n{n}"
+    for n in range(6):
+        far[15 + 30 * n] = f"f{n}"
+    frame = docs(spark, [" ".join(base), " ".join(near), " ".join(far)])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame, SF_DIR).collect()) == [0, 2]
+
+
 # ---- personal data ------------------------------------------------------------------------------------------------
 
 # The base patterns as stated.
