@@ -9,6 +9,7 @@ each. So the shards are cut by content, and a document meets only the shards it
 3. The other contexts are the reference: by anchor they form shards. Each task builds the suffix automaton of its
    shard and streams the shard's contexts through it for matching statistics: the longest match of at least two
    occurrences that ends at each word. Where it reaches the window, the window repeats.
+4. Anchors with very many contexts would make a shard of any size. Their windows are counted one by one instead.
 
 Context runs cut every document's windows into disjoint sets, so an automaton counts no window twice.
 """
@@ -16,6 +17,7 @@ Context runs cut every document's windows into disjoint sets, so an automaton co
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from relaykit.llm.common import cut, slices
 
 # Words of an anchor; a window of W words holds W - GRAM + 1 of them.
 GRAM = 12
-# More contexts than this at one anchor are compared window by window, over many tasks.
+# Where an anchor has more contexts than this, windows are counted by a 128-bit hash instead.
 HEAVY = 1_000
 KEY = "_text_key"
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -241,59 +243,66 @@ def repeated_windows(keyed: DataFrame, window: int = 50, gram: int = GRAM, text:
     one = keyed.join(wanted.withColumnRenamed("text_key", KEY), KEY).dropDuplicates([KEY])
     text_at, parts_at = one.columns.index(text), one.columns.index("parts")
 
-    def quote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "context", "times", "heavy", "at", "split", "words"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary()]
+    def parts_of(batches: Iterator[pa.RecordBatch], heavy: bool) -> Iterator[tuple]:
         for batch in batches:
-            out: list[tuple] = []
             for body, parts in zip(batch.column(text_at).to_pylist(), batch.column(parts_at).to_pylist()):
                 words = (body or "").encode().split()
                 for p in parts:
-                    piece = words[p["first"] : p["first"] + p["n"] + window - 1]
-                    if p["variants"] <= HEAVY:
-                        out.append((p["anchor"], p["context"], p["times"], False, 0, p["anchor"], b" ".join(piece)))
-                        continue
-                    # Equal windows still meet: they agree in their own hash.
-                    for at in range(p["n"]):
-                        quoted = b" ".join(piece[at : at + window])
-                        split = xxhash.xxh3_64_intdigest(quoted) - (1 << 63)
-                        out.append((p["anchor"], p["context"], p["times"], True, at, split, quoted))
-                if len(out) > 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                    if (p["variants"] > HEAVY) == heavy:
+                        yield p, words[p["first"] : p["first"] + p["n"] + window - 1]
 
-    quoted = one.mapInArrow(
-        quote, "anchor bigint, context bigint, times bigint, heavy boolean, at int, split bigint, words binary"
+    def packed(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        while out := list(itertools.islice(rows, 5000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    def quote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((p["anchor"], p["context"], p["times"], b" ".join(piece)) for p, piece in parts_of(batches, False))
+        yield from packed(rows, ["anchor", "context", "times", "words"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()])
+
+    def name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (
+            (p["anchor"], p["context"], p["times"], at, xxhash.xxh3_128_digest(b" ".join(piece[at : at + window])))
+            for p, piece in parts_of(batches, True) for at in range(p["n"])
+        )
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        yield from packed(rows, ["anchor", "context", "times", "at", "window_key"], kinds)
+
+    quoted = one.mapInArrow(quote, "anchor bigint, context bigint, times bigint, words binary")
+
+    # Very common anchors: whole windows are counted, by partial sums before the shuffle, and the repeated ones are
+    # joined back. No task gathers the copies of a window.
+    named = one.filter(F.exists("parts", lambda p: p["variants"] > HEAVY)).mapInArrow(
+        name_windows, "anchor bigint, context bigint, times bigint, at int, window_key binary"
     )
+    often = named.groupBy("anchor", "window_key").agg(F.sum("times").alias("total")).filter("total > 1").select("anchor", "window_key")
+    common = named.join(often, ["anchor", "window_key"]).select("anchor", "context", "at", F.lit(1).alias("many"))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
         def shard() -> Iterator[pa.RecordBatch]:
             found = _repeats([(r["words"].split(b" "), min(r["times"], 2)) for r in held], window)
-            out = [(r["anchor"], r["context"], r["at"] + at, 1) for r, starts in zip(held, found) for at in starts]
+            out = [(r["anchor"], r["context"], at, 1) for r, starts in zip(held, found) for at in starts]
             if out:
                 a, c, at, many = zip(*out)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a), pa.array(c), pa.array(at, pa.int32()), pa.array(many, pa.int32())], ["anchor", "context", "at", "many"]
                 )
 
-        # A shard ends between two values of ``split``.
+        # A shard ends between two anchors; none has more than ``HEAVY`` contexts.
         for batch in batches:
             for row in batch.to_pylist():
-                if len(held) >= 200 and row["split"] != held[-1]["split"]:
+                if len(held) >= 200 and row["anchor"] != held[-1]["anchor"]:
                     yield from shard()
                     held = []
                 held.append(row)
         if held:
             yield from shard()
 
-    matched = quoted.repartition("split").sortWithinPartitions("split").mapInArrow(
+    matched = quoted.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
         match, "anchor bigint, context bigint, at int, many int"
     )
-    marks = whole.union(matched).groupBy("anchor", "context").agg(F.collect_list(F.struct("at", "many")).alias("found"))
+    marks = whole.union(matched).union(common).groupBy("anchor", "context").agg(F.collect_list(F.struct("at", "many")).alias("found"))
     placed = places.join(marks, ["anchor", "context"]).select("text_key", "first", F.explode("found").alias("f"))
     return placed.groupBy("text_key").agg(
         F.collect_list(F.struct((F.col("first") + F.col("f.at")).alias("first"), F.col("f.many").alias("n"))).alias("marks")

@@ -324,3 +324,23 @@ def test_matching_statistics(tokens):
     count = lambda s: sum(tokens.startswith(s, i) for i in range(len(tokens)))
     want = [max((n for n in range(1, end + 2) if count(tokens[end + 1 - n : end + 1]) > 1), default=0) for end in range(len(tokens))]
     assert list(automaton.statistics(list(tokens))) == want
+
+
+def test_a_passage_between_many_neighbours_is_counted_before_the_shuffle(spark):
+    passage = prose(30, 7)
+    texts = [f"a{n} b{n % 3} c{n % 2} {passage} d{n % 2} e{n % 5} f{n}" for n in range(substring.HEAVY + 200)] + [prose(50, 8)]
+    window = 20
+    count = {}
+    for text in texts:
+        words = text.split()
+        for at in range(len(words) - window + 1):
+            count[tuple(words[at : at + window])] = count.get(tuple(words[at : at + window]), 0) + 1
+    want = []
+    for text in texts:
+        words = text.split()
+        gone = {at + k for at in range(len(words) - window + 1) if count[tuple(words[at : at + window])] > 1 for k in range(window)}
+        want.append(" ".join(w for n, w in enumerate(words) if n not in gone))
+    done = substring.remove_repeats(docs(spark, texts), window=window)
+    assert [r["kept"] for r in done.orderBy("doc_id").collect()] == want
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Aggregate\(keys=\[anchor#\d+L, window_key#\d+\], functions=\[partial_sum\(times", plan)
