@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaykit.llm import ann, bpe, chat, mixing, pii, simhash, substring, token_counts, topk, toxicity
+from relaykit.llm import ann, bpe, chat, mixing, pii, simhash, substring, token_counts, topk, toxicity, urls
 from relaykit.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -141,6 +141,61 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM d LEFT JOIN kept USING (r)"""
 
 
+OP11_RULES = [urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages.select("page_id", "url"), OP11_RULES, urls.declared_links(pages)).drop("url")
+
+
+# Fixed: the normal form, the addresses that pages declare and how they are resolved, as patterns.
+_HOST = r"translate(coalesce(regexp_extract({0}, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = r"coalesce(regexp_extract({0}, '://[^/?#]*([^?#]*)', 1), '')"
+_PARAMETERS = r"""list_sort(list_filter(string_split(regexp_extract({0}, '://[^?#]*\?([^#]*)', 1), '&'),
+    lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid|msclkid|mc_[ce]id|igshid)(=|\z)')))"""
+_NODE = f"""CASE WHEN {_HOST} <> '' THEN regexp_replace(regexp_replace({_HOST}, '^www\\.', ''), ':(80|443)\\z', '') || regexp_replace({_PATH}, '/+\\z', '')
+    || CASE WHEN len({_PARAMETERS}) > 0 THEN '?' || array_to_string({_PARAMETERS}, '&') ELSE '' END END"""
+_FITS = """CASE WHEN ({h} = 'example.net' OR {h} LIKE '%.example.net') AND starts_with({p}, '/en/') THEN 'example.net/en/'
+    WHEN ({h} = 'example.com' OR {h} LIKE '%.example.com') AND starts_with({p}, '/de/') THEN 'example.com/de/'
+    WHEN ({h} = 'org' OR {h} LIKE '%.org') AND starts_with({p}, '/fr/') THEN 'org/fr/'
+    WHEN ({h} = 'net' OR {h} LIKE '%.net') AND starts_with({p}, '/') THEN 'net/' END"""
+
+
+def _judged(url: str) -> str:
+    return f"{_NODE.format(url)} AS node, {_FITS.format(h=_HOST.format(url), p=_PATH.format(url))} AS rule"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE p AS (SELECT page_id, url, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path, {_judged('url')} FROM pages),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)(<(?:link|meta)\s[^>]*>)', 1)) AS tag FROM pages),
+found AS (
+    SELECT url, trim(replace(CASE
+        WHEN regexp_matches(tag, '(?i)^<link\s') AND regexp_matches(tag, '(?i)\srel\s*=\s*["'']?\s*canonical\b')
+        THEN regexp_extract(tag, '(?i)\shref\s*=\s*(?:"([^">]*)|''([^''>]*)|([^\s"''>]+))', 1) || regexp_extract(tag, '(?i)\shref\s*=\s*(?:"([^">]*)|''([^''>]*)|([^\s"''>]+))', 2)
+            || regexp_extract(tag, '(?i)\shref\s*=\s*(?:"([^">]*)|''([^''>]*)|([^\s"''>]+))', 3)
+        WHEN regexp_matches(tag, '(?i)^<meta\s') AND regexp_matches(tag, '(?i)\shttp-equiv\s*=\s*["'']?\s*refresh\b')
+        THEN regexp_extract(tag, '(?i)\scontent\s*=\s*(?:"[^">]*?url\s*=\s*([^">]*)|''[^''>]*?url\s*=\s*([^''>]*))', 1)
+            || regexp_extract(tag, '(?i)\scontent\s*=\s*(?:"[^">]*?url\s*=\s*([^">]*)|''[^''>]*?url\s*=\s*([^''>]*))', 2) END, '&amp;', '&')) AS link,
+        regexp_extract(url, '^([^:/?#]*://[^/?#]*)', 1) AS base, regexp_extract(url, '^([^:/?#]*://[^/?#]*(?:/[^?#]*/|/)?)', 1) AS folder FROM tags),
+links AS (
+    SELECT url AS source, CASE WHEN link = '' THEN NULL WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+        WHEN starts_with(link, '//') THEN regexp_extract(url, '^([^:/?#]*:)//', 1) || link WHEN base = '' THEN NULL WHEN starts_with(link, '/') THEN base || link
+        WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN folder = base THEN base || '/' || link ELSE folder || link END AS target
+    FROM found WHERE link IS NOT NULL),
+e AS (SELECT DISTINCT source, target, {_NODE.format('source')} AS a, {_NODE.format('target')} AS b FROM links),
+marks AS (SELECT node, rule FROM p UNION ALL SELECT {_judged('url')} FROM (SELECT source AS url, a, b FROM e UNION ALL SELECT target, a, b FROM e) WHERE a <> b),
+near AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
+named AS (SELECT node, rule, coalesce((SELECT min(b) FROM reach WHERE a = node), node) AS component FROM marks),
+grp AS (SELECT component, bool_or(rule IN ('example.net/en/', 'org/fr/')) AS allowed, bool_or(rule IN ('net/', 'example.com/de/')) AS blocked FROM named WHERE node IS NOT NULL GROUP BY 1),
+decided AS (SELECT DISTINCT node, allowed, blocked FROM named JOIN grp USING (component) WHERE allowed OR blocked)
+SELECT page_id, host, path, rule,
+    CASE WHEN rule IN ('example.net/en/', 'org/fr/') OR (rule IS NULL AND (allowed OR blocked IS NOT TRUE)) THEN 'allow' ELSE 'block' END AS verdict,
+    CASE WHEN rule IS NOT NULL THEN 'rule' WHEN allowed OR blocked THEN 'alias' ELSE 'default' END AS reason
+FROM p LEFT JOIN decided USING (node)"""
+
+
 QUERIES = {
     "op1_voronoi_knn": (op1_voronoi_knn, OP1_SQL),
     "op2_bpe": (op2_bpe, None),
@@ -152,4 +207,5 @@ QUERIES = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_token_counts": (op9_token_counts, None),
     "op10_substring_dedup": (op10_substring_dedup, OP10_SQL),
+    "op11_url_filter": (op11_url_filter, OP11_SQL),
 }
