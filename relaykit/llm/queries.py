@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaykit.llm import ann, bpe, chat, mixing, pii, simhash, substring, token_counts, topk, toxicity, urls
+from relaykit.llm import ann, bpe, chat, mixing, pii, simhash, substring, token_counts, topk, toxicity, urls, whitening
 from relaykit.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -196,6 +196,10 @@ SELECT page_id, host, path, rule,
 FROM p LEFT JOIN decided USING (node)"""
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, factor=256, keep=["vec_id"])
+
+
 QUERIES = {
     "op1_voronoi_knn": (op1_voronoi_knn, OP1_SQL),
     "op2_bpe": (op2_bpe, None),
@@ -208,4 +212,5 @@ QUERIES = {
     "op9_token_counts": (op9_token_counts, None),
     "op10_substring_dedup": (op10_substring_dedup, OP10_SQL),
     "op11_url_filter": (op11_url_filter, OP11_SQL),
+    "op12_whitening": (op12_whitening, None),
 }
