@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaykit.llm import ann, bpe, chat, mixing, pii, simhash, substring, token_counts, topk, toxicity, urls, whitening
+from relaykit.llm import alignment, ann, bpe, chat, mixing, pii, simhash, substring, token_counts, topk, toxicity, urls, whitening
 from relaykit.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -200,6 +200,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, factor=256, keep=["vec_id"])
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = alignment.Side("byte_level", public_tokenizers.path("byte_bpe_50k.json"), before=" ")
+    b = alignment.Side("pieces", public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align_and_score(table(spark, sf_dir, "documents"), a, b, keep=["doc_id"])
+
+
 QUERIES = {
     "op1_voronoi_knn": (op1_voronoi_knn, OP1_SQL),
     "op2_bpe": (op2_bpe, None),
@@ -213,4 +219,5 @@ QUERIES = {
     "op10_substring_dedup": (op10_substring_dedup, OP10_SQL),
     "op11_url_filter": (op11_url_filter, OP11_SQL),
     "op12_whitening": (op12_whitening, None),
+    "op13_token_alignment": (op13_token_alignment, None),
 }
