@@ -10,7 +10,9 @@ the ranges of tokens that overlap. Two tokens are linked where their bytes end t
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -27,14 +29,19 @@ STRIDE = 16
 # A pair with more than this share of all links is broadcast with its count; there are fewer than HEAD of them.
 HEAD = 1 << 16
 _SLICE_BYTES = 1_000_000
+# Chunks that a worker remembers; longer ones than _LONG characters are not kept.
+_KNOWN = 400_000
+_LONG = 100
+# Before a space that follows something else than white space, unless it is the last character.
+_CUT = re.compile(r"(?<=[^\s\u180e\u2581])(?= .)", re.S)
 OUTPUTS = ("tokens", "groups", "links")
 
 
 @dataclass(frozen=True)
 class Side:
-    """A tokenizer file: ``byte_level`` (JSON, byte-level BPE) or ``pieces`` (SentencePiece), and what stands before each text.
+    """A tokenizer file: ``byte_level`` (JSON, byte-level BPE) or ``pieces`` (SentencePiece).
 
-    ``before`` is what the text needs so that the bytes of its tokens are a space and the text.
+    ``before`` is what it must find before a text so that the bytes of the tokens are a space and the text.
     """
 
     kind: str
@@ -57,6 +64,10 @@ class _ByteLevel:
         self.bytes_of = [b""] * (max(names.values()) + 1)
         for name, i in names.items():
             self.bytes_of[i] = bytes(byte_of[c] for c in name) if all(c in byte_of for c in name) else name.encode()
+        config = json.loads(self.model.to_str())
+        pieces = config["pre_tokenizer"] or {}
+        # No match of its expression goes on behind a space that follows something else.
+        self.cuts = pieces.get("type") == "ByteLevel" and pieces.get("use_regex", True) and not pieces.get("add_prefix_space") and not config["normalizer"]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,6 +79,8 @@ class _Pieces:
 
         self.model = SentencePieceProcessor(model_file=path)
         self.bytes_of = [self._bytes(i) for i in range(self.model.get_piece_size())]
+        # No piece goes on behind a space that follows something else, and white space stays as it is.
+        self.cuts = not any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(len(self.bytes_of))) and self.model.decode(self.model.encode("a  b ")) == "a  b "
 
     def _bytes(self, i: int) -> bytes:
         piece = self.model.id_to_piece(i)
@@ -77,14 +90,61 @@ class _Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
+class _Both:
+    """Two tokenizers with the ids (packed 32-bit integers) of the chunks met; None where bytes are not those of the chunk.
+
+    A chunk is a space and what follows it. Encoded one by one, chunks give the ids of the whole, as tokens end there.
+    """
+
+    def __init__(self, a: Side, b: Side):
+        kinds = {"byte_level": _ByteLevel, "pieces": _Pieces}
+        self.sides = (a, b)
+        self.models = tuple(kinds[s.kind](s.path) for s in self.sides)
+        self.bytes_of = tuple(m.bytes_of for m in self.models)
+        self.lengths = tuple(np.array([len(t) for t in table], np.int64) for table in self.bytes_of)
+        self.cuts = all(m.cuts for m in self.models)
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def encode(self, side: int, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that begin with a space."""
+        return [np.array(ids, np.int32) for ids in self.models[side].encode([self.sides[side].before + t[1:] for t in texts])]
+
+    def keeps(self, side: int, ids: np.ndarray, data: bytes) -> bool:
+        return b"".join(map(self.bytes_of[side].__getitem__, ids.tolist())) == data
+
+    def _in_one_row(self, side: int, row: list[str], data: list[bytes]) -> list[bytes] | None:
+        """Ids of chunks that end without white space, encoded as one text, which is faster."""
+        whole = b"".join(data)
+        ids = self.encode(side, [whole.decode()])[0]
+        if not self.keeps(side, ids, whole):
+            return None
+        cuts = (4 * np.searchsorted(np.cumsum(self.lengths[side][ids]), np.cumsum(list(map(len, data))), side="right")).tolist()
+        packed = ids.tobytes()
+        return [packed[i:j] for i, j in zip([0, *cuts], cuts)]
+
+    def _one_by_one(self, side: int, chunks: list[str]) -> list[bytes | None]:
+        return [ids.tobytes() if self.keeps(side, ids, c.encode()) else None for c, ids in zip(chunks, self.encode(side, chunks))]
+
+    def learn(self, chunks: list[list[str]]) -> list[str]:
+        """Encodes what is not known; returns the long chunks, which rarely come again."""
+        if len(self.known) > _KNOWN:
+            self.known.clear()
+        # Only the last chunk of a text may end in white space.
+        row = set().union(*[c[:-1] for c in chunks]).difference(self.known) if self.cuts else set()
+        rest = {c[-1] for c in chunks if c}.difference(self.known, row)
+        row, rest = list(row), list(rest)
+        data = [c.encode() for c in row]
+        for some, found in ((row, [self._in_one_row(k, row, data) if row else [] for k in (0, 1)]), (rest, [self._one_by_one(k, rest) for k in (0, 1)])):
+            both = [self._one_by_one(k, some) if f is None else f for k, f in enumerate(found)]
+            self.known.update((c, None if x is None or y is None else (x, y)) for c, x, y in zip(some, *both))
+        return [c for some in (row, rest) for c in some if len(c) > _LONG]
+
+
 @functools.cache
-def _load(side: Side):
-    """One tokenizer a worker, with the lengths of its tokens."""
+def _load(a: Side, b: Side) -> _Both:
+    """One of each tokenizer a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    kinds = {"byte_level": _ByteLevel, "pieces": _Pieces}
-    loaded = kinds[side.kind](side.path)
-    loaded.lengths = np.array([len(b) for b in loaded.bytes_of], np.int64)
-    return loaded
+    return _Both(a, b)
 
 
 @functools.cache
@@ -140,18 +200,24 @@ def common_ends(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.n
     return np.sort(np.concatenate([a1, a2])), np.sort(np.concatenate([b1, b2]))
 
 
-def _encoded(texts: list[str | None], side_a: Side, side_b: Side) -> tuple[list[list[int]], list[list[int]]]:
-    """Ids of both sides; none on either where the text is null or empty, or the bytes of a side are not a space and the text."""
-    a, b = _load(side_a), _load(side_b)
-    at = [i for i, t in enumerate(texts) if t]
-    both = [([], []) for _ in texts]
-    ids_a = a.encode([side_a.before + texts[i] for i in at])
-    ids_b = b.encode([side_b.before + texts[i] for i in at])
-    for i, x, y in zip(at, ids_a, ids_b):
-        want = b" " + texts[i].encode()
-        if b"".join(map(a.bytes_of.__getitem__, x)) == want and b"".join(map(b.bytes_of.__getitem__, y)) == want:
-            both[i] = (x, y)
-    return [x for x, _ in both], [y for _, y in both]
+def _encoded(texts: list[str | None], both: _Both) -> tuple[list[bytes], list[bytes]]:
+    """Packed ids of both sides; none on either where the text is null or empty, or the bytes of a side are not a space and the text."""
+    cut = _CUT.split if both.cuts else lambda text: [text]
+    chunks = [cut(" " + t) if t else [] for t in texts]
+    long = both.learn(chunks)
+    out: tuple[list[bytes], list[bytes]] = ([], [])
+    for text, found in zip(texts, chunks):
+        ids = list(map(both.known.__getitem__, found))
+        if None in ids:
+            # Bytes lost in one chunk could only come back in the next one: the text itself tells.
+            whole = [both.encode(k, [" " + text])[0] for k in (0, 1)]
+            good = all(both.keeps(k, w, (" " + text).encode()) for k, w in enumerate(whole))
+            ids = [tuple(w.tobytes() for w in whole)] if good else []
+        out[0].append(b"".join([x for x, _ in ids]))
+        out[1].append(b"".join([y for _, y in ids]))
+    for chunk in long:
+        both.known.pop(chunk, None)
+    return out
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -160,11 +226,11 @@ def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListA
 
 
 def _aligned(texts: list[str | None], side_a: Side, side_b: Side, outputs: Sequence[str]) -> dict[str, pa.Array]:
-    a, b = _load(side_a), _load(side_b)
-    lists_a, lists_b = _encoded(texts, side_a, side_b)
-    sizes_a, sizes_b = (np.array([len(x) for x in lists], np.int64) for lists in (lists_a, lists_b))
-    ids_a, ids_b = (np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum())) for lists, sizes in ((lists_a, sizes_a), (lists_b, sizes_b)))
-    ia, ib = common_ends(np.cumsum(a.lengths[ids_a]), np.cumsum(b.lengths[ids_b]), sizes_a, sizes_b)
+    both = _load(side_a, side_b)
+    packed = _encoded(texts, both)
+    sizes_a, sizes_b = (np.array([len(x) // 4 for x in ids], np.int64) for ids in packed)
+    ids_a, ids_b = (np.frombuffer(b"".join(ids), np.int32).astype(np.int64) for ids in packed)
+    ia, ib = common_ends(np.cumsum(both.lengths[0][ids_a]), np.cumsum(both.lengths[1][ids_b]), sizes_a, sizes_b)
     doc_a = np.repeat(np.arange(len(texts)), sizes_a)
     groups = np.bincount(doc_a[ia], minlength=len(texts))
     out = {"n_a": pa.array(sizes_a), "n_b": pa.array(sizes_b), "n_groups": pa.array(groups)}
@@ -174,14 +240,15 @@ def _aligned(texts: list[str | None], side_a: Side, side_b: Side, outputs: Seque
         out |= {"a_ids": _lists(ids_a, sizes_a, pa.int32()), "b_ids": _lists(ids_b, sizes_b, pa.int32())}
         out |= {"a_last": _lists(ia - begin_a[doc_g], groups, pa.int32()), "b_last": _lists(ib - begin_b[doc_g], groups, pa.int32())}
     if "groups" in outputs:
-        parts = _parts(len(a.bytes_of), len(b.bytes_of))
+        size_a, size_b = map(len, both.bytes_of)
+        parts = _parts(size_a, size_b)
         # Ranks of the common ends differ by the sizes of the groups.
         group_a, group_b = (np.repeat(np.arange(len(ia)), np.diff(i, prepend=-1)) for i in (ia, ib))
-        code_a, code_b = ids_a + 2 * len(a.bytes_of), ids_b + 3 * len(a.bytes_of) + len(b.bytes_of)
+        code_a, code_b = ids_a + 2 * size_a, ids_b + 3 * size_a + size_b
         heads_a, heads_b = np.diff(group_a, prepend=-1) > 0, np.diff(group_b, prepend=-1) > 0
-        code_a[heads_a] -= len(a.bytes_of)
+        code_a[heads_a] -= size_a
         code_a[begin_a[sizes_a > 0]] = ids_a[begin_a[sizes_a > 0]]
-        code_b[heads_b] -= len(b.bytes_of)
+        code_b[heads_b] -= size_b
         order = np.empty(len(ids_a) + len(ids_b), np.int64)
         order[np.arange(len(ids_a)) + np.concatenate([[0], ib[:-1] + 1])[group_a] if len(ia) else []] = code_a
         order[np.arange(len(ids_b)) + (ia + 1)[group_b]] = code_b

@@ -19,7 +19,7 @@ A = alignment.Side("byte_level", public_tokenizers.path("byte_bpe_50k.json"), be
 B = alignment.Side("pieces", public_tokenizers.path("piece_bpe_32k.model"))
 ODD = [
     None, "", " ", "a", "  two  spaces ", "tab\tand\nline\r\n\x0b", "<|endoftext|> <s>[INST]</s> <unk> <0x41>", "naïve 你好 \U0001f600‍♂ é", "▁ is a mark", " no break", "\x00\x01",
-    "long " * 30_000, "x" * 3000, "你" * 700, "a b", "﻿bom",
+    "long " * 30_000, "tail \n", "tail \n ", "a\n b\u3000 c \u2028 d\u180e e \x1c f", "it's we'LL 12 34 ... !? \t x", "x" * 3000, "你" * 700, "a b", "﻿bom",
 ]
 
 
@@ -95,7 +95,7 @@ def test_odd_texts_and_columns(spark):
 def test_all_outputs(spark):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
     for r in alignment.align(frame, A, B).collect():
-        ends = [np.cumsum([len(alignment._load(s).bytes_of[i]) for i in r[c]]).astype(int).tolist() for s, c in ((A, "a_ids"), (B, "b_ids"))]
+        ends = [np.cumsum([len(alignment._load(A, B).bytes_of[k][i]) for i in r[c]]).astype(int).tolist() for k, c in enumerate(("a_ids", "b_ids"))]
         assert [ends[0][i] for i in r["a_last"]] == [ends[1][i] for i in r["b_last"]] == sorted(set(ends[0]) & set(ends[1]))
         assert sum(r["times"]) == r["n_groups"] == len(r["a_last"]) and len(r["pairs"]) == len(set(r["pairs"]))
         groups = [tuple([int(i) for i in x.split(",")] for x in g.split("|")) for g in r["groups"].split(";") if g]
