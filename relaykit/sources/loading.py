@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,15 +10,29 @@ from pyspark.sql import functions as F
 
 
 def read_incremental(source: DataFrame, state: dict[str, object], columns: Sequence[str] | None = None, batch: int | None = None) -> DataFrame:
-    """Rows above every remembered maximum; an empty state reads all. ``batch`` bounds one fetch, lowest rows first."""
+    """Rows above the remembered maxima, which are compared as one, in their order; no state, or None in it, reads from the beginning.
+
+    A row with a null among the maxima is never read. ``batch`` bounds one fetch, lowest rows first; it goes on to the
+    end of a group of equal maxima, so that the next fetch neither loses nor repeats a row.
+    """
+    names = list(state)
     rows = source
-    for name, seen in state.items():
-        rows = rows.filter(F.col(name) > F.lit(seen))
-    if batch is not None:
-        rows = rows.orderBy(*state).limit(batch)
+    for name in names:
+        rows = rows.filter(F.col(name).isNotNull())
+    if names and all(v is not None for v in state.values()):
+        rows = rows.filter(F.struct(*names) > F.struct(*[_literal(v).cast(source.schema[n].dataType).alias(n) for n, v in state.items()]))
+    if batch is not None and names:
+        last = rows.select(*names).orderBy(*names).limit(batch).agg(F.max(F.struct(*names)).alias("last"))
+        found = last.select(*[F.col("last")[n].cast("string").alias(n) for n in names]).first()
+        if found[0] is not None:
+            rows = rows.filter(F.struct(*names) <= F.struct(*[F.lit(found[n]).cast(source.schema[n].dataType).alias(n) for n in names]))
     return rows.select(*columns) if columns else rows
 
 
+def _literal(value: object) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
 def newest(rows: DataFrame, key: Sequence[str], version: str) -> DataFrame:
     """The row of highest version of each key. A maximum of whole rows, so a hot key is reduced before it is shuffled."""
     value = F.struct(F.col(version).alias("_version"), *[F.col(c) for c in rows.columns])
@@ -26,13 +41,24 @@ def newest(rows: DataFrame, key: Sequence[str], version: str) -> DataFrame:
 
 
 def upsert(target: DataFrame, changes: DataFrame, key: Sequence[str], version: str) -> DataFrame:
-    """``target`` after inserting or replacing by key; the newest version wins, so stale and repeated changes do nothing.
+    """``target`` after inserting or replacing by key; a higher version wins, so stale and repeated changes do nothing.
 
-    Columns that the target lacks are ignored; missing ones become null.
+    Columns that the target lacks are ignored; those that ``changes`` lacks keep the stored values, and are null for
+    new keys. Both are warned of. The target has one row a key. To change a stored table in place, see ``StoredTable``.
     """
-    lacking = [c for c in target.columns if c not in changes.columns]
-    have = changes.withColumns({c: F.lit(None).cast(target.schema[c].dataType) for c in lacking}).select(*target.columns)
-    return newest(target.union(have), key, version)
+    ignored, absent = [c for c in changes.columns if c not in target.columns], [c for c in target.columns if c not in changes.columns]
+    if ignored or absent:
+        warnings.warn(f"columns of changes only: {ignored}; of the table only: {absent}", stacklevel=2)
+    given = [c for c in target.columns if c not in absent]
+    typed = changes.select(*[F.col(f"`{c}`").cast(target.schema[c].dataType).alias(c) for c in given])
+    stored = target.select(F.struct(*target.columns).alias("old"), F.lit(None).cast(typed.schema).alias("change"))
+    incoming = newest(typed, key, version).select(F.lit(None).cast(stored.schema["old"].dataType).alias("old"), F.struct(*given).alias("change"))
+    both = stored.union(incoming)
+    keys = [F.coalesce(F.col("old")[k], F.col("change")[k]).alias(f"_key_{k}") for k in key]
+    pairs = both.groupBy(*keys).agg(F.first("old", ignorenulls=True).alias("old"), F.first("change", ignorenulls=True).alias("change"))
+    old, change = F.col("old")[version], F.col("change")[version]
+    newer = F.col("change").isNotNull() & (F.col("old").isNull() | F.coalesce(change > old, old.isNull() & change.isNotNull()))
+    return pairs.select(*[F.when(newer, F.col("change")[c]).otherwise(F.col("old")[c]).alias(c) if c in given else F.col("old")[c].alias(c) for c in target.columns])
 
 
 def quarantine(rows: DataFrame, checks: dict[str, str]) -> tuple[DataFrame, DataFrame]:

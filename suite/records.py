@@ -121,7 +121,7 @@ def changed_customers(spark, sf_dir):
     return update.union(update).union(stale).union(fresh).withColumn("ignored", F.lit(1))
 
 
-UPSERTED = """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_name || ' new' ELSE c_name END AS c_name, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment,
+UPSERTED = """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_name || ' new' ELSE c_name END AS c_name, c_mktsegment,
     CASE WHEN c_custkey % 5 = 0 THEN 3 ELSE 1 END::BIGINT AS version FROM customer
     UNION ALL SELECT -c_custkey - 1, c_name, NULL, 1::BIGINT FROM customer WHERE c_custkey % 50 = 0"""
 
