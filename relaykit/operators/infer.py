@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,6 +163,40 @@ def path_report(nodes: DataFrame, id_col: str = "_id") -> DataFrame:
     )
 
 
+def path_summary(nodes: DataFrame, id_col: str = "_id") -> DataFrame:
+    """What inference keeps of a set of documents: ``[path, label, n_docs, n_nodes]``, with a null label for the whole path.
+
+    Summaries of different documents add up (``merge_summaries``), so new documents are folded in without reading the
+    old ones. Its size is that of the schema, not of the documents.
+    """
+    once = _per_document(nodes, id_col, "path", "label")
+    by_path = once.groupBy("_doc", "path").agg(F.collect_list(F.struct("label", "n_nodes")).alias("labels"), F.sum("n_nodes").alias("n_nodes"))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("label"), "n_nodes"))
+    every = by_path.select("_doc", "path", F.inline(F.concat(whole, "labels")))
+    return every.groupBy("path", "label").agg(_documents().alias("n_docs"), F.sum("n_nodes").alias("n_nodes"))
+
+
+def merge_summaries(*summaries: DataFrame) -> DataFrame:
+    """One summary for the documents of all; no document may be in two of them."""
+    return reduce(DataFrame.unionByName, summaries).groupBy("path", "label").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_nodes").alias("n_nodes"))
+
+
+def report_of(summary: DataFrame) -> DataFrame:
+    """``path_report`` from a summary."""
+    whole, null = F.col("label").isNull(), F.col("label") == "null"
+    labels = F.array_sort(F.collect_set(F.when(~null, F.col("label"))))
+    found = summary.groupBy("path").agg(
+        F.max(F.when(whole, F.col("n_docs"))).alias("n_docs"), F.max(F.when(whole, F.col("n_nodes"))).alias("n_nodes"),
+        F.coalesce(F.max(F.when(null, F.col("n_nodes"))), F.lit(0)).alias("n_null"), labels.alias("labels"),
+    )
+    return found.withColumn("conflict", F.size("labels") > 1).withColumn("labels", F.array_join("labels", ","))
+
+
+def schema_of(summary: DataFrame) -> DataFrame:
+    """``infer_schema`` from a summary."""
+    return infer_schema(summary.filter("label is not null"))
+
+
 def shape_profile(nodes: DataFrame, id_share: float = 0.9, small_array: int = 8) -> DataFrame:
     """Object and array paths with lengths, share of id-like elements and the suggested table shape.
 

@@ -115,3 +115,9 @@ def list_to_rows(df: DataFrame, keep: Sequence[str], column: str, name: str, sep
 def rows_to_list(df: DataFrame, keys: Sequence[str], value: str, separator: str = ",") -> DataFrame:
     """Distinct values of each key as one sorted list text. A list must fit into a row."""
     return df.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set(value)), separator).alias("list"))
+
+
+def select_instances(df: DataFrame, keep: Sequence[str], instances: str, names: Column) -> DataFrame:
+    """Of a map of instance name to address, those in ``names`` that have an address, as one map in order of names; rows without any are left out."""
+    chosen = F.array_sort(F.map_entries(F.map_filter(instances, lambda k, v: F.array_contains(names, k) & v.isNotNull())))
+    return df.select(*keep, F.map_from_entries(chosen).alias(instances)).filter(F.size(instances) > 0)

@@ -10,8 +10,9 @@ import hashlib
 import json
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relaykit.functions import naming, sqltypes, variants
@@ -410,8 +411,8 @@ def _rows(docs: DataFrame, table: Table, id_col: str, doc: str) -> tuple[DataFra
     return rows, [F.col(p) for p in positions]
 
 
-def table_rows(docs: DataFrame, mapping: Mapping, table: Table, id_col: str = "_id", doc: str = "doc") -> DataFrame:
-    """Rows of one planned table."""
+def table_rows(docs: DataFrame, mapping: Mapping, table: Table, id_col: str = "_id", doc: str = "doc", every: bool = False) -> DataFrame:
+    """Rows of one planned table; a shared one has one row a key, or with ``every`` all that documents describe."""
     rows, positions = _rows(docs, table, id_col, doc)
     parent_id = key_value(F.col("_source"), F.col("_doc"), mapping.id_strategy)
     upcoming = iter(positions)
@@ -440,7 +441,7 @@ def table_rows(docs: DataFrame, mapping: Mapping, table: Table, id_col: str = "_
     for c in table.columns:
         if c.generated:
             shaped = shaped.withColumn(c.name, F.expr(c.generated).cast(sqltypes.spark_type(c.sql_type)))
-    return first_by_key(shaped, table.key) if table.kind == "shared" else shaped
+    return first_by_key(shaped, table.key) if table.kind == "shared" and not every else shaped
 
 
 def first_by_key(df: DataFrame, key: list[str]) -> DataFrame:
@@ -450,7 +451,10 @@ def first_by_key(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def shared_conflicts(df: DataFrame, key: list[str]) -> DataFrame:
-    """Keys of a shared table that documents describe differently, with the number of descriptions."""
+    """Keys of a shared table that documents describe differently, with the number of descriptions.
+
+    ``df``: every row of the table (``table_rows`` with ``every``).
+    """
     return df.distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
 
 
@@ -520,6 +524,26 @@ def vertical_split(df: DataFrame, key: list[str], families: dict[str, list[str]]
     return {name: df.select(*key, *cols) for name, cols in groups.items()}
 
 
+def save_families(df: DataFrame, key: list[str], families: dict[str, list[str]], name: str, folder: str, buckets: int = 64) -> dict[str, str]:
+    """One stored table per column family, all cut into the same buckets of the key and sorted; returns their names.
+
+    Families are read alone, or joined by ``join_families`` without moving a row. ``name`` begins the tables' names,
+    their files are under ``folder``. ``buckets`` should let one bucket fit into a task.
+    """
+    saved = {}
+    dealt = df.repartition(buckets, *key)
+    for family, part in vertical_split(dealt, key, families).items():
+        saved[family] = f"{name}_{family}"
+        part.write.bucketBy(buckets, *key).sortBy(*key).option("path", f"{folder}/{family}").mode("overwrite").saveAsTable(saved[family])
+    return saved
+
+
+def join_families(spark: SparkSession, saved: dict[str, str], key: list[str]) -> DataFrame:
+    """The rows of all families, joined bucket by bucket."""
+    parts = [spark.table(table) for table in saved.values()]
+    return reduce(lambda a, b: a.join(b.hint("merge"), key), parts)
+
+
 def conversion_summary(tables: dict[str, DataFrame], mapping: Mapping, config: dict) -> DataFrame:
     """Rows and columns per table, with the config key; one counting job over all tables."""
     digest = hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:12]

@@ -7,10 +7,11 @@ are resolved against the DataFrame schema, so struct and array columns are edite
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -432,6 +433,39 @@ def transform_stats(df: DataFrame, specs: list[dict], max_matches: int | None =
     return totals.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def observed_transforms(df: DataFrame, specs: list[dict], max_matches: int | None = None) -> tuple[DataFrame, Callable[[], list[dict]]]:
+    """``apply_transforms`` that counts as it goes, and what reads the counts once the result has been computed.
+
+    Counts: ``step, op, path, matches``, as ``transform_stats`` has them, and ``failures``, the values that a cast turned
+    to null. They come from the one pass that computes the result; a result computed twice counts the first time.
+    """
+    seen, plan = Observation(f"transforms-{uuid.uuid4().hex}"), active(specs)
+    own: list[str] = []
+    for n, spec in enumerate(plan):
+        steps = parse_path(spec["path"])
+        dtype = field_type(df.schema, steps)
+        failed = F.lit(0)
+        if dtype is None:
+            counted = F.lit(0)
+        elif spec["op"] == "default_if_missing":
+            counted = F.when(read_path(spec["path"]).isNull(), 1).otherwise(0)
+        else:
+            counted = match_count(spec["path"], max_matches)
+        if dtype is not None and spec["op"] in ("cast", "to_uuid", "to_decimal", "to_timestamp"):
+            failed = F.size(_failed(spec, _value_edit(spec["op"], spec.get("args") or {}), dtype))
+        df = apply_transform(df.withColumns({f"_matches{n}": counted, f"_failures{n}": failed}), spec, max_matches)
+        own += [f"_matches{n}", f"_failures{n}"]
+    if not plan:
+        return df, list
+    done = df.observe(seen, *[F.sum(c).alias(c) for c in own]).drop(*own)
+
+    def counts() -> list[dict]:
+        found = seen.get
+        return [{"step": n, "op": s["op"], "path": s["path"], "matches": found[f"_matches{n}"] or 0, "failures": found[f"_failures{n}"] or 0} for n, s in enumerate(plan)]
+
+    return done, counts
+
+
 def cast_failures(df: DataFrame, specs: list[dict], key: str) -> DataFrame:
     """Values that a cast, decimal, uuid or timestamp transform turns to null: ``[key, op, path, value]``."""
     lost = []

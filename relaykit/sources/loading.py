@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -72,6 +73,23 @@ def quarantine(rows: DataFrame, checks: dict[str, str]) -> tuple[DataFrame, Data
     return marked.filter("_reason is null").drop("_reason"), bad
 
 
+def quarantine_to(rows: DataFrame, checks: dict[str, str], path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Like ``quarantine``, with both sets written under ``path`` by one pass over ``rows``; also the counts of that pass.
+
+    Counts: ``good``, and the rows of each reason. ``path`` must not exist.
+    """
+    reason = F.coalesce(*[F.when(~F.coalesce(F.expr(sql), F.lit(False)), F.lit(name)) for name, sql in checks.items()])
+    seen = Observation(f"quarantine-{uuid.uuid4().hex}")
+    counts = [F.count_if(F.col("_reason").isNull()).alias("good"), *[F.count_if(F.col("_reason") == name).alias(f"reason {i}") for i, name in enumerate(checks)]]
+    marked = rows.withColumn("_reason", reason).observe(seen, *counts)
+    marked.withColumn("_bad", F.col("_reason").isNotNull()).write.partitionBy("_bad").parquet(path)
+    found = seen.get
+    stored = rows.sparkSession.read.schema(marked.schema.add("_bad", "boolean")).parquet(path)
+    good = stored.filter("not _bad").select(*rows.columns)
+    bad = stored.filter("_bad").select(F.col("_reason").alias("reason"), F.to_json(F.struct(*rows.columns)).alias("row"))
+    return good, bad, {"good": found["good"], **{name: found[f"reason {i}"] for i, name in enumerate(checks)}}
+
+
 def repair_epoch_millis(value: Column) -> Column:
     """Timestamp from text that holds either milliseconds since 1970 or a written time; else null."""
     written = F.expr("null") if value is None else value.try_cast("timestamp")
@@ -90,6 +108,24 @@ def export_csv(df: DataFrame, path: str, folder: Column, if_absent: bool = False
     parts.write.partitionBy("folder").mode("ignore" if if_absent else "overwrite").option("compression", "gzip").option("header", True).csv(path)
 
 
+def export_csv_parts(df: DataFrame, path: str, folder: Column) -> list[str]:
+    """Like ``export_csv``, but folder by folder: what is there stays as it is, and only missing folders are written.
+
+    Returns the folders written. They must be few, as the names of partitions are.
+    """
+    spark = df.sparkSession
+    marked = df.withColumn("folder", folder)
+    wanted = [r["folder"] for r in marked.select(F.col("folder").cast("string")).distinct().collect()]
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = {s.getPath().getName() for s in files.listStatus(root)} if files.exists(root) else set()
+    missing = sorted(w for w in wanted if f"folder={w}" not in there)
+    if missing:
+        rows = marked.filter(F.col("folder").cast("string").isin(missing)).repartition("folder", F.pmod(F.xxhash64(*df.columns), F.lit(8)))
+        rows.write.partitionBy("folder").mode("append").option("compression", "gzip").option("header", True).csv(path)
+    return missing
+
+
 def import_csv(spark, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 

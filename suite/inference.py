@@ -129,11 +129,8 @@ MERGE_SQL = """SELECT path, CASE WHEN bool_or(label = 'object') THEN 'object' WH
 QUERIES = {
     "infer_paths": (lambda spark, sf_dir: infer.path_labels(infer.document_paths(order_documents(spark, sf_dir))), ORDER_LABELS),
     "infer_paths_capped": (
-        lambda spark, sf_dir: infer.path_labels(infer.document_paths(order_documents(spark, sf_dir), element_cap=5)).filter("path like '%[]%' and path not like '%discount'"),
-        f"""SELECT p AS path, lb AS label, count(*) AS n_docs, CAST(sum(least(n, 5)) AS BIGINT) AS n_nodes
-           FROM (VALUES {_rows(ITEM_PATHS)}) v(p, lb), (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) GROUP BY 1, 2
-           UNION ALL SELECT 'shipping.location.coordinates[]', 'double', count(*), 2 * count(*) FROM orders
-           UNION ALL SELECT 'tags[]', 'string', count(*), count(*) FROM orders WHERE o_orderpriority = '1-URGENT'""",
+        lambda spark, sf_dir: infer.path_labels(infer.document_paths(order_documents(spark, sf_dir), element_cap=5)),
+        ORDER_LABELS.replace("FROM lineitem", "FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) <= 5)"),
     ),
     "infer_paths_props": (
         lambda spark, sf_dir: infer.path_labels(

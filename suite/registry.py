@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ["transforms", "inference", "shape", "orders", "records", "streams"]
+SECTIONS = ["transforms", "inference", "shape", "orders", "records", "streams", "incremental"]
 
 
 def all_queries() -> dict:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relaykit.functions.naming import column_name, rename_columns
-from relaykit.operators import integrity, shape
-from suite.inference import ITEM_PATHS, ORDER_PATHS, mixed_documents
+from relaykit.operators import shape
+from suite.inference import ITEM_PATHS, ORDER_PATHS
 from suite.inputs import LINES_CTE, ORDER_OID, article_documents, money, order_documents, table
 
 LABELS = ORDER_PATHS | ITEM_PATHS | {
@@ -78,23 +78,31 @@ def d_summary(spark, sf_dir):
     return shape.conversion_summary(tables, mapping, config).select("table_name", "kind", "n_columns", "n_rows")
 
 
-MIXED_LABELS = {"ints": "int64", "num_str": "string", "flag": "bool", "box": "string", "box[]": "string", "wide": "double", "list": "array", "list[]": "array", "sometimes": "int32", "unitPrice": "int32", "unit_price": "int32"}
+# Documents whose box is an object, an array, a number or absent, and whose two unit prices share a column name.
+BOXES = """concat('{', case cast(event_id % 4 as int) when 0 then concat('"box":{"a":', event_id, '},') when 1 then concat('"box":[', user_id, ',"x"],') when 2 then concat('"box":', event_id, ',') else '' end,
+    if(event_id % 3 = 0, '', concat('"unitPrice":', event_id % 100, ',')), if(event_id % 5 = 0, '', concat('"unit_price":', 1000 + event_id % 100, ',')), '"n":1}')"""
 
 
 def d_mixed_paths(spark, sf_dir):
     """A path that is an object, an array or a number, and two paths with one column name: no value is lost."""
-    docs = mixed_documents(spark, sf_dir)
-    mapping = shape.plan_tables(MIXED_LABELS, "mixed", {"arrayStrategy": "jsonb"})
+    docs = table(spark, sf_dir, "events").select(F.col("event_id").alias("_id"), F.parse_json(F.expr(BOXES)).alias("doc"))
+    labels = {"box": "object", "box.a": "int32", "box[]": "string", "unitPrice": "int32", "unit_price": "int32", "n": "int32"}
+    mapping = shape.plan_tables(labels, "mixed", {"arrayStrategy": "jsonb"})
     rows = shape.table_rows(docs, mapping, mapping.base)
-    return rows.groupBy("box").agg(F.count(F.lit(1)).alias("n"), F.count("unit_price").alias("a"), F.count("unit_price_2").alias("b"))
+    return rows.select("id", "box", "unit_price", "unit_price_2")
 
 
 def d_shared_conflicts(spark, sf_dir):
-    mapping = shape.plan_tables(LABELS, "orders", REVERSE)
+    """Customers whom their orders name in two ways."""
+    docs = table(spark, sf_dir, "orders").selectExpr("o_orderkey as _id", "parse_json(concat('{\"customer\":{\"id\":\"c', o_custkey, '\",\"name\":\"', if(o_orderkey % 7 = 0, 'A', 'B'), '\"}}')) as doc")
+    mapping = shape.plan_tables({"customer": "object", "customer.id": "string", "customer.name": "string"}, "orders", REVERSE)
     shared = mapping.table("customer")
-    docs = order_documents(spark, sf_dir)
-    rows = shape.table_rows(docs, mapping, shared)
-    return integrity.duplicates(rows, shared.key).union(shape.shared_conflicts(rows, shared.key)).select("id", "n_rows").agg(F.count(F.lit(1)).alias("n_conflicts"))
+    return shape.shared_conflicts(shape.table_rows(docs, mapping, shared, every=True), shared.key).select("id", "n_rows")
+
+
+def d_keys_unique(spark, sf_dir):
+    rows = cut(ids("rowid"), "orders", "id", "order_id")(spark, sf_dir)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"), F.count_distinct("order_id").alias("n_orders"), F.count_if(F.col("id").isNull()).alias("n_null"))
 
 
 REVERSE = {"tableOverrides": [{"path": "customer", "mode": "normalize", "fk": {"reverseSpec": {"childPkPath": "id", "baseColumnName": "customer_ref"}}}]}
@@ -140,7 +148,7 @@ QUERIES = {
         "SELECT DISTINCT 'CUST-' || o_custkey AS id, 'cust-' || o_custkey || '@example.com' AS customer_email, ['BRONZE','SILVER','GOLD','PLATINUM'][(o_custkey % 4)::INT + 1] AS customer_loyalty_tier FROM orders",
     ),
     "d_reverse_fk_base": (cut(REVERSE, "orders", "id", "customer_ref"), f"SELECT {OID}, 'CUST-' || o_custkey AS customer_ref FROM orders"),
-    "d_shared_conflicts": (d_shared_conflicts, "SELECT 0::BIGINT AS n_conflicts"),
+    "d_shared_conflicts": (d_shared_conflicts, "SELECT 'c' || o_custkey AS id, count(DISTINCT o_orderkey % 7 = 0) AS n_rows FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderkey % 7 = 0) > 1"),
     "d_array_json": (
         cut(JSONB, "orders", "id", "json_array_length(items) as n_items", "get_json_object(tags, '$[0]') as tag"),
         WITH + f"""SELECT {OID}, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey)::INTEGER AS n_items, CASE WHEN o_orderpriority = '1-URGENT' THEN 'priority' END AS tag FROM orders""",
@@ -162,6 +170,7 @@ QUERIES = {
         FROM (SELECT sha256({ORDER_OID}) AS h, 'ORD-' || year(o_orderdate) || '-' || lpad(o_orderkey::VARCHAR, 10, '0') AS order_id FROM orders)""",
     ),
     "d_keys_rowid": (d_keys("rowid"), None),
+    "d_keys_rowid_unique": (d_keys_unique, "SELECT count(*) AS n, count(*) AS n_ids, count(DISTINCT o_orderkey) AS n_orders, 0::BIGINT AS n_null FROM orders"),
     "d_legacy_id": (cut(ids("uuid", preserveSourceId=True), "orders", "legacy_id", "version"), f"SELECT {ORDER_OID} AS legacy_id, 1::INTEGER AS version FROM orders"),
     "d_oid_ts": (
         cut({"objectId": {"derive": {"timestamp": True}}}, "orders", "id", "id_ts"),
@@ -188,7 +197,8 @@ QUERIES = {
     "d_vertical_split": (d_vertical_split, "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"),
     "d_mixed_paths": (
         d_mixed_paths,
-        "SELECT CASE event_id % 4 WHEN 0 THEN '{}' WHEN 1 THEN '[]' ELSE '3' END AS box, count(*) AS n, 0::BIGINT AS a, 0::BIGINT AS b FROM events GROUP BY 1",
+        """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN '{"a":' || event_id || '}' WHEN 1 THEN '[' || user_id || ',"x"]' WHEN 2 THEN event_id::VARCHAR END AS box,
+            CASE WHEN event_id % 3 <> 0 THEN (event_id % 100)::INTEGER END AS unit_price, CASE WHEN event_id % 5 <> 0 THEN (1000 + event_id % 100)::INTEGER END AS unit_price_2 FROM events""",
     ),
     "d_summary": (
         d_summary,
