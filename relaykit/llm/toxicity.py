@@ -6,7 +6,7 @@ occurrences: these come in bursts, which would make chance words of one long doc
 segment of a text (a passage that neither a shorter nor a longer one beats). Under the null model the largest
 segment score of n tokens has an extreme-value distribution; ``lambda * score - ln(n)`` is the same for short and
 long texts. A logistic curve over that figure, fitted on training documents that the token scores have not seen,
-gives the probability.
+gives the probability; texts without a scoring token get the share of label 1 among such documents.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -56,8 +56,10 @@ class Training:
     documents: int = 20_000
     # Share of them that calibrates the score and gives no token counts.
     calibration: int = 4
-    # Weight of the prior, in tokens; its shape is the frequency of tokens in all training documents.
+    # Weight of the prior, in tokens: at most so many, and so large a share of all those counted. Its shape is the
+    # frequency of tokens in all training documents.
     prior: float = 10_000.0
+    prior_share: float = 0.1
     # A token scores if its log-odds are so many standard errors above zero ...
     least_z: float = 4.0
     # ... and occurs in so many training documents.
@@ -73,6 +75,8 @@ class Model:
     rate: float
     slope: float
     offset: float
+    # Score of a text without any scoring token.
+    none: float
 
 
 def segments(positions: list[int], scores: list[float], other: float) -> list[tuple[int, int, float]]:
@@ -113,12 +117,14 @@ def _figures(text: str, model: Model, known: _WordScores) -> tuple[float, int, l
 def train(labelled: DataFrame, text: str = "text", label: str = "label", row_id: str = "doc_id", how: Training = Training()) -> Model:
     """Learns from rows with label 0 or 1; rows with other or null labels are not used, a null text counts as empty.
 
-    Without rows of both labels every text scores the share of label 1 (or one half). Repeated rows count repeatedly.
+    Without rows of both labels, or words that tell them apart, every text scores the share of label 1 (or one half). Repeated rows count repeatedly.
     """
     rows = labelled.filter(F.col(label).isin(0, 1)).select(F.col(row_id).alias("id"), F.coalesce(text, F.lit("")).alias("text"), F.col(label).cast("int").alias("label"))
     n = rows.count()
     mixed = F.pmod(F.xxhash64("id", "text"), F.lit(max(n, 1)))
-    rows = cut(rows.filter(mixed < how.documents).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(how.calibration))))
+    # Folds are dealt within each label; copies of a text share one. The sample is bounded, so two windows hold it.
+    place = F.dense_rank().over(Window.partitionBy("label").orderBy(F.xxhash64("text")))
+    rows = cut(rows.filter(mixed < how.documents).withColumn("fold", F.pmod(place, F.lit(how.calibration))))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,10 +147,10 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", row_id:
     labels = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     ones, zeros = labels.get(1, 0), labels.get(0, 0)
     if not toxic or not clean:
-        share = min(max(ones / (ones + zeros), 1e-6), 1 - 1e-6) if ones + zeros else 0.5
-        return Model({}, -1.0, 0.0, 0.0, math.log(share / (1 - share)))
-    alpha = F.lit(how.prior) * (F.col("toxic") + F.col("clean")) / F.lit(float(toxic + clean))
-    odds = lambda count, total: F.log((count + alpha) / (total + how.prior - count - alpha))
+        return _share(ones, zeros)
+    prior = min(how.prior, how.prior_share * (toxic + clean))
+    alpha = F.lit(prior) * (F.col("toxic") + F.col("clean")) / F.lit(float(toxic + clean))
+    odds = lambda count, total: F.log((count + alpha) / (total + prior - count - alpha))
     delta = odds(F.col("toxic"), float(toxic)) - odds(F.col("clean"), float(clean))
     spread = F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("clean") + alpha))
     chosen = (
@@ -152,6 +158,8 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", row_id:
         .select("token", delta.alias("delta"), (delta / spread).alias("z"), "clean")
         .filter(F.col("z") > how.least_z).orderBy(F.desc("z"), "token").limit(how.tokens).collect()
     )
+    if not chosen:
+        return _share(ones, zeros)
     scores = {r["token"]: r["delta"] for r in chosen}
     # Null model: how often a token of a clean document scores, and what; a small cost for all others.
     mean = sum(scores.values()) / max(len(scores), 1)
@@ -159,17 +167,27 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", row_id:
     # A random clean text must lose on average, or its segments would grow with its length.
     other = -max(0.05, mean / 40, 2 * sum(p * s for s, p in seen))
     rate = _rate(seen, other)
-    model = Model(scores, other, rate, 0.0, 0.0)
+    model = Model(scores, other, rate, 0.0, 0.0, 0.0)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordScores(model.scores)
         for batch in batches:
-            x = [_figures(t, model, known)[0] for t in batch.column(0).to_pylist()]
+            x = [x if found else None for x, _, found in (_figures(t, model, known) for t in batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], ["x", "label"])
 
     held = rows.filter("fold = 0").select("text", "label").mapInArrow(measure, "x double, label int").toPandas()
-    slope, offset = _logistic(held["x"].to_numpy(), held["label"].to_numpy(), ones, zeros)
-    return Model(scores, other, rate, slope, offset)
+    # Texts without a scoring token have no segment to compare, whatever their length: their own share of label 1.
+    hit = held["x"].notna()
+    slope, offset = _logistic(held["x"][hit].to_numpy(float), held["label"][hit].to_numpy())
+    missed = held["label"][~hit]
+    none = (missed.sum() + ones / (ones + zeros)) / (len(missed) + 1)
+    return Model(scores, other, rate, slope, offset, float(none))
+
+
+def _share(ones: int, zeros: int) -> Model:
+    """Nothing tells the labels apart: every text scores the share of label 1."""
+    share = min(max(ones / (ones + zeros), 1e-6), 1 - 1e-6) if ones + zeros else 0.5
+    return Model({}, -1.0, 0.0, 0.0, 0.0, share)
 
 
 def _rate(seen: list[tuple[float, float]], other: float) -> float:
@@ -185,10 +203,11 @@ def _rate(seen: list[tuple[float, float]], other: float) -> float:
     return high
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ones: int, zeros: int) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve, by short Newton steps; a ridge keeps separable rows from driving it apart."""
+    flat = 0.0, math.log((y.sum() + 1) / ((1 - y).sum() + 1))
     if not len(x) or x.std() == 0:
-        return 0.0, math.log((ones + 1) / (zeros + 1))
+        return flat
     x, y = np.append(x, [x.mean()] * 2), np.append(y, [0, 1])
     middle, width = x.mean(), x.std()
     z = np.stack([(x - middle) / width, np.ones(len(x))], axis=1)
@@ -200,6 +219,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ones: int, zeros: int) -> tuple[floa
         beta += step
         if abs(step).max() < 1e-9:
             break
+    if beta[0] <= 0:
+        # A worse passage never makes a text less likely toxic.
+        return flat
     return float(beta[0] / width), float(beta[1] - beta[0] * middle / width)
 
 
@@ -222,7 +244,8 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             for part in slices(batch, place):
                 found = [_figures(t or "", model, known) for t in part.column(place).to_pylist()]
-                chance = [1 / (1 + math.exp(-max(-700.0, min(700.0, model.slope * x + model.offset)))) for x, _, _ in found]
+                curve = lambda x: 1 / (1 + math.exp(-max(-700.0, min(700.0, model.slope * x + model.offset))))
+                chance = [curve(x) if f else model.none for x, _, f in found]
                 runs = [
                     [{"first": a, "last": b, "score": s, "expected": (n + 1) * math.exp(-model.rate * s)} for a, b, s in f]
                     for _, n, f in found
