@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relaykit.llm.common import cut
+from relaykit.llm.common import cut, stored
 
 # Kinds in order, and their base patterns. Possessive repeats and starts at the first character of a
 # run give the same leftmost matches as the plain patterns, without backtracking over long runs.
@@ -32,23 +32,33 @@ WIDER = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}+ ?(?:\(dot\)|\[dot\]) ?[A-Za-z]{2,24}+",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
     "id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9_-])(?=[0-9_-]*+[A-Za-z])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{20,}+",
 }
-KINDS = ("email", "ip", "card", "phone", "id")
+KINDS = ("email", "ip", "card", "phone", "id", "secret")
 # What a text must hold to be searched at all.
 HINTS = {"email": "@", "phone": "+"}
 DOMAINS = ("com", "org", "net", "edu", "gov", "io", "co", "info", "de", "fr", "es", "uk", "eu")
-CALLED = r"(?i)(?:mail|contact|write|tel|phone|call|fax|mobile|cell|card|visa|pay|host|address|ssn|social|identity)[a-z]*[^A-Za-z0-9]{0,6}$"
-UNRELATED = r"(?i)(?:version|isbn|issn|doi|order|invoice|page|section|chapter|figure|table|build|release)[a-z]*[^A-Za-z0-9]{0,6}$"
-LABELERS = ("pattern", "check", "gazetteer", "called", "unrelated")
+_PERSON = r"(?i)(?:mail|contact|write|tel|phone|call|fax|mobile|cell|card|visa|pay|host|address|ssn|social|identity)[a-z]*[^A-Za-z0-9]{0,6}$"
+_ACCESS = r"(?i)(?:token|secret|key|password|passwd|pwd|credential|bearer|auth)[a-z]*[^A-Za-z0-9]{0,6}$"
+UNRELATED = r"(?i)(?:version|isbn|issn|doi|order|invoice|page|section|chapter|figure|table|build|release|commit|sha|hash|digest|checksum|uuid)[a-z]*[^A-Za-z0-9]{0,6}$"
+# What issuers put before their secrets.
+ISSUED = r"^(?:AKIA|ASIA|gh[pousr]_|sk[-_]|pk[-_]|rk[-_]|xox[abprs]-|glpat-|AIza|ya29|eyJ)"
+# Each may vote for, against, or not; none sees whether a span is a base one.
+LABELERS = ("form", "check", "listed", "called", "unrelated")
+# How labelers are expected to vote (-1, 0, 1) on what is no personal data and what is, and how many spans that counts for.
+EXPECTED = ((0.4, 0.5, 0.1), (0.05, 0.35, 0.6))
+EXPECTED_WEIGHT = 20.0
+# Spans of each class that the pooled frequency of a feature counts for.
+SMOOTHING = 10.0
 _CHUNK = 512
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log-odds of each feature and of a span as such; spans at or above ``least`` are accepted."""
+    """Log-odds of each feature and of a span of each kind; spans at or above ``least`` are accepted."""
 
     features: dict[str, float]
-    start: float
+    start: dict[str, float]
     least: float = 0.5
 
 
@@ -131,35 +141,51 @@ def of_kind(spans: Column, kind: str) -> Column:
     return F.filter(spans, lambda s: s["kind"] == kind)
 
 
-def _votes(kind: str, span: Column, base: bool) -> Column:
+def _before(kind: str, span: Column) -> tuple[Column, Column]:
+    """Whether the words before a span name its kind, and whether they name something else."""
+    return F.rlike(span["before"], F.lit(_ACCESS if kind == "secret" else _PERSON)), F.rlike(span["before"], F.lit(UNRELATED))
+
+
+def _votes(kind: str, span: Column) -> Column:
     match, digits = span["match"], _digits(span["match"])
-    vote = lambda yes, no=F.lit(False): F.when(yes, 1).when(no, -1).otherwise(0)
-    check, listed = F.lit(0), F.lit(0)
+    vote = lambda yes, no=F.lit(False): F.when(no, -1).when(yes, 1).otherwise(0)
+    fits = lambda pattern, value=match: F.rlike(value, F.lit(pattern))
+    form, check, listed = F.lit(0), F.lit(0), F.lit(0)
     if kind == "email":
+        form = vote(fits(r"^[A-Za-z0-9]"), fits(r"\.\.|^[.-]"))
+        check = vote(F.length(match).between(6, 80), F.length(match) > 254)
         listed = vote(F.lower(F.regexp_extract(match, r"([A-Za-z]+)\z", 1)).isin(*DOMAINS))
-        check = vote(F.lit(False), F.rlike(match, F.lit(r"\.\.|^\.|^-")))
     elif kind == "ip":
-        listed = vote(~F.rlike(match, F.lit(r"^(?:0|10|127|192\.168|169\.254|2[2-5][0-9])\.")), F.rlike(match, F.lit(r"^[0-3]\.[0-9]\.[0-9]\.[0-9]$")))
+        form = vote(~fits(r"(?:^|\.)0[0-9]"), fits(r"(?:^|\.)0[0-9]"))
+        listed = vote(~fits(r"^(?:0|10|127|192\.168|169\.254|2[2-5][0-9])\."), fits(r"^[0-3]\.[0-9]\.[0-9]\.[0-9]$"))
     elif kind == "card":
-        listed = vote(F.rlike(digits, F.lit(r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)")), F.rlike(digits, F.lit("^[01789]")))
-        check = vote(F.lit(True))
+        form = vote(fits(r"^(?:[0-9]{4}[ -]){3}|^[0-9]{14,19}$"))
+        check = vote(luhn(F.left(digits, F.lit(19))))
+        listed = vote(fits(r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)", digits), fits("^[01789]", digits))
     elif kind == "phone":
-        check = vote(F.rlike(match, F.lit(r"\(")), F.rlike(digits, F.lit(r"^(?:([0-9])\1+|1234567890)$")))
-        listed = vote(F.lit(base), F.rlike(digits, F.lit("^[01]")))
+        form = vote(fits(r"^\+|\("), fits(r"\.\.|--"))
+        check = vote(F.length(digits).between(10, 13), fits(r"^(?:([0-9])\1+|1234567890)$", digits))
+        listed = vote(fits(r"^(?:1?[2-9][0-9]{9}|[2-9][0-9]{9,12})$", digits), fits("^0{3}", digits))
+    elif kind == "id":
+        form = vote(F.lit(True))
+        check = vote(F.lit(False), fits("^(?:000|666|9)|^...00|0000$", digits))
     else:
-        check = vote(F.lit(False), F.rlike(digits, F.lit("^(?:000|666|9)|0000$")))
-    called, unrelated = F.rlike(span["before"], F.lit(CALLED)), F.rlike(span["before"], F.lit(UNRELATED))
-    return F.array(F.lit(1 if base else 0), check, listed, vote(called), vote(F.lit(False), unrelated))
+        form = vote(fits(r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$") | (fits("[a-z]") & fits("[A-Z]")), F.length(match) > 512)
+        check = vote(F.length(digits) * 4 >= F.length(match), fits("(.)\\1{7}") | fits("^[A-Za-z]+(?:[-_][A-Za-z]+)+[-_]?[0-9]+$"))
+        listed = vote(fits(ISSUED))
+    called, unrelated = _before(kind, span)
+    return F.array(form, check, listed, vote(called), vote(F.lit(False), unrelated))
 
 
 def _features(kind: str, span: Column) -> Column:
+    """Values of a span for the classifier; their number is fixed: 11 lengths, 21 digit counts, 32 sets of separators, 3 contexts a kind."""
     match = span["match"]
-    shape = F.regexp_replace(F.regexp_replace(F.left(match, F.lit(24)), "[0-9]+", "0"), "[A-Za-z]+", "a")
-    called, unrelated = F.rlike(span["before"], F.lit(CALLED)), F.rlike(span["before"], F.lit(UNRELATED))
+    marks = [F.when(F.rlike(match, F.lit(p)), name).otherwise("") for p, name in ((r"[ ]", "s"), (r"\.", "."), (r"[-_]", "-"), (r"[()\[\]]", "("), (r"[@+]", "@"))]
+    called, unrelated = _before(kind, span)
     parts = [
         F.concat(F.lit("length "), F.least(F.floor(F.length(match) / 4), F.lit(10))),
         F.concat(F.lit("digits "), F.least(F.length(_digits(match)), F.lit(20))),
-        F.when(F.length(shape) <= 12, F.concat(F.lit("shape "), F.regexp_replace(shape, "[._%+-]", "."))).otherwise("shape long"),
+        F.concat(F.lit("marks "), *marks),
         F.when(called, "called").when(unrelated, "unrelated").otherwise("before other"),
     ]
     return F.array(*[F.concat(F.lit(f"{kind} "), p) for p in parts])
@@ -196,7 +222,7 @@ def _described(kind: str, spans: Column, base: bool) -> Column:
         spans,
         lambda s: F.struct(
             s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), s["end"].alias("end"), F.lit(kind).alias("kind"),
-            F.lit(base).alias("base"), _votes(kind, s, base).alias("votes"), _features(kind, s).alias("features"),
+            F.lit(base).alias("base"), _votes(kind, s).alias("votes"), _features(kind, s).alias("features"),
         ),
     )
 
@@ -204,12 +230,14 @@ def _described(kind: str, spans: Column, base: bool) -> Column:
 def reliabilities(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50) -> dict[tuple[str, tuple[int, ...]], float]:
     """Probability that a span is personal data, for each kind and vote pattern, by expectation-maximisation.
 
-    A labeler's vote depends on the truth alone; its table of probabilities is shared by all kinds, the share of
-    personal data is each kind's own. It starts from the majority of votes.
+    Each labeler has a table of vote probabilities, given the truth, for each kind; so has each kind its share of
+    personal data. Tables begin as ``EXPECTED``, which keeps weighing as so many spans: what labelers disagree on
+    is settled by who agrees with the others, and the two classes cannot change places.
     """
     found = {key: min(max(0.5 + 0.2 * sum(key[1]), 0.05), 0.95) for key in counts}
+    start = {(v, y): EXPECTED_WEIGHT * EXPECTED[y][v + 1] for v in (-1, 0, 1) for y in (0, 1)}
     for _ in range(rounds):
-        vote = {(l, v, y): 0.1 for l, v, y in itertools.product(range(len(LABELERS)), (-1, 0, 1), (0, 1))}
+        vote = {(k, l, v, y): start[v, y] for k in {kind for kind, _ in counts} for l, v, y in itertools.product(range(len(LABELERS)), (-1, 0, 1), (0, 1))}
         share: dict[str, list[float]] = {}
         for (kind, votes), n in counts.items():
             p = found[kind, votes]
@@ -217,12 +245,13 @@ def reliabilities(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int =
             sums[0] += n * (1 - p)
             sums[1] += n * p
             for l, v in enumerate(votes):
-                vote[l, v, 1] += n * p
-                vote[l, v, 0] += n * (1 - p)
-        total = {(l, y): sum(vote[l, v, y] for v in (-1, 0, 1)) for l in range(len(LABELERS)) for y in (0, 1)}
+                vote[kind, l, v, 1] += n * p
+                vote[kind, l, v, 0] += n * (1 - p)
         for kind, votes in counts:
             odds = math.log(share[kind][1] / share[kind][0])
-            odds += sum(math.log(vote[l, v, 1] / total[l, 1] * total[l, 0] / vote[l, v, 0]) for l, v in enumerate(votes))
+            for l, v in enumerate(votes):
+                yes, no = (vote[kind, l, v, y] / sum(vote[kind, l, w, y] for w in (-1, 0, 1)) for y in (1, 0))
+                odds += math.log(yes / no)
             found[kind, votes] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
     return found
 
@@ -233,20 +262,23 @@ def train(spans: DataFrame) -> Model:
     # At most one row for each kind and vote pattern.
     counts = {(r["kind"], tuple(r["votes"])): r["count"] for r in each.groupBy("kind", "votes").count().collect()}
     if not counts:
-        return Model({}, -30.0)
+        return Model({}, {})
     found = reliabilities(counts)
     key = F.concat(F.col("kind"), F.lit(" "), F.array_join(F.col("votes").cast("array<string>"), " "))
     table = F.create_map(*[F.lit(x) for (k, v), p in found.items() for x in (f"{k} {' '.join(map(str, v))}", p)])
+    # The features' values are fixed by their construction, 67 a kind.
     tallied = (
-        each.select(F.element_at(table, key).alias("p"), F.explode("features").alias("feature"))
-        .groupBy("feature").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
-        # The features' values are bounded by their construction; this only guards the driver.
-        .orderBy(F.desc(F.col("yes") + F.col("no")), "feature").limit(5000).collect()
+        each.select("kind", F.element_at(table, key).alias("p"), F.explode("features").alias("feature"))
+        .groupBy("kind", "feature").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()
     )
-    yes = sum(n * found[k] for k, n in counts.items())
-    no = sum(n * (1 - found[k]) for k, n in counts.items())
-    weight = {r["feature"]: math.log((r["yes"] + 0.5) / (yes + 1)) - math.log((r["no"] + 0.5) / (no + 1)) for r in tallied}
-    return Model(weight, math.log((yes + 1) / (no + 1)))
+    yes = {kind: sum(n * found[k, v] for (k, v), n in counts.items() if k == kind) for kind in KINDS}
+    no = {kind: sum(n * (1 - found[k, v]) for (k, v), n in counts.items() if k == kind) for kind in KINDS}
+    weight = {}
+    for r in tallied:
+        # A class with few spans is drawn to the frequency in both, so a rare value alone speaks for neither.
+        usual = SMOOTHING * (r["yes"] + r["no"]) / (yes[r["kind"]] + no[r["kind"]])
+        weight[r["feature"]] = math.log((r["yes"] + usual) / (yes[r["kind"]] + SMOOTHING)) - math.log((r["no"] + usual) / (no[r["kind"]] + SMOOTHING))
+    return Model(weight, {kind: math.log((yes[kind] + 1) / (no[kind] + 1)) for kind in KINDS})
 
 
 def accepted(spans: Column, model: Model) -> Column:
@@ -254,11 +286,12 @@ def accepted(spans: Column, model: Model) -> Column:
     if not model.features:
         return F.filter(spans, lambda s: s["base"])
     table = F.create_map(*[F.lit(x) for pair in model.features.items() for x in pair])
-    bound = math.log(model.least / (1 - model.least)) - model.start
+    least = math.log(model.least / (1 - model.least))
+    bounds = F.create_map(*[F.lit(x) for kind, start in model.start.items() for x in (kind, least - start)])
 
     def good(s: Column) -> Column:
         weights = F.transform(s["features"], lambda f: F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
-        return s["base"] | (F.aggregate(weights, F.lit(0.0), lambda a, x: a + x) >= bound)
+        return s["base"] | (F.aggregate(weights, F.lit(0.0), lambda a, x: a + x) >= F.element_at(bounds, s["kind"]))
 
     return F.filter(spans, good)
 
@@ -281,23 +314,29 @@ def describe(spans: Column) -> Column:
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with every accepted span of its text replaced by its kind in brackets, such as ``[EMAIL]``.
 
-    Where spans overlap, the later one goes from the end of the earlier one. A null text stays null.
+    Where spans overlap, the later one goes from the end of the earlier one. A null text stays null. Repeated rows are
+    redacted each; an empty table gives an empty one. Rows and their candidates are written to the shared folder once,
+    as the model learns from all candidates before the first text is changed.
     """
-    model = train(cut(df.select(candidates(F.col(text)).alias("spans"))))
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    searched = stored(df.select(own, candidates(F.col(f"`{text}`")).alias("spans")))
+    model = train(searched.select("spans"))
+    body = F.col("row")[text]
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(state: Column, s: Column) -> Column:
         mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        plain = F.substring(F.col(text), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        plain = F.substring(body, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
         return F.struct(
             F.greatest(s["end"], state["at"]).alias("at"),
             F.concat(state["parts"], F.array(plain, F.when(s["end"] > state["at"], mark).otherwise(""))).alias("parts"),
         )
 
     def rest(state: Column) -> Column:
-        return F.concat(F.array_join(state["parts"], ""), F.substring(F.col(text), state["at"] + 1, F.length(text)))
+        return F.concat(F.array_join(state["parts"], ""), F.substring(body, state["at"] + 1, F.length(body)))
 
     def replaced(spans: Column) -> Column:
-        return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(F.col(text))
+        return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(body)
 
-    return df.withColumn(text, _once(accepted(candidates(F.col(text)), model), replaced))
+    clean = _once(accepted(F.col("spans"), model), replaced)
+    return searched.select(*[clean.alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns])
