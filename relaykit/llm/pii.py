@@ -10,7 +10,6 @@ vote patterns and features reach the driver.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -46,7 +45,11 @@ ISSUED = r"^(?:AKIA|ASIA|gh[pousr]_|sk[-_]|pk[-_]|rk[-_]|xox[abprs]-|glpat-|AIza
 # Each may vote for, against, or not; none sees whether a span is a base one.
 LABELERS = ("form", "check", "listed", "called", "unrelated")
 # How labelers are expected to vote (-1, 0, 1) on what is no personal data and what is, and how many spans that counts for.
-EXPECTED = ((0.4, 0.5, 0.1), (0.05, 0.35, 0.6))
+# Form and check are common in other numbers as well; what is said before a span tells most.
+EXPECTED = {
+    "form": ((0.2, 0.4, 0.4), (0.05, 0.35, 0.6)), "check": ((0.2, 0.4, 0.4), (0.05, 0.35, 0.6)), "listed": ((0.4, 0.5, 0.1), (0.05, 0.35, 0.6)),
+    "called": ((0.02, 0.93, 0.05), (0.02, 0.58, 0.4)), "unrelated": ((0.5, 0.48, 0.02), (0.03, 0.95, 0.02)),
+}
 EXPECTED_WEIGHT = 20.0
 # Spans of each class that the pooled frequency of a feature counts for.
 SMOOTHING = 10.0
@@ -234,10 +237,13 @@ def reliabilities(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int =
     personal data. Tables begin as ``EXPECTED``, which keeps weighing as so many spans: what labelers disagree on
     is settled by who agrees with the others, and the two classes cannot change places.
     """
-    found = {key: min(max(0.5 + 0.2 * sum(key[1]), 0.05), 0.95) for key in counts}
-    start = {(v, y): EXPECTED_WEIGHT * EXPECTED[y][v + 1] for v in (-1, 0, 1) for y in (0, 1)}
+    start = {(l, v, y): EXPECTED_WEIGHT * EXPECTED[name][y][v + 1] for l, name in enumerate(LABELERS) for v in (-1, 0, 1) for y in (0, 1)}
+    found = {}
+    for kind, votes in counts:
+        odds = sum(math.log(start[l, v, 1] / start[l, v, 0]) for l, v in enumerate(votes))
+        found[kind, votes] = 1 / (1 + math.exp(-odds))
     for _ in range(rounds):
-        vote = {(k, l, v, y): start[v, y] for k in {kind for kind, _ in counts} for l, v, y in itertools.product(range(len(LABELERS)), (-1, 0, 1), (0, 1))}
+        vote = {(k, *at): weight for k in {kind for kind, _ in counts} for at, weight in start.items()}
         share: dict[str, list[float]] = {}
         for (kind, votes), n in counts.items():
             p = found[kind, votes]

@@ -178,6 +178,20 @@ def test_redaction_and_wider_spans(spark):
     assert pii.find_spans(docs(spark, [])).count() == 0
 
 
+def test_secrets_are_found_and_other_runs_are_not(spark):
+    digests = [hashlib.sha1(str(n).encode()).hexdigest() for n in range(60)]
+    said = [f'the token = "{d}" is set' for d in digests[:30]] + [f"in commit {d} of the build" for d in digests[30:]]
+    got = [r["text"] for r in pii.redact(docs(spark, [*said, "a-very-long-hyphenated-name-2", "x" * 50])).orderBy("doc_id").collect()]
+    assert got[:30] == ['the token = "[SECRET]" is set'] * 30 and got[30:60] == said[30:] and got[60:] == ["a-very-long-hyphenated-name-2", "x" * 50]
+
+
+def test_redaction_keeps_other_columns(spark):
+    frame = docs(spark, ["mail a@b.de", None]).union(docs(spark, ["mail a@b.de"])).withColumn("spans", F.lit(1)).withColumn("row", F.lit("r"))
+    done = pii.redact(frame)
+    assert done.columns == frame.columns and sorted(str(r["text"]) for r in done.collect()) == ["None", "mail [EMAIL]", "mail [EMAIL]"]
+    assert {(r["spans"], r["row"]) for r in done.collect()} == {(1, "r")} and pii.redact(frame.limit(0)).count() == 0
+
+
 def test_reliabilities_follow_agreement():
     found = pii.reliabilities({("phone", (1, 1, 1, 1, 0)): 50, ("phone", (0, -1, -1, 0, -1)): 50, ("phone", (0, 1, 0, 1, 0)): 5})
     assert found["phone", (1, 1, 1, 1, 0)] > 0.9 > 0.1 > found["phone", (0, -1, -1, 0, -1)] and found["phone", (0, 1, 0, 1, 0)] > 0.5
