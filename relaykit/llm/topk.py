@@ -1,10 +1,11 @@
-"""Exact top-k by inner product: a Voronoi kNN join.
+"""Exact top-k by inner product: a Voronoi kNN join over angles.
 
-Largest inner products are turned into smallest distances: with ``M`` the largest norm of the data, a data vector
-``x`` becomes ``(x, sqrt(M^2 - |x|^2))`` and a query ``(q, 0)``; then ``|q' - x'|^2 = |q|^2 + M^2 - 2 q.x``. Queries
-and data join the cell of their nearest pivot. From small summaries of the cells (farthest query, the nearest few
-data distances) follows, for each group of queries, a distance that surely holds k neighbours; by the triangle
-inequality a data row is sent only to the groups it may matter to. Scores of the survivors are exact integers.
+Queries and data join the cell of their nearest pivot by angle; the pivots are spherical means of a bounded sample,
+and their number grows with the root of the data. Summaries of the cells (farthest query; farthest and longest data
+row, the largest few lower bounds) and the scores of each query against the sample give, for each query cell, a score
+per unit of query length that k rows surely reach. As angles obey the triangle inequality, a row at angle ``a`` from
+its pivot is at least ``gap - far - a`` from any query of a cell, so its score per unit is at most its length times the
+cosine of that. A row is sent only to groups of queries that it may matter to; scores of the survivors are exact integers.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from relaykit.llm.common import cut
 
-# Slack for rounding in the bounds; the scores themselves are exact.
+# Slack for rounding in the bounds, as a share of the longest row; the scores themselves are exact.
 SLACK = 1e-6
 # Float64 sums of integer products are exact below this.
 EXACT = 2.0**53
@@ -30,7 +31,10 @@ EXACT = 2.0**53
 class Sizes:
     """Production parameters: none of them changes the result."""
 
-    pivots: int = 64
+    # At most so many pivots; below, the root of the number of rows. Bounds what the driver holds.
+    pivots: int = 1024
+    # Rows that pivots are fitted to and that queries are scored against for a first bound.
+    sample: int = 4096
     # Groups of query cells; each holds at most so many queries, more groups are made for more queries.
     groups: int = 8
     group_queries: int = 4096
@@ -49,120 +53,201 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     lengths = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if (lengths == width).all():
-        return flat.reshape(-1, width)
+        return flat.reshape(len(lengths), width)
     out = np.zeros((len(lengths), width))
     out[np.arange(width)[None, :] < lengths[:, None]] = flat
     return out
 
 
-def _lifted(rows: np.ndarray, norm: float) -> np.ndarray:
-    rest = np.sqrt(np.maximum(norm * norm - (rows * rows).sum(axis=1), 0.0))
-    return np.hstack([rows, rest[:, None]])
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; a zero row stays zero."""
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _nearest(points: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest pivot of each point, and the distance to it."""
-    squares = (points * points).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * points @ pivots.T
-    cell = squares.argmin(axis=1)
-    return cell, np.sqrt(((points - pivots[cell]) ** 2).sum(axis=1))
+def _angles(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(points @ pivots.T, -1.0, 1.0))
 
 
-def _plan(pivots: np.ndarray, queries: pd.DataFrame, near: pd.DataFrame, k: int, sizes: Sizes) -> pd.DataFrame:
-    """One row per (query group, data cell): rows of the cell at most so far from the pivot... see ``top_k``.
+def _fit_pivots(sample: np.ndarray, number: int, rounds: int = 4) -> np.ndarray:
+    """``number`` unit vectors: farthest-first starts, then rounds of spherical means over the sample."""
+    points = np.unique(_unit(sample), axis=0)
+    points = points[points.any(axis=1)]
+    if not len(points):
+        return np.eye(1, sample.shape[1])
+    chosen, closest = [0], points @ points[0]
+    while len(chosen) < min(number, len(points)):
+        chosen.append(int(closest.argmin()))
+        closest = np.maximum(closest, points @ points[chosen[-1]])
+    pivots = points[chosen]
+    for _ in range(rounds):
+        sums = np.zeros_like(pivots)
+        np.add.at(sums, (points @ pivots.T).argmax(axis=1), points)
+        pivots = np.where(sums.any(axis=1, keepdims=True), _unit(sums), pivots)
+    return pivots
 
-    ``queries``: cell, n, far. ``near``: cell, d, the k + 1 smallest data distances of each cell (one more, as a
-    query's own row does not count). Bounded by the number of pivots, whatever the data.
+
+def _chain(cells: np.ndarray, gaps: np.ndarray) -> list[int]:
+    """Cells in an order in which each is followed by the nearest one left."""
+    left, at, out = set(cells.tolist()), int(cells[0]), []
+    while left:
+        left.discard(at)
+        out.append(at)
+        rest = np.array(sorted(left), np.int64)
+        if len(rest):
+            at = int(rest[gaps[at, rest].argmin()])
+    return out
+
+
+def _plan(pivots: np.ndarray, queries: pd.DataFrame, cells: pd.DataFrame, near: pd.DataFrame, k: int, sizes: Sizes, slack: float):
+    """Which rows of a data cell a group of queries needs, and where queries go: see ``top_k``.
+
+    ``queries``: cell, n, far, reach (a score per unit of length that k candidates of each of its queries reach).
+    ``cells``: cell, far, norm of the data. ``near``: cell, d, norm of the k + 1 data rows nearest to each pivot (one
+    more, as a query's own row does not count). Bounded by the number of pivots, whatever the data.
+    First result: group, data_cell, least (angle), enough (score per unit). Second: cell, part, parts, group.
     """
-    gaps = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-    cells, rest = near["cell"].to_numpy(np.int64), near["d"].to_numpy()
-    per_cell = {}
-    for cell, n, far in queries.itertuples(index=False):
-        reach = np.sort(far + gaps[cell, cells] + rest)
-        per_cell[int(cell)] = (int(n), far, reach[k] if len(reach) > k else np.inf)
-    # Neighbouring cells form a group: in order of distance to the first pivot.
-    order = sorted(per_cell, key=lambda c: gaps[0, c])
-    limit = max(1, min(sizes.group_queries, -(-sum(n for n, _, _ in per_cell.values()) // sizes.groups)))
-    rows, group, held = [], 0, 0
-    for cell in order:
-        n, far, reach = per_cell[cell]
+    gaps = _angles(pivots, pivots)
+    np.fill_diagonal(gaps, 0.0)
+    at, turn, length = near["cell"].to_numpy(np.int64), near["d"].to_numpy(), near["norm"].to_numpy()
+    data_cell, spread, longest = cells["cell"].to_numpy(np.int64), cells["far"].to_numpy(), cells["norm"].to_numpy()
+    facts = {}
+    for cell, n, far, reach in queries.itertuples(index=False):
+        sure = -np.sort(-length * np.cos(np.minimum(np.pi, far + gaps[cell, at] + turn)))
+        facts[int(cell)] = (int(n), far, max(reach, sure[k] if len(sure) > k else -np.inf))
+    limit = max(1, min(sizes.group_queries, -(-sum(n for n, _, _ in facts.values()) // sizes.groups)))
+    wanted, homes, group, held, members = [], [], 0, 0, []
+
+    def close(number: int) -> None:
+        """One row for each data cell that may hold something for the cells of the group."""
+        least = np.min([gaps[c, data_cell] - facts[c][1] for c in members], axis=0)
+        reach = min(facts[c][2] for c in members)
+        useful = longest * np.cos(np.clip(least - spread, 0.0, np.pi)) >= reach - slack
+        wanted.extend((number, int(c), float(x), float(reach)) for c, x in zip(data_cell[useful], least[useful]))
+
+    for cell in _chain(queries["cell"].to_numpy(np.int64), gaps):
+        n = facts[cell][0]
         if held and held + n > limit:
-            group, held = group + 1, 0
-        parts = max(1, -(-n // sizes.group_queries))
-        for part in range(parts):
-            # A data row at distance d from its pivot j is needed if gaps - far - d <= reach.
-            rows += [(group + part, cell, part, parts, j, gaps[cell, j] - far - reach) for j in range(len(pivots))]
+            close(group)
+            group, held, members = group + 1, 0, []
+        members.append(cell)
         held += n
+        parts = max(1, -(-n // sizes.group_queries))
+        homes += [(cell, part, parts, group + part) for part in range(parts)]
         if parts > 1:
-            group, held = group + parts, 0
-    return pd.DataFrame(rows, columns=["group", "cell", "part", "parts", "data_cell", "least"])
-
+            # A large cell makes several groups of its own.
+            for part in range(parts):
+                close(group + part)
+            group, held, members = group + parts, 0, []
+    if members:
+        close(group)
+    return (
+        pd.DataFrame(wanted, columns=["group", "data_cell", "least", "enough"]),
+        pd.DataFrame(homes, columns=["cell", "part", "parts", "group"]),
+    )
 
-def top_k(
-    data: DataFrame, queries: Column, k: int, row_id: str = "vec_id", vector: str = "vector", sizes: Sizes = Sizes()
-) -> DataFrame:
-    """``query_id, rank, <row_id>, score``: the ``k`` rows of largest inner product for each row of ``data`` where ``queries`` holds.
 
-    ``vector`` holds whole numbers (``scaled``). A query's own id is no candidate; ties go to the smaller id; fewer
-    candidates give fewer rows. Rows with a null id or vector take no part. An id that occurs repeatedly counts
-    once, with its largest vector. A shorter vector counts as filled with zeros. Empty tables give no rows. Other
-    columns are not read. Raises ValueError where products may leave the exact range of float64.
-    """
-    spark = data.sparkSession
-    rows = data.filter(queries | F.lit(True)).select(
-        F.col(row_id).alias("id"), F.col(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query")
-    )
-    rows = cut(rows.filter("id is not null and v is not null").groupBy("id").agg(F.max("v").alias("v"), F.max("is_query").alias("is_query")))
+def _facts(rows: DataFrame):
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    facts = rows.agg(
+    return rows.agg(
         F.max(square).alias("norm"), F.max(F.size("v")).alias("width"),
         F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("asked"),
     ).first()
-    result = f"query_id bigint, rank int, {row_id} bigint, score bigint"
-    if not facts["asked"] or facts["n"] < 2:
-        return spark.createDataFrame([], result)
-    if facts["norm"] >= EXACT:
-        raise ValueError("components are too large for exact products")
-    norm, width = float(np.sqrt(facts["norm"])), int(facts["width"])
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sizes.pivots).select("v").toArrow()
-    pivots = np.unique(_lifted(_matrix(sample.column(0).combine_chunks(), width), norm), axis=0)
+
+
+def replicate(rows: DataFrame, k: int, sizes: Sizes = Sizes()) -> tuple[DataFrame, DataFrame]:
+    """Queries (``group, block, query_id, query``) and the data that they need (``group, block, id, v``).
+
+    ``rows``: id, v, is_query, without nulls, at least one of them a query.
+    """
+    facts = _facts(rows)
+    spark, width = rows.sparkSession, facts["width"]
+    norm = float(np.sqrt(facts["norm"]))
+    slack = SLACK * (1.0 + norm)
+    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sizes.sample).select("id", "v").toArrow().combine_chunks()
+    sample_ids = drawn.column("id").to_numpy()
+    sample = _matrix(drawn.column("v").combine_chunks(), width)
+    pivots = _fit_pivots(sample, min(sizes.pivots, max(1, int(np.sqrt(facts["n"])))))
+    # At most ``sizes.sample`` rows and ``sizes.pivots`` vectors.
+    shared = spark.sparkContext.broadcast((sample_ids, sample, pivots))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            points = _matrix(batch.column(1), width)
-            cell, far = _nearest(_lifted(points, norm), pivots)
-            asked = np.hstack([points, np.zeros((len(points), 1))])
-            query_cell, query_far = _nearest(asked, pivots)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far), pa.array(query_cell.astype(np.int32)), pa.array(query_far)],
-                ["id", "v", "is_query", "cell", "d", "query_cell", "query_d"],
-            )
+        sample_ids, sample, pivots = shared.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                points, ids = _matrix(batch.column(1), width), batch.column(0).to_numpy()
+                lengths = np.linalg.norm(points, axis=1)
+                turns = _angles(_unit(points), pivots)
+                cell = turns.argmin(axis=1)
+                # Score per unit of length that k rows of the sample reach, for queries; a zero query takes any row.
+                reach = np.full(len(points), -norm)
+                asks = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False) & (lengths > 0))
+                if len(asks) and len(sample_ids) > k:
+                    scores = points[asks] @ sample.T
+                    scores[ids[asks, None] == sample_ids[None, :]] = -np.inf
+                    reach[asks] = np.maximum(-norm, -np.partition(-scores, k - 1, axis=1)[:, k - 1] / lengths[asks])
+                # No angle is known of a zero row: it may be anywhere.
+                turn = np.where(lengths > 0, turns[np.arange(len(points)), cell], np.pi)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(turn), pa.array(lengths), pa.array(reach)],
+                    ["id", "v", "is_query", "cell", "d", "norm", "reach"],
+                )
 
     placed = cut(
-        rows.mapInArrow(
-            assign, "id bigint, v array<bigint>, is_query boolean, cell int, d double, query_cell int, query_d double"
-        )
+        rows.mapInArrow(assign, "id bigint, v array<bigint>, is_query boolean, cell int, d double, norm double, reach double")
     )
     asked = placed.filter("is_query")
-    by_cell = asked.groupBy(F.col("query_cell").alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.max("query_d").alias("far"))
-    nearest = Window.partitionBy("cell").orderBy("d")
-    near = placed.select("cell", "d", F.row_number().over(nearest).alias("place")).filter(F.col("place") <= k + 1)
-    plan = _plan(pivots, by_cell.toPandas(), near.select("cell", "d").toPandas(), k, sizes)
+    by_query_cell = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far"), F.min("reach").alias("reach"))
+    by_cell = placed.groupBy("cell").agg(F.max("d").alias("far"), F.max("norm").alias("norm"))
+    # Spark keeps the first k + 1 of each cell in each task before the shuffle, so a cell with many rows is no hot window.
+    closest = Window.partitionBy("cell").orderBy("d", F.desc("norm"))
+    near = placed.select("cell", "d", "norm", F.row_number().over(closest).alias("place")).filter(F.col("place") <= k + 1)
+    wanted, homes = _plan(
+        pivots, by_query_cell.toPandas(), by_cell.toPandas(), near.select("cell", "d", "norm").toPandas(), k, sizes, slack
+    )
 
-    asked = asked.select(F.col("query_cell").alias("home"), F.col("id").alias("query_id"), F.col("v").alias("query"))
+    asked = asked.select(F.col("cell").alias("home"), F.col("id").alias("query_id"), F.col("v").alias("query"))
     blocks = int(-(-facts["n"] // sizes.block_rows))
-    # At most pivots x pivots x parts rows.
-    wanted = F.broadcast(spark.createDataFrame(plan[["group", "data_cell", "least"]].groupby(["group", "data_cell"], as_index=False).min()))
-    homes = F.broadcast(spark.createDataFrame(plan[["cell", "part", "parts", "group"]].drop_duplicates()))
-    slack = SLACK * (1.0 + norm)
+    # At most groups x pivots rows, and one row for each cell and part.
+    wanted = F.broadcast(spark.createDataFrame(wanted, "group int, data_cell int, least double, enough double"))
+    homes = F.broadcast(spark.createDataFrame(homes, "cell int, part int, parts int, group int"))
+    most = F.col("norm") * F.cos(F.greatest(F.lit(0.0), F.col("least") - F.col("d")))
     sent = (
         placed.join(wanted, F.col("cell") == F.col("data_cell"))
-        .filter(F.col("d") >= F.col("least") - slack)
+        .filter(most >= F.col("enough") - slack)
         .select("group", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "v")
     )
     asking = (
         asked.join(homes, (F.col("home") == F.col("cell")) & (F.pmod(F.xxhash64("query_id"), "parts") == F.col("part")))
         .select("group", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "query_id", "query")
     )
+    return asking, sent
+
+
+def top_k(
+    data: DataFrame, queries: Column, k: int, row_id: str = "vec_id", vector: str = "vector", sizes: Sizes = Sizes()
+) -> DataFrame:
+    """``query_id, rank, <row_id>, score``: the ``k`` rows of largest inner product for each row of ``data`` where ``queries`` holds.
+
+    ``vector`` holds whole numbers (``scaled``). A query's own id is no candidate; ties go to the smaller id; fewer
+    candidates give fewer rows. Rows with a null id or vector take no part. An id that occurs repeatedly counts
+    once, with its largest vector. A shorter vector counts as filled with zeros. Empty tables give no rows. Other
+    columns are not read. Raises ValueError where products may leave the exact range of float64.
+    """
+    spark = data.sparkSession
+    rows = data.filter(queries | F.lit(True)).select(
+        F.col(row_id).alias("id"), F.col(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query")
+    )
+    rows = cut(rows.filter("id is not null and v is not null").groupBy("id").agg(F.max("v").alias("v"), F.max("is_query").alias("is_query")))
+    facts = _facts(rows)
+    result = f"query_id bigint, rank int, {row_id} bigint, score bigint"
+    if not facts["asked"] or facts["n"] < 2:
+        return spark.createDataFrame([], result)
+    if facts["norm"] >= EXACT:
+        raise ValueError("components are too large for exact products")
+    width = facts["width"]
+    asking, sent = replicate(rows, k, sizes)
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []

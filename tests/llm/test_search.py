@@ -41,6 +41,34 @@ def test_top_k_is_exact(spark, sizes):
     assert got == want
 
 
+def test_top_k_of_clusters_zeros_and_lengths(spark):
+    chance = np.random.default_rng(5)
+    centres = chance.normal(size=(12, 8)) * 2
+    rows = [(i, (centres[i % 12] * chance.uniform(0.2, 3) + chance.normal(size=8) * 0.2).astype(np.float32).tolist(), "x") for i in range(600)]
+    # Zero queries and rows, short and empty vectors.
+    rows += [(1000 + i, [0.0] * 8, "x") for i in range(11)] + [(2000, [1.0, -1.0], "x"), (2001, [], "x")]
+    data = frame(spark, rows).select("vec_id", topk.scaled(F.col("embedding")).alias("vector"))
+    whole = {i: np.array([*np.floor(1024 * np.array(v, float)), *[0] * (8 - len(v))]) for i, v, _ in rows}
+    got = {}
+    for r in topk.top_k(data, F.col("vec_id") % 10 == 0, 4, sizes=topk.Sizes(groups=5, sample=64)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in (i for i in whole if i % 10 == 0):
+        assert got.pop(q) == sorted(((i, int(whole[q] @ v)) for i, v in whole.items() if i != q), key=lambda p: (-p[1], p[0]))[:4]
+    assert not got
+
+
+def test_bounds_of_clusters_prune(spark):
+    """Of clustered data less than a third of rows times groups is sent, though a third of all rows are copies."""
+    chance = np.random.default_rng(3)
+    centres = chance.normal(size=(40, 16))
+    rows = [(i, [int(x) for x in 1000 * (centres[i % 40] + chance.normal(size=16) * 0.05)], i % 7 == 0) for i in range(2000)]
+    rows += [(5000 + i, rows[7][1], False) for i in range(1000)]
+    asking, sent = topk.replicate(spark.createDataFrame(rows, "id long, v array<bigint>, is_query boolean"), 5)
+    groups = asking.select("group").distinct().count()
+    assert groups >= 8 and asking.select("query_id").distinct().count() == 286
+    assert sent.count() < len(rows) * groups / 3
+
+
 def test_few_or_no_candidates(spark):
     data = frame(spark, [(0, [1.0, 2.0], "x"), (1, [1.0], "x")]).select("vec_id", topk.scaled(F.col("embedding")).alias("vector"))
     assert [tuple(r) for r in topk.top_k(data, F.col("vec_id") == 0, 10).collect()] == [(0, 1, 1, 1024 * 1024)]
