@@ -23,6 +23,8 @@ from relaykit.llm.common import cut
 
 # Slack for rounding in the bounds, as a share of the longest row; the scores themselves are exact.
 SLACK = 1e-6
+# Two groups become one if together they need at most this share of what they need apart.
+SHARED = 0.75
 # Float64 sums of integer products are exact below this.
 EXACT = 2.0**53
 
@@ -103,7 +105,7 @@ def _plan(pivots: np.ndarray, queries: pd.DataFrame, cells: pd.DataFrame, near:
     """Which rows of a data cell a group of queries needs, and where queries go: see ``top_k``.
 
     ``queries``: cell, n, far, reach (a score per unit of length that k candidates of each of its queries reach).
-    ``cells``: cell, far, norm of the data. ``near``: cell, d, norm of the k + 1 data rows nearest to each pivot (one
+    ``cells``: cell, n, far, norm of the data. ``near``: cell, d, norm of the k + 1 data rows nearest to each pivot (one
     more, as a query's own row does not count). Bounded by the number of pivots, whatever the data.
     First result: group, data_cell, least (angle), enough (score per unit). Second: cell, part, parts, group.
     """
@@ -111,36 +113,46 @@ def _plan(pivots: np.ndarray, queries: pd.DataFrame, cells: pd.DataFrame, near:
     np.fill_diagonal(gaps, 0.0)
     at, turn, length = near["cell"].to_numpy(np.int64), near["d"].to_numpy(), near["norm"].to_numpy()
     data_cell, spread, longest = cells["cell"].to_numpy(np.int64), cells["far"].to_numpy(), cells["norm"].to_numpy()
+    held = cells["n"].to_numpy(np.int64)
     facts = {}
     for cell, n, far, reach in queries.itertuples(index=False):
         sure = -np.sort(-length * np.cos(np.minimum(np.pi, far + gaps[cell, at] + turn)))
         facts[int(cell)] = (int(n), far, max(reach, sure[k] if len(sure) > k else -np.inf))
     limit = max(1, min(sizes.group_queries, -(-sum(n for n, _, _ in facts.values()) // sizes.groups)))
-    wanted, homes, group, held, members = [], [], 0, 0, []
 
-    def close(number: int) -> None:
-        """One row for each data cell that may hold something for the cells of the group."""
+    def bounds(members: list[int]) -> tuple[np.ndarray, float, np.ndarray]:
+        """Least angle to each data cell, the score that is reached, and which data cells may hold something."""
         least = np.min([gaps[c, data_cell] - facts[c][1] for c in members], axis=0)
         reach = min(facts[c][2] for c in members)
-        useful = longest * np.cos(np.clip(least - spread, 0.0, np.pi)) >= reach - slack
-        wanted.extend((number, int(c), float(x), float(reach)) for c, x in zip(data_cell[useful], least[useful]))
+        return least, reach, longest * np.cos(np.clip(least - spread, 0.0, np.pi)) >= reach - slack
 
+    def asked(members: list[int]) -> int:
+        return sum(facts[c][0] for c in members)
+
+    groups: list[list[int]] = []
     for cell in _chain(queries["cell"].to_numpy(np.int64), gaps):
-        n = facts[cell][0]
-        if held and held + n > limit:
-            close(group)
-            group, held, members = group + 1, 0, []
-        members.append(cell)
-        held += n
-        parts = max(1, -(-n // sizes.group_queries))
-        homes += [(cell, part, parts, group + part) for part in range(parts)]
-        if parts > 1:
-            # A large cell makes several groups of its own.
-            for part in range(parts):
-                close(group + part)
-            group, held, members = group + parts, 0, []
-    if members:
-        close(group)
+        if groups and asked(groups[-1]) + facts[cell][0] <= limit:
+            groups[-1].append(cell)
+        else:
+            groups.append([cell])
+    # Neighbours that need mostly the same cells share one copy of them.
+    merged: list[list[int]] = []
+    for members in groups:
+        if merged and asked(merged[-1]) + asked(members) <= sizes.group_queries:
+            apart = sum(held[bounds(m)[2]].sum() for m in (merged[-1], members))
+            if held[bounds(merged[-1] + members)[2]].sum() <= SHARED * apart:
+                merged[-1] = merged[-1] + members
+                continue
+        merged.append(members)
+    wanted, homes, group = [], [], 0
+    for members in merged:
+        # A cell beyond the limit makes several groups of its own.
+        parts = max(1, -(-asked(members) // sizes.group_queries))
+        least, reach, useful = bounds(members)
+        for part in range(parts):
+            homes += [(cell, part, parts, group + part) for cell in members]
+            wanted += [(group + part, int(c), float(x), float(reach)) for c, x in zip(data_cell[useful], least[useful])]
+        group += parts
     return (
         pd.DataFrame(wanted, columns=["group", "data_cell", "least", "enough"]),
         pd.DataFrame(homes, columns=["cell", "part", "parts", "group"]),
@@ -199,7 +211,7 @@ def replicate(rows: DataFrame, k: int, sizes: Sizes = Sizes()) -> tuple[DataFram
     )
     asked = placed.filter("is_query")
     by_query_cell = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far"), F.min("reach").alias("reach"))
-    by_cell = placed.groupBy("cell").agg(F.max("d").alias("far"), F.max("norm").alias("norm"))
+    by_cell = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far"), F.max("norm").alias("norm"))
     # Spark keeps the first k + 1 of each cell in each task before the shuffle, so a cell with many rows is no hot window.
     closest = Window.partitionBy("cell").orderBy("d", F.desc("norm"))
     near = placed.select("cell", "d", "norm", F.row_number().over(closest).alias("place")).filter(F.col("place") <= k + 1)
