@@ -116,7 +116,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count_tokens(docs, RANKS, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "n_pretokens")
+    model = token_counts.estimate(docs, RANKS, public_tokenizers.PATTERN)
+    return token_counts.count_tokens(docs, model, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "n_pretokens")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

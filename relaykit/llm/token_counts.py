@@ -4,30 +4,147 @@ The best segmentation of a pre-token is a forward pass over its bytes: the price
 a shorter prefix plus that of the token between them. Distinct pre-tokens form a trie; a node's price depends on its
 prefix alone, so it is computed once, and a terminal node keeps the number of tokens. The trie is walked in byte
 order, so only the path to the current node is held.
+
+The prices are minus log probabilities of a unigram model over a given vocabulary, estimated from the corpus by
+expectation-maximisation. The trie serves that too: forward sums belong to prefixes, and the backward sums of all
+pre-tokens under a node, weighted by count and divided by their totals, add up when the walk leaves it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from relaykit.llm.bpe import _rust_spaces, read_ranks
-from relaykit.llm.common import slices
+from relaykit.llm.common import cut, slices
 
-# A price holds millionths of a nat above, the number of tokens below: of equal prices the fewer tokens win.
+# A price holds ten-thousandths of a nat above, the number of tokens below: of equal prices the fewer tokens win.
 COUNT_BITS = 24
 COUNT_MASK = (1 << COUNT_BITS) - 1
 
 
-def zipf_prices(ranks: dict[bytes, int]) -> dict[bytes, int]:
-    """Price of each token: minus the logarithm of a Zipf probability by rank, in millionths, and a count of one."""
+@dataclass(frozen=True)
+class Estimate:
+    rounds: int = 2
+    # Pseudo tokens of the prior, a Zipf law by rank: tokens that the corpus lacks keep a price.
+    prior: float = 10_000.0
+    # A worker passes its counts on when it holds so many distinct pre-tokens.
+    held: int = 200_000
+
+
+def zipf_logs(ranks: dict[bytes, int]) -> dict[bytes, float]:
+    """Logarithm of a Zipf probability by rank for each token: the prior of the model."""
     total = math.log(sum(1 / (n + 1) for n in range(len(ranks))))
-    return {t: (round((math.log(rank + 1) + total) * 1e6) << COUNT_BITS) | 1 for t, rank in ranks.items()}
+    return {t: -math.log(rank + 1) - total for t, rank in ranks.items()}
+
+
+def prices_of(logs: dict[bytes, float]) -> dict[bytes, int]:
+    """Price of each token: minus its log probability in ten-thousandths, and a count of one.
+
+    Sums of floats depend on the order of tasks in their last digits only, which rounding removes.
+    """
+    return {t: (round(-p * 1e4) << COUNT_BITS) | 1 for t, p in logs.items()}
+
+
+def _log_sum(values: list[float]) -> float:
+    most = max(values)
+    return most + math.log(sum(math.exp(v - most) for v in values)) if most > -math.inf else most
+
+
+def expected_counts(counted: Iterable[tuple[bytes, int]], logs: dict[bytes, float], longest: int) -> dict[bytes, float]:
+    """How often each token is expected in all segmentations of the pre-tokens, each weighted by its count."""
+    expected: dict[bytes, float] = defaultdict(float)
+    forward, backward, before = [0.0], [-math.inf], b""
+
+    def into(word: bytes, end: int) -> list[tuple[int, bytes, float]]:
+        """Tokens that end at ``end``. Found anew on the way back, as a long run of spaces has very many."""
+        tokens = ((start, word[start:end]) for start in range(max(0, end - longest), end))
+        return [(start, token, logs[token]) for start, token in tokens if token in logs]
+
+    def leave(depth: int) -> None:
+        """Nodes below ``depth`` have seen all their pre-tokens: pass their backward sums up."""
+        for end in range(len(forward) - 1, depth, -1):
+            forward.pop()
+            below = backward.pop()
+            for start, token, price in into(before, end):
+                mass = price + below
+                backward[start] = _log_sum([backward[start], mass])
+                expected[token] += math.exp(forward[start] + mass)
+
+    for word, n in sorted(counted):
+        shared, most = 0, min(len(word), len(before))
+        while shared < most and word[shared] == before[shared]:
+            shared += 1
+        leave(shared)
+        for end in range(shared + 1, len(word) + 1):
+            found = into(word, end)
+            if not found:
+                raise ValueError(f"the vocabulary has no token for byte {word[end - 1]}")
+            forward.append(_log_sum([forward[start] + price for start, _, price in found]))
+            backward.append(-math.inf)
+        before = word
+        backward[-1] = _log_sum([backward[-1], math.log(n) - forward[-1]])
+    leave(0)
+    return dict(expected)
+
+
+def estimate(df: DataFrame, path: str, pattern: str, text: str = "text", how: Estimate = Estimate()) -> dict[bytes, float]:
+    """Log probabilities of a unigram model over the vocabulary of ``path``, estimated on all texts of ``df``.
+
+    The corpus is read once: distinct pre-tokens are counted by task before the shuffle, and stay in Spark, ordered by
+    bytes. Each round sums expected counts by token; the driver gets one figure for each token of the vocabulary.
+    Null and empty texts count nothing, repeated rows count each; an empty table leaves the prior.
+    """
+    spark = df.sparkSession
+    ranks = read_ranks(path)
+    prior = zipf_logs(ranks)
+    longest = max(map(len, ranks))
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = regex.compile(_rust_spaces(pattern)).findall
+        counts: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pretoken", "n"])
+
+        for batch in batches:
+            for part in slices(batch, 0):
+                for body in part.column(0).to_pylist():
+                    if body:
+                        counts.update(split(body))
+                if len(counts) > how.held:
+                    yield rows()
+                    counts.clear()
+        yield rows()
+
+    counted = df.select(F.col(text).alias("text")).mapInArrow(distinct, "pretoken string, n bigint")
+    counted = counted.groupBy("pretoken").agg(F.sum("n").alias("n"))
+    counted = cut(counted.repartitionByRange(F.col("pretoken").cast("binary")).sortWithinPartitions(F.col("pretoken").cast("binary")))
+    logs = prior
+    for _ in range(how.rounds):
+        shared = spark.sparkContext.broadcast(logs)
+
+        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                found = expected_counts(((p.encode(), n) for p, n in pairs), shared.value, longest)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.float64())], ["token", "expected"]
+                )
+
+        sums = counted.mapInArrow(expect, "token binary, expected double").groupBy("token").agg(F.sum("expected").alias("expected"))
+        seen = {bytes(r["token"]): r["expected"] for r in sums.collect()}
+        total = math.log(math.fsum(seen.values()) + how.prior)
+        logs = {t: math.log(seen.get(t, 0.0) + how.prior * math.exp(p)) - total for t, p in prior.items()}
+    return logs
 
 
 def count_in_trie(pretokens: set[str], prices: dict[bytes, int], longest: int) -> dict[str, int]:
@@ -54,13 +171,15 @@ def count_in_trie(pretokens: set[str], prices: dict[bytes, int], longest: int) -
     return counts
 
 
-def count_tokens(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def count_tokens(df: DataFrame, logs: dict[bytes, float], pattern: str, text: str = "text") -> DataFrame:
     """Adds ``n_tokens`` and ``n_pretokens`` (matches of ``pattern``) to every row; a column of such a name is replaced.
 
+    ``logs``: log probability of each token, as ``estimate`` gives them.
+
     One pass without a shuffle. Null and empty texts have 0. Repeated rows are counted each; an empty table stays empty.
     """
     df = df.drop("n_tokens", "n_pretokens")
-    shared = df.sparkSession.sparkContext.broadcast(zipf_prices(read_ranks(path)))
+    shared = df.sparkSession.sparkContext.broadcast(prices_of(logs))
     place = df.columns.index(text)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

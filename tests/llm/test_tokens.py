@@ -89,13 +89,77 @@ def plain_count(word: bytes, prices: dict[bytes, int]) -> int:
     return best[-1] & token_counts.COUNT_MASK
 
 
+def plain_round(words: dict[bytes, int], logs: dict[bytes, float], prior: dict[bytes, float], weight: float) -> dict[bytes, float]:
+    """One round of expectation-maximisation, each word alone, forward and backward."""
+    add, expected = np.logaddexp, {}
+    for word, n in words.items():
+        edges = [(s, e) for e in range(1, len(word) + 1) for s in range(max(0, e - 128), e) if word[s:e] in logs]
+        ahead, back = [0.0] + [-np.inf] * len(word), [-np.inf] * len(word) + [0.0]
+        for s, e in edges:
+            ahead[e] = add(ahead[e], ahead[s] + logs[word[s:e]])
+        for s, e in sorted(edges, key=lambda x: -x[0]):
+            back[s] = add(back[s], logs[word[s:e]] + back[e])
+        for s, e in edges:
+            token = word[s:e]
+            expected[token] = expected.get(token, 0.0) + n * np.exp(ahead[s] + logs[token] + back[e] - ahead[-1])
+    total = sum(expected.values()) + weight
+    return {t: float(np.log((expected.get(t, 0.0) + weight * np.exp(p)) / total)) for t, p in prior.items()}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.text("ab", min_size=1, max_size=7).map(str.encode), st.integers(1, 9), max_size=8))
+def test_expected_counts_of_all_segmentations(words):
+    chances = {b"a": 0.3, b"b": 0.2, b"ab": 0.2, b"ba": 0.1, b"aab": 0.15, b"bb": 0.05}
+    logs = {t: float(np.log(p)) for t, p in chances.items()}
+
+    def ways(word):
+        return [[word[:n], *rest] for n in range(1, len(word) + 1) if word[:n] in chances for rest in ways(word[n:])] if word else [[]]
+
+    want = {}
+    for word, n in words.items():
+        each = [(w, np.prod([chances[t] for t in w])) for w in ways(word)]
+        for way, chance in each:
+            for token in way:
+                want[token] = want.get(token, 0.0) + n * chance / sum(c for _, c in each)
+    got = token_counts.expected_counts(words.items(), logs, 3)
+    assert {t: pytest.approx(v) for t, v in want.items()} == got
+
+
+def test_long_runs_keep_their_bytes(ranks):
+    logs = token_counts.zipf_logs(ranks)
+    words = {b" " * 30_000: 2, b"x" * 3000: 1, b" the": 5, b" then": 1}
+    found = token_counts.expected_counts(words.items(), logs, max(map(len, ranks)))
+    assert sum(len(t) * n for t, n in found.items()) == pytest.approx(sum(len(w) * n for w, n in words.items()))
+
+
+def test_query_against_plain_estimation(spark, ranks):
+    from relaykit.llm.queries import op9_token_counts
+
+    path, words = "/root/testdata/sf0.001", {}
+    texts = {r["doc_id"]: VOCABULARY.pattern.findall(r["text"] or "") for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    for found in texts.values():
+        for word in found:
+            words[word.encode()] = words.get(word.encode(), 0) + 1
+    logs = prior = token_counts.zipf_logs(ranks)
+    for _ in range(2):
+        logs = plain_round(words, logs, prior, 10_000.0)
+    prices = token_counts.prices_of(logs)
+    counts = {w: plain_count(w, prices) for w in words}
+    got = {r["doc_id"]: (r["n_tokens"], r["n_pretokens"]) for r in op9_token_counts(spark, path).collect()}
+    assert got == {i: (sum(counts[w.encode()] for w in found), len(found)) for i, found in texts.items()}
+
+
 def test_token_counts_against_each_word_alone(spark, ranks):
-    prices = token_counts.zipf_prices(ranks)
+    logs = token_counts.zipf_logs(ranks)
+    prices = token_counts.prices_of(logs)
     texts = [None, "", "the thing, the things and the thin 12  \n é", "thing " * 2000, "thing"]
     df = spark.createDataFrame([(n, t, 0) for n, t in enumerate(texts)], "doc_id int, text string, n_tokens int")
-    got = {r["doc_id"]: r for r in token_counts.count_tokens(df, PATH, PATTERN).collect()}
+    got = {r["doc_id"]: r for r in token_counts.count_tokens(df, logs, PATTERN).collect()}
     for n, text in enumerate(texts):
         words = VOCABULARY.pattern.findall(text or "")
         assert got[n]["n_pretokens"] == len(words)
         assert got[n]["n_tokens"] == sum(plain_count(w.encode(), prices) for w in words)
-    assert token_counts.count_tokens(df.limit(0), PATH, PATTERN).count() == 0
+    assert token_counts.count_tokens(df.limit(0), logs, PATTERN).count() == 0
+    assert token_counts.estimate(df.limit(0), PATH, PATTERN) == pytest.approx(logs)
+    learnt = token_counts.estimate(df, PATH, PATTERN)
+    assert learnt[b"thing"] > logs[b"thing"] and sum(np.exp(list(learnt.values()))) == pytest.approx(1)
