@@ -29,6 +29,9 @@ from relaykit.llm.common import cut, slices
 # A price holds ten-thousandths of a nat above, the number of tokens below: of equal prices the fewer tokens win.
 COUNT_BITS = 24
 COUNT_MASK = (1 << COUNT_BITS) - 1
+# Products over so many bytes stay within the range of floats: a token's chance is far above 1e-7.
+SHORT = 32
+BYTE = 10.0
 
 
 @dataclass(frozen=True)
@@ -54,13 +57,56 @@ def prices_of(logs: dict[bytes, float]) -> dict[bytes, int]:
     return {t: (round(-p * 1e4) << COUNT_BITS) | 1 for t, p in logs.items()}
 
 
+def scaled(logs: dict[bytes, float]) -> dict[bytes, float]:
+    """Probability of each token times ``BYTE`` for each of its bytes, which keeps products of short words near one."""
+    return {t: math.exp(p + len(t) * math.log(BYTE)) for t, p in logs.items() if len(t) <= SHORT}
+
+
 def _log_sum(values: list[float]) -> float:
     most = max(values)
     return most + math.log(sum(math.exp(v - most) for v in values)) if most > -math.inf else most
 
 
-def expected_counts(counted: Iterable[tuple[bytes, int]], logs: dict[bytes, float], longest: int) -> dict[bytes, float]:
-    """How often each token is expected in all segmentations of the pre-tokens, each weighted by its count."""
+def _expected_short(counted: list[tuple[bytes, int]], chances: dict[bytes, float], longest: int, expected: dict[bytes, float]) -> None:
+    """``expected_counts`` of pre-tokens of at most ``SHORT`` bytes, sorted, by plain sums of products.
+
+    Chances carry a factor for each byte; all segmentations of a pre-token share it, so it falls out of each quotient.
+    """
+    forward, backward, edges, before, get = [1.0], [0.0], [()], b"", chances.get
+    for word, n in [*counted, (b"", 0)]:
+        shared, most = 0, min(len(word), len(before))
+        while shared < most and word[shared] == before[shared]:
+            shared += 1
+        while len(forward) > shared + 1:
+            forward.pop()
+            below = backward.pop()
+            for start, token, chance in edges.pop():
+                mass = chance * below
+                backward[start] += mass
+                expected[token] += forward[start] * mass
+        for end in range(shared + 1, len(word) + 1):
+            found, total = [], 0.0
+            for start in range(max(0, end - longest), end):
+                token = word[start:end]
+                chance = get(token)
+                if chance is not None:
+                    found.append((start, token, chance))
+                    total += forward[start] * chance
+            if not found:
+                raise ValueError(f"the vocabulary has no token for byte {word[end - 1]}")
+            edges.append(found)
+            forward.append(total)
+            backward.append(0.0)
+        if n:
+            backward[-1] += n / forward[-1]
+        before = word
+
+
+def expected_counts(counted: Iterable[tuple[bytes, int]], logs: dict[bytes, float], longest: int, chances: dict[bytes, float] | None = None) -> dict[bytes, float]:
+    """How often each token is expected in all segmentations of the pre-tokens, each weighted by its count.
+
+    ``chances``: ``scaled(logs)``, where a caller keeps it. Pre-tokens of over ``SHORT`` bytes are summed by logarithms.
+    """
     expected: dict[bytes, float] = defaultdict(float)
     forward, backward, before = [0.0], [-math.inf], b""
 
@@ -79,7 +125,11 @@ def expected_counts(counted: Iterable[tuple[bytes, int]], logs: dict[bytes, floa
                 backward[start] = _log_sum([backward[start], mass])
                 expected[token] += math.exp(forward[start] + mass)
 
-    for word, n in sorted(counted):
+    words = sorted(counted)
+    _expected_short([w for w in words if len(w[0]) <= SHORT], chances or scaled(logs), longest, expected)
+    for word, n in words:
+        if len(word) <= SHORT:
+            continue
         shared, most = 0, min(len(word), len(before))
         while shared < most and word[shared] == before[shared]:
             shared += 1
@@ -133,9 +183,10 @@ def estimate(df: DataFrame, path: str, pattern: str, text: str = "text", how: Es
         shared = spark.sparkContext.broadcast(logs)
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chances = scaled(shared.value)
             for batch in batches:
                 pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                found = expected_counts(((p.encode(), n) for p, n in pairs), shared.value, longest)
+                found = expected_counts(((p.encode(), n) for p, n in pairs), shared.value, longest, chances)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.float64())], ["token", "expected"]
                 )

@@ -125,6 +125,15 @@ def test_expected_counts_of_all_segmentations(words):
     assert {t: pytest.approx(v) for t, v in want.items()} == got
 
 
+def test_long_and_short_sums_agree(ranks, monkeypatch):
+    logs, longest = token_counts.zipf_logs(ranks), max(map(len, ranks))
+    words = {w.encode(): n + 1 for n, w in enumerate(["the", "then", " thing", "\u65e5\u672c" * 5, "x" * 30, "\x00" * 32, "z" * 33, " " * 40])}
+    short = token_counts.expected_counts(words.items(), logs, longest)
+    monkeypatch.setattr(token_counts, "SHORT", 0)
+    whole = token_counts.expected_counts(words.items(), logs, longest)
+    assert short.keys() == whole.keys() and all(short[t] == pytest.approx(whole[t], rel=1e-9) for t in whole)
+
+
 def test_long_runs_keep_their_bytes(ranks):
     logs = token_counts.zipf_logs(ranks)
     words = {b" " * 30_000: 2, b"x" * 3000: 1, b" the": 5, b" then": 1}
