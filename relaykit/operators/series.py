@@ -16,12 +16,15 @@ NAMING_LABELS = ("__name__", "job", "instance", "server")
 
 def matrix_to_long(responses: DataFrame, text: str = "response") -> DataFrame:
     """``metric, job, labels, ts, value`` of every point of range-query responses (JSON text)."""
-    parsed = responses.select(F.from_json(text, MATRIX).alias("r")).select(F.explode("r.data.result").alias("s"))
-    points = parsed.select("s.metric", F.explode("s.values").alias("p"))
-    return points.select(
+    series = responses.select(F.from_json(text, MATRIX).alias("r")).select(F.inline("r.data.result"))
+    # What names a series stands in columns of its own beside ``values``: a point that carried its series would copy all points of it.
+    named = series.select(
         F.col("metric")["__name__"].alias("metric"), F.col("metric")["job"].alias("job"),
-        F.map_filter("metric", lambda k, v: ~k.isin(*NAMING_LABELS)).alias("labels"),
-        F.timestamp_seconds(F.col("p")[0].cast("bigint")).alias("ts"), F.col("p")[1].try_cast("double").alias("value"),
+        F.map_filter("metric", lambda k, v: ~k.isin(*NAMING_LABELS)).alias("labels"), "values",
+    )
+    points = named.select("metric", "job", "labels", F.explode("values").alias("p"))
+    return points.select(
+        "metric", "job", "labels", F.timestamp_seconds(F.col("p")[0].cast("bigint")).alias("ts"), F.col("p")[1].try_cast("double").alias("value")
     )
 
 

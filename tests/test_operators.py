@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +134,12 @@ def test_stock_outside_of_the_range_raises(spark):
     lines = spark.createDataFrame([(1, 1, 500, 1)], "w_id int, i_id int, ol_quantity long, supply_w_id int")
     with pytest.raises(Exception, match="out of range"):
         orders.update_stock(lines, spark.createDataFrame([(1, 1, 20)], "w_id int, i_id int, s_quantity long")).collect()
+
+
+def test_points_do_not_carry_their_series(spark):
+    """A point beside its whole series costs the square of the series' length."""
+    response = '{"data":{"result":[{"metric":{"__name__":"m","job":"j","user":"1"},"values":[["15","1"],["30","x"]]},{"metric":{"job":"j"},"values":[]},null]}}'
+    long = series.matrix_to_long(spark.createDataFrame([(response,), (None,)], "response string"))
+    assert sorted((r["metric"], r["job"], r["labels"], r["ts"].timestamp(), r["value"]) for r in long.collect()) == [("m", "j", {"user": "1"}, 15.0, 1.0), ("m", "j", {"user": "1"}, 30.0, None)]
+    carried = [re.search(r"values\S*\), \[(.*?)\]", line)[1] for line in long._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode(" in line and "values" in line]
+    assert [re.sub(r"#\d+L?", "", c) for c in carried] == ["metric, job, labels"]
