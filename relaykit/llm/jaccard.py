@@ -1,4 +1,7 @@
-"""Near copies by the exact Jaccard similarity of word shingles, found by prefix filtering.
+"""Near copies by the exact Jaccard similarity of word shingles, found by SimHash and completed by prefix filtering.
+
+First come the links of SimHash fingerprints through the anchors of a covering code (``simhash``), each confirmed by whole
+sets. Similar texts may have fingerprints further apart, so what SimHash left apart is completed by prefix filtering.
 
 The shingles of each text are put into one order that holds for all texts. Of two sets with a similarity of at
 least ``t``, the first ``n - ceil(t * n) + 1`` shingles (the prefix) of both have one in common. So texts meet at
@@ -27,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relaykit.llm import simhash
 from relaykit.llm.common import cut, slices, stored
 from relaykit.llm.components import connected_components
 
@@ -296,10 +300,22 @@ def _contracted(parts: DataFrame, links: DataFrame) -> DataFrame:
     return cut(parts.join(merged, "component", "left").select("node", F.coalesce("_lower", "component").alias("component")))
 
 
-def _connected(met: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """``node, component`` of all nodes that met others, from all links among them."""
-    pairs = met.filter("b is not null").select("a", "b").distinct()
+def _near_fingerprints(first: DataFrame) -> DataFrame:
+    """``a, b``: nodes whose SimHash fingerprints are equal or linked (``simhash.links``), enough of them to connect all such nodes."""
+    heads = cut(first.groupBy("fingerprint").agg(F.min("node").alias("head")))
+    equal = first.join(heads, "fingerprint").select("node", "head")
+    end = lambda side: heads.select(F.col("fingerprint").alias(side), F.col("head").alias(f"_{side}"))
+    linked = simhash.links(heads.select("fingerprint")).join(end("a"), "a").join(end("b"), "b").select("_a", "_b")
+    return equal.union(linked).toDF("x", "y").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _connected(close: DataFrame, met: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """``node, component`` of all nodes that met others, from all links among them; ``close`` are compared first."""
     parts = sets.select("node", F.col("node").alias("component"))
+    parts = _contracted(parts, cut(_similar(close, sets, least)))
+    # What SimHash has connected needs no other comparison.
+    end = lambda side: parts.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+    pairs = met.filter("b is not null").select("a", "b").distinct().join(end("a"), "a").join(end("b"), "b").filter("_a <> _b").select("a", "b")
     parts = _contracted(parts, cut(_similar(pairs, sets, least)))
     rest = met.filter("b is null").select("shingle", F.col("a").alias("node"), "n", "place")
     rest = stored(rest.join(sets.select("node", *_PARITY), "node"))
@@ -332,12 +348,13 @@ def deduplicate(df: DataFrame, least: Fraction = Fraction(4, 5), words: int = 5,
     """
     keys = (F.xxhash64(row_id, text).alias("_key"), F.hash(text, row_id).alias("_second_key"))
     rows = df.select(F.col(text).alias("text"), *keys)
-    marked = df.select(F.col(row_id).alias("id"), node(F.col(text), words).alias("node"), *keys)
+    marked = df.select(F.col(row_id).alias("id"), node(F.col(text), words).alias("node"), simhash.fingerprint(F.col(text), words).alias("fingerprint"), *keys)
     rank = F.struct(F.col("id").isNull(), F.col("id"), F.col("_key"), F.col("_second_key"))
-    first = cut(marked.groupBy("node").agg(F.min(rank).alias("first")))
+    first = cut(marked.groupBy("node").agg(F.min(rank).alias("first"), F.min("fingerprint").alias("fingerprint")))
+    close = cut(_near_fingerprints(first))
     met = stored(_first_pairs(_meetings(rows.select("text"), words, least), least))
-    wanted = met.select(F.col("a").alias("node")).union(met.select("b")).filter("node is not null").distinct()
-    parts = _connected(met, _sets(wanted, rows, first, words), least)
+    wanted = reduce(DataFrame.union, [pairs.select(F.col(side).alias("node")) for pairs in (met, close) for side in ("a", "b")]).filter("node is not null").distinct()
+    parts = _connected(close, met, _sets(wanted, rows, first, words), least)
     named = first.join(parts.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     chosen = named.groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first")).select("first._key", "first._second_key")
     kept = df.select("*", *keys).join(chosen, _KEYS, "left_semi")

@@ -358,3 +358,14 @@ def test_a_passage_between_many_neighbours_is_counted_before_the_shuffle(spark):
     assert [r["kept"] for r in done.orderBy("doc_id").collect()] == want
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"Aggregate\(keys=\[anchor#\d+L, window_key#\d+\], functions=\[partial_sum\(times", plan)
+
+
+def test_simhash_names_near_copies_before_prefixes_do(spark):
+    """Exact copies of words, and copies with a word more, are linked by their fingerprints; other texts are not."""
+    base = " ".join(f"w{i}" for i in range(400))
+    texts = [base, f"{base} more", " ".join(f"v{i}" for i in range(400))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    first = rows.select(jaccard.node(F.col("text"), 5).alias("node"), simhash.fingerprint(F.col("text")).alias("fingerprint"))
+    names = [r["node"] for r in rows.select("doc_id", jaccard.node(F.col("text"), 5).alias("node")).orderBy("doc_id").collect()]
+    assert [(r["a"], r["b"]) for r in jaccard._near_fingerprints(first).collect()] == [tuple(sorted(names[:2]))]
+    assert sorted(r["doc_id"] for r in jaccard.deduplicate(rows).collect()) == [0, 2]
