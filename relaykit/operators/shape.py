@@ -396,9 +396,9 @@ def _rows(docs: DataFrame, table: Table, id_col: str, doc: str) -> tuple[DataFra
     rows = docs.select(F.col(id_col).alias("_source"), F.col(doc).alias("_doc"), F.col(doc).alias("_row"))
     if table.kind in ("base", "object", "shared"):
         if table.path:
-            rows = rows.withColumn("_row", variants.get(F.col("_doc"), _steps(table.path), "variant")).filter(
-                F.col("_row").isNotNull() & ~F.is_variant_null("_row")
-            )
+            # Not by a filter: Spark would move it below the documents, which would be built once for each of its tests.
+            found = F.filter(F.array(variants.get(F.col("_doc"), _steps(table.path), "variant")), lambda row: row.isNotNull() & ~F.is_variant_null(row))
+            rows = rows.select("_source", "_doc", F.explode(found).alias("_row"))
         return rows, []
     positions = []
     for level, piece in enumerate(table.path.split("[]")[:-1]):

@@ -143,3 +143,11 @@ def test_points_do_not_carry_their_series(spark):
     assert sorted((r["metric"], r["job"], r["labels"], r["ts"].timestamp(), r["value"]) for r in long.collect()) == [("m", "j", {"user": "1"}, 15.0, 1.0), ("m", "j", {"user": "1"}, 30.0, None)]
     carried = [re.search(r"values\S*\), \[(.*?)\]", line)[1] for line in long._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode(" in line and "values" in line]
     assert [re.sub(r"#\d+L?", "", c) for c in carried] == ["metric, job, labels"]
+
+
+def test_a_normalized_object_builds_its_document_once(spark):
+    """A filter on the object would be moved below the documents, and would parse each of them again."""
+    mapping = shape.plan_tables({"box": "object", "box.a": "int32"}, "orders", {"tableOverrides": [{"path": "box", "mode": "normalize"}]})
+    rows = shape.table_rows(docs(spark, '{"box":{"a":1}}', '{"box":null}', "{}", "3", '{"box":{}}'), mapping, mapping.table("box"))
+    assert sorted((r["id"], r["box_a"]) for r in rows.collect()) == [("0", 1), ("4", None)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
