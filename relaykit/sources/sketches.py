@@ -8,9 +8,10 @@ frequent values from a frequent-items sketch (exact up to its number of tracked
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DataType, LongType, NumericType, StringType
 
@@ -68,6 +69,31 @@ def merged_statistics(parts: DataFrame, columns: Sequence[str], quantiles: Seque
     return rows.withColumn("frequent", F.slice("frequent", 1, frequent))
 
 
+def exact_quantiles(df: DataFrame, column: str, quantiles: Sequence[float], accuracy: int = 10_000) -> list[float] | None:
+    """What ``percentile`` gives for a number column, without its buffers: these hold every distinct value in one task.
+
+    Approximate quantiles on both sides of each rank bound the values that may stand there; only these are sorted, about
+    ``6 / accuracy`` of the rows and what equals them, counted by value. None without values.
+    """
+    value = F.col(f"`{column}`")
+    rows = df.select(value.alias("v")).filter("v is not null")
+    n = rows.count()
+    if not n:
+        return None
+    margin = 3 / accuracy + 2 / n
+    ends = [min(max(q + sign * margin, 0.0), 1.0) for q in quantiles for sign in (-1, 1)]
+    bounds = rows.agg(F.percentile_approx("v", ends, accuracy)).first()[0]
+    out = []
+    for q, low, high in zip(quantiles, bounds[::2], bounds[1::2]):
+        inside = rows.filter(F.col("v").between(F.lit(low), F.lit(high))).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        upto = inside.withColumn("upto", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+        at = q * (n - 1) - rows.filter(F.col("v") < F.lit(low)).count()
+        first, last = math.floor(at), math.ceil(at)
+        a, b = upto.agg(F.min(F.when(F.col("upto") > first, F.col("v"))), F.min(F.when(F.col("upto") > last, F.col("v")))).first()
+        out.append(float(a) if first == last or a == b else (last - at) * a + (at - first) * b)
+    return out
+
+
 class FileStatistics:
     """Statistics of the files under a path; a file that was read is never read again."""
 

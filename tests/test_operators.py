@@ -12,7 +12,7 @@ from relaykit.operators import catalog, integrity, orders, series, shape, valida
 from relaykit.operators.infer import document_paths
 from relaykit.operators.skew import number_in_group
 from relaykit.operators.transforms import apply_transform, cast_failures, to_decimal, to_timestamp
-from relaykit.sources import loading
+from relaykit.sources import loading, sketches
 from relaykit.sources.documents import filter_documents, sample_documents
 
 
@@ -145,6 +145,13 @@ def test_points_do_not_carry_their_series(spark):
     assert [re.sub(r"#\d+L?", "", c) for c in carried] == ["metric, job, labels"]
 
 
+def test_exact_quantiles_are_those_of_percentile(spark):
+    for n in (1, 2, 5, 4000):
+        rows = spark.range(n).selectExpr("pmod(id * 7919, 613) * 1.25D as v").union(spark.sql("select cast(null as double)"))
+        assert sketches.exact_quantiles(rows, "v", [0.0, 0.48, 0.52, 1.0], 100) == rows.selectExpr("percentile(v, array(0.0, 0.48, 0.52, 1.0))").first()[0]
+    assert sketches.exact_quantiles(rows.filter("v < 0"), "v", [0.5]) is None
+
+
 def test_a_normalized_object_builds_its_document_once(spark):
     """A filter on the object would be moved below the documents, and would parse each of them again."""
     mapping = shape.plan_tables({"box": "object", "box.a": "int32"}, "orders", {"tableOverrides": [{"path": "box", "mode": "normalize"}]})
