@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +35,11 @@ SCALAR_KINDS = {
 }
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, so that an expression grows with its parts and no faster."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def lookup(key: Column, values: dict[str, str]) -> Column:
     """Value of a small fixed table as an expression, null for an unknown key."""
     return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key)
@@ -74,9 +80,12 @@ def wrapper_label(members: Column) -> Column:
 
 def scalar_kind(value: Column) -> Column:
     """Kind of a value that is neither an object nor an array: null, bool, int32, int64, double or string."""
-    found = lookup(F.substring_index(F.schema_of_variant(value), "(", 1), SCALAR_KINDS)
-    wide = (found == "int32") & ~get(value, [], "decimal(20,0)").between(-INT32_MAX, INT32_MAX)
-    return F.when(wide, "int64").otherwise(F.coalesce(found, F.lit("string")))
+    return once(F.substring_index(F.schema_of_variant(value), "(", 1), lambda name: _kind_of(name, value))
+
+
+def _kind_of(name: Column, value: Column) -> Column:
+    narrow = get(value, [], "decimal(20,0)").between(-INT32_MAX, INT32_MAX)
+    return F.when(name == "STRING", "string").when((name == "BIGINT") & ~narrow, "int64").otherwise(F.coalesce(lookup(name, SCALAR_KINDS), F.lit("string")))
 
 
 def string_label(text: Column) -> Column:
@@ -90,15 +99,13 @@ def string_label(text: Column) -> Column:
 
 def scalar_label(value: Column) -> Column:
     """Like ``scalar_kind``, but text is split into objectId, date and string."""
-    found = scalar_kind(value)
-    return F.when(found == "string", string_label(get(value, [], "string"))).otherwise(found)
+    return once(scalar_kind(value), lambda found: F.when(found == "string", string_label(get(value, [], "string"))).otherwise(found))
 
 
 def kind(value: Column) -> Column:
     """Stored kind of any value: wrappers count as the scalar they stand for; text is always string."""
-    members = as_map(value)
-    return (
+    return once(as_map(value), lambda members: (
         F.when(members.isNotNull(), F.coalesce(wrapper_label(members), F.lit("object")))
         .when(as_array(value).isNotNull(), "array")
         .otherwise(scalar_kind(value))
-    )
+    ))

@@ -11,23 +11,6 @@ from relaykit.functions import sqltypes, variants
 
 # Order in which labels win when one path carries several; numbers are widened within their group.
 NUMERIC_LABELS = ["decimal", "double", "int64", "int32"]
-SCALAR = "scalar"  # marks a node that is closed but not yet labelled
-
-
-def document_depth(docs: DataFrame, doc: str = "doc") -> int:
-    """Deepest nesting of objects and arrays in any document, counted on the brackets outside strings."""
-    unescaped = F.regexp_replace(F.to_json(F.col(doc)), r"\\.", "")
-    brackets = F.regexp_replace(F.regexp_replace(unescaped, '"[^"]*"', ""), r"[^\[\]{}]", "")
-    steps = F.transform(F.split(brackets, ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
-    deepest = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
-        lambda acc, step: F.struct(
-            (acc["now"] + step).alias("now"), F.greatest(acc["most"], acc["now"] + step).alias("most")
-        ),
-        lambda acc: acc["most"],
-    )
-    return docs.agg(F.max(deepest)).first()[0] or 0
 
 
 def document_paths(
@@ -35,67 +18,62 @@ def document_paths(
 ) -> DataFrame:
     """One row per node: ``[id, path, label, size]``; ``size`` is the length of an array.
 
-    Each level replaces an open node by itself and its children, so the whole walk is one chain of narrow
-    generators; scalars are labelled once, at the end. Elements stand under ``path[]``; arrays inside arrays
-    are labelled but not entered. The number of levels is the depth of the documents, counted in one extra pass unless
-    ``max_depth`` gives it; a container at that depth is labelled as such and not entered. ``max_depth`` 0 or None: all.
+    Each document is walked by itself, level by level, until no node is left open, so documents are read once.
+    Elements stand under ``path[]``; arrays inside arrays are labelled but not entered. A container at ``max_depth``
+    is labelled as such and not entered. ``max_depth`` 0 or None: all levels.
     """
-    nodes = docs.select(F.col(id_col).alias("id"), F.explode(variants.as_map(F.col(doc))).alias("path", "value")).select(
-        "id", "path", F.lit(None).cast("string").alias("label"), F.lit(None).cast("int").alias("size"), "value"
+    # No document is deeper than it has brackets.
+    text = F.to_json(F.col(doc))
+    levels = F.lit(max_depth) if max_depth else F.length(text) - F.length(F.translate(text, "{[", ""))
+    start = F.struct(
+        F.transform(F.map_entries(variants.as_map(F.col(doc))), lambda e: _open(e["key"], e["value"])).alias("open"),
+        F.array().cast("array<struct<path:string,label:string,size:int>>").alias("closed"),
     )
-    for _ in range(max_depth or document_depth(docs, doc)):
-        nodes = _open_level(nodes, element_cap)
-    # What the walk left open lies at the depth bound: still a container, or a scalar.
-    container = F.when(variants.as_array(F.col("value")).isNotNull(), "array").when(variants.as_map(F.col("value")).isNotNull(), "object")
-    closed = F.coalesce(F.col("label"), container if max_depth else F.lit(None).cast("string"), F.lit(SCALAR))
-    label = F.when(closed == SCALAR, variants.scalar_label(F.col("value"))).otherwise(closed)
-    return nodes.select(F.col("id").alias(id_col), "path", label.alias("label"), "size")
-
-
-def _open_level(nodes: DataFrame, element_cap: int | None) -> DataFrame:
-    is_open = F.col("label").isNull()
-    seen = nodes.withColumns(
-        {
-            "members": F.when(is_open, variants.as_map(F.col("value"))),
-            "elements": F.when(is_open, variants.as_array(F.col("value"))),
-        }
-    ).withColumn(
-        "label",
-        F.coalesce(
-            F.col("label"),
-            F.when(F.col("elements").isNotNull(), "array")
-            .when(F.col("members").isNull(), SCALAR)
-            .otherwise(F.coalesce(variants.wrapper_label(F.col("members")), F.lit("object"))),
-        ),
+    walked = F.aggregate(
+        F.sequence(F.lit(0), F.greatest(levels, F.lit(0))), start, lambda seen, level: F.when(F.size(seen["open"]) > 0, _next_level(seen, max_depth, level, element_cap)).otherwise(seen),
+        lambda seen: seen["closed"],
     )
+    return docs.select(F.col(id_col), F.inline(walked))
 
-    def node(path: Column, label: Column, size: Column, value: Column) -> Column:
-        return F.struct(path.alias("path"), label.alias("label"), size.alias("size"), value.alias("value"))
 
-    no_label, no_size = F.lit(None).cast("string"), F.lit(None).cast("int")
-    elements = F.col("elements") if element_cap is None else F.slice("elements", 1, element_cap)
-    itself = F.array(
-        node(
-            F.col("path"), F.col("label"), F.coalesce("size", F.size("elements")),
-            F.when(F.col("label") == SCALAR, F.col("value")),
-        )
+def _open(path: Column, value: Column) -> Column:
+    return F.struct(path.alias("path"), value.alias("value"))
+
+
+def _label(n: Column, max_depth: int | None, level: Column) -> Column:
+    wrapper = variants.wrapper_label(n["members"])
+    if max_depth:
+        # A container that is not entered is not looked into either.
+        wrapper = F.when(level < max_depth, wrapper)
+    return (
+        F.when(n["members"].isNotNull(), F.coalesce(wrapper, F.lit("object")))
+        .when(n["elements"].isNotNull(), "array")
+        .otherwise(variants.scalar_label(n["value"]))
     )
-    with_children = F.when(
-        F.col("members").isNotNull() & (F.col("label") == "object"),
-        F.concat(
-            itself,
-            F.transform(
-                F.map_entries("members"),
-                lambda e: node(F.concat_ws(".", "path", e["key"]), no_label, no_size, e["value"]),
-            ),
-        ),
-    ).when(
-        F.col("elements").isNotNull() & ~F.col("path").endswith("[]"),
-        F.concat(
-            itself, F.transform(elements, lambda x: node(F.concat_ws("", "path", F.lit("[]")), no_label, no_size, x))
-        ),
+
+
+def _next_level(seen: Column, max_depth: int | None, level: Column, element_cap: int | None) -> Column:
+    """Closes all open nodes of one document and opens their children."""
+    parts = F.transform(
+        seen["open"], lambda n: F.struct(n["path"].alias("path"), n["value"].alias("value"), variants.as_map(n["value"]).alias("members"), variants.as_array(n["value"]).alias("elements"))
     )
-    return seen.select("id", F.explode(with_children.otherwise(itself)).alias("n")).select("id", "n.*")
+    labelled = F.transform(parts, lambda n: F.struct(n["path"].alias("path"), _label(n, max_depth, level).alias("label"), n["members"].alias("members"), n["elements"].alias("elements")))
+    last = F.lit(False) if not max_depth else level >= max_depth
+
+    def children(n: Column) -> Column:
+        elements = n["elements"] if element_cap is None else F.slice(n["elements"], 1, element_cap)
+        return (
+            F.when(~last & (n["label"] == "object"), F.transform(F.map_entries(n["members"]), lambda e: _open(F.concat_ws(".", n["path"], e["key"]), e["value"])))
+            .when(~last & n["elements"].isNotNull() & ~n["path"].endswith("[]"), F.transform(elements, lambda x: _open(F.concat(n["path"], F.lit("[]")), x)))
+            .otherwise(F.array())
+        )
+
+    def step(nodes: Column) -> Column:
+        found = F.transform(nodes, lambda n: F.struct(n["path"].alias("path"), n["label"].alias("label"), F.when(~last, F.size(n["elements"])).alias("size")))
+        below = F.flatten(F.transform(nodes, children))
+        return F.struct(below.alias("open"), F.concat(seen["closed"], found).alias("closed"))
+
+    return variants.once(labelled, step)
 
 
 def _per_document(nodes: DataFrame, id_col: str, *keys: str, **counts: Column) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,11 +52,6 @@ def _names(schema: dict) -> list[str]:
     return [declared] if isinstance(declared, str) else list(declared)
 
 
-def _once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once, so that an expression grows with the schema and no faster."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _value_checks(node: Column, schema: dict, here: Column) -> Column:
     kind, text = node["kind"], node["text"] if {"pattern", "enum", "minimum"} & set(schema) else None
     tests: list[tuple[str, Column]] = []
@@ -91,8 +84,8 @@ def _node(value: Column, schema: dict) -> Column:
 
 
 def _check(value: Column, schema: dict, path: Column | None) -> Column:
-    return _once(
-        value, lambda v: F.when(v.isNull(), _none()).otherwise(_once(_node(v, schema), lambda node: _node_checks(node, schema, path)))
+    return variants.once(
+        value, lambda v: F.when(v.isNull(), _none()).otherwise(variants.once(_node(v, schema), lambda node: _node_checks(node, schema, path)))
     )
 
 
