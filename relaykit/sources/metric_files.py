@@ -15,12 +15,17 @@ import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import DateType, StructType, TimestampNTZType, TimestampType
 
+if TYPE_CHECKING:
+    from pyarrow import RecordBatch
+
 PLACE = ("scenario", "test", "instance")
 
 
@@ -41,7 +46,7 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class MetricFilesWriter(DataSourceWriter):
+class MetricFilesWriter(DataSourceArrowWriter):
     def __init__(self, folder: str, schema: StructType, overwrite: bool):
         self.folder, self.names, self.overwrite = folder, schema.names, overwrite
         self.staging = f"_staging-{uuid.uuid4().hex}"
@@ -49,7 +54,7 @@ class MetricFilesWriter(DataSourceWriter):
         if missing:
             raise ValueError(f"metrics need the columns {missing}")
 
-    def write(self, rows: Iterator[Row]) -> Written:
+    def write(self, batches: Iterator[RecordBatch]) -> Written:
         system, root = _open(self.folder)
         stage = f"{self.staging}/{uuid.uuid4().hex}"
         system.create_dir(posixpath.join(root, stage), recursive=True)
@@ -57,20 +62,24 @@ class MetricFilesWriter(DataSourceWriter):
         files: list[tuple[str, str]] = []
         seen: set[str] = set()
         place, out = None, None
-        for row in rows:
-            now = f"{row['scenario']}/test{row['test']}/{row['instance']}.csv.gz"
-            if now != place:
-                if out:
-                    out.close()
-                if now in seen or any(row[c] is None for c in PLACE):
-                    raise ValueError(f"rows of {now} must have a place, and stand together: use dealt()")
-                seen.add(now)
-                place = now
-                files.append((f"{stage}/{len(files)}", now))
-                out = io.TextIOWrapper(gzip.GzipFile(fileobj=system.open_output_stream(posixpath.join(root, files[-1][0])), mode="wb", mtime=0), "utf-8", newline="")
-                lines = csv.writer(out, lineterminator="\n")
-                lines.writerow(columns)
-            lines.writerow(["" if row[c] is None else row[c] for c in columns])
+        for batch in batches:
+            values = dict(zip(self.names, (column.to_pylist() for column in batch.columns)))
+            done = 0
+            for spot, run in groupby(zip(*[values[c] for c in PLACE])):
+                now, first = f"{spot[0]}/test{spot[1]}/{spot[2]}.csv.gz", done
+                done += sum(1 for _ in run)
+                if now != place:
+                    if out:
+                        out.close()
+                    if now in seen or None in spot:
+                        raise ValueError(f"rows of {now} must have a place, and stand together: use dealt()")
+                    seen.add(now)
+                    place = now
+                    files.append((f"{stage}/{len(files)}", now))
+                    out = io.TextIOWrapper(gzip.GzipFile(fileobj=system.open_output_stream(posixpath.join(root, files[-1][0])), mode="wb", compresslevel=6, mtime=0), "utf-8", newline="")
+                    lines = csv.writer(out, lineterminator="\n")
+                    lines.writerow(columns)
+                lines.writerows(zip(*[values[c][first:done] for c in columns]) if columns else [()] * (done - first))
         if out:
             out.close()
         return Written(files)

@@ -158,3 +158,13 @@ def test_a_normalized_object_builds_its_document_once(spark):
     rows = shape.table_rows(docs(spark, '{"box":{"a":1}}', '{"box":null}', "{}", "3", '{"box":{}}'), mapping, mapping.table("box"))
     assert sorted((r["id"], r["box_a"]) for r in rows.collect()) == [("0", 1), ("4", None)]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_paths_read_documents_once_and_at_any_depth(spark):
+    """No pass over the documents counts their depth; brackets inside strings and mixed elements do not mislead the walk."""
+    deep = '{"a":[{"b":{"c":{"d":{"e":{"f":[{"g":"]}"},5]}}}}}]}'
+    source, seen = docs(spark, deep), spark.sparkContext.accumulator(0)
+    counted = source.select("_id", "doc", F.udf(lambda _: seen.add(1), "int")("_id").alias("n")).select("_id", F.when(F.coalesce("n", F.lit(0)) >= 0, F.col("doc")).alias("doc"))
+    nodes = document_paths(counted)
+    assert seen.value == 0
+    assert {(r["path"], r["label"], r["size"]) for r in nodes.collect()} >= {("a", "array", 1), ("a[].b.c.d.e.f", "array", 2), ("a[].b.c.d.e.f[].g", "string", None), ("a[].b.c.d.e.f[]", "int32", None)}
