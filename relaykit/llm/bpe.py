@@ -9,7 +9,6 @@ bytes can be appended exactly, and after an edit only the entries near it are co
 from __future__ import annotations
 
 import base64
-import functools
 import re
 from array import array
 from collections.abc import Iterator
@@ -237,32 +236,20 @@ class PrefixEncoding:
         return self.vocabulary.walk_back(self.last)
 
 
-@functools.lru_cache(maxsize=2)
-def _loaded(name: str) -> list:
-    return []
-
-
-def _vocabulary(shared, pattern: str | None) -> Vocabulary:
-    """The worker's own vocabulary, built once for each broadcast and kept over its tasks."""
-    kept = _loaded(f"{shared._path if hasattr(shared, '_path') else id(shared)}:{pattern}")
-    if not kept:
-        kept.append(Vocabulary(shared.value, pattern))
-    return kept[0]
-
-
 def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """Adds ``ids`` (binary: little-endian unsigned 32-bit), ``n_tokens`` and ``decoded`` (the bytes of the ids) to every row.
 
     One pass without a shuffle; the ranks (a file of some 50,000 tokens, whatever the data) are broadcast. Null
     texts count as empty: no ids, 0 tokens. Repeated rows are encoded each; an empty table stays empty. A column
-    that already has one of the new names is replaced.
+    that already has one of the new names is replaced. What a task learns goes with it: Spark keeps more idle workers
+    than cores, and each would hold its own.
     """
     df = df.drop("ids", "n_tokens", "decoded")
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(path))
     place = df.columns.index(text)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(shared, pattern)
+        vocabulary = Vocabulary(shared.value, pattern)
         for batch in batches:
             for part in slices(batch, place):
                 ids = vocabulary.encode_all([t or "" for t in part.column(place).to_pylist()])
@@ -281,7 +268,7 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     @F.arrow_udf("binary")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary = _vocabulary(shared, None)
+        vocabulary = Vocabulary(shared.value)
         for batch in batches:
             yield pa.array([None if x is None else vocabulary.decode(x) for x in batch.to_pylist()], pa.binary())
 

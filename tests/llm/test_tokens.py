@@ -71,6 +71,24 @@ def test_documents(spark):
     assert [bytes(r["decoded"]).decode() for r in back] == [t or "" for _, t, _ in rows]
 
 
+def test_workers_keep_no_vocabulary(spark):
+    """Idle workers outnumber the cores; each held what its last task had learnt."""
+    df = spark.range(64).selectExpr("id AS doc_id", "repeat('some words ', 20) AS text").repartition(8)
+    coded = bpe.encode_documents(df, PATH, PATTERN)
+    assert bpe.decode_ids(coded.drop("decoded"), PATH).filter("decoded = text").count() == 64
+
+    def alive(batches):
+        import gc
+
+        import pyarrow as pa
+
+        n = sum(type(x).__name__ == "Vocabulary" for x in gc.get_objects())
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], ["n"])
+
+    assert df.select("doc_id").mapInArrow(alive, "n bigint").filter("n > 0").count() == 0
+
+
 def test_query_against_the_library(spark):
     from relaykit.llm.queries import op2_bpe
 
