@@ -47,6 +47,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def chunks(text: str) -> list:
+    """``text`` cut where no match of ``public_tokenizers.PATTERN`` can span: before a space, unless white space is on both
+    sides of it or it ends the text. A plain chunk stands for itself with the space before it, a tuple holds text without one.
+    """
+    found = _CUT.split(text) if _JOINED_SPACE.search(text) else text.split(" ")
+    found[0] = (found[0],)
+    return found
+
+
 class Vocabulary:
     """Ranks with what the prefix tables need: how a token splits, and which tokens may be neighbours."""
 
@@ -176,23 +185,18 @@ class Vocabulary:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Token ids of whole texts as little-endian unsigned 32-bit integers.
 
-        Each match of the pattern is encoded by itself. No match spans the border before a space, unless white space
-        is on both sides of that space or it ends the text; so texts are cut at all others, and each distinct chunk
-        is matched and encoded once. A plain chunk stands for itself with the space before it; a tuple holds text
-        without one.
+        Each match of the pattern is encoded by itself. Texts are cut by ``chunks``, and each distinct chunk is matched
+        and encoded once.
         """
         out, at = [], 0
         while at < len(texts):
             cut, size = [], 0
             while at < len(texts) and (not cut or size + len(texts[at]) <= _SLICE_CHARS):
-                text = texts[at]
-                chunks = _CUT.split(text) if _JOINED_SPACE.search(text) else text.split(" ")
-                chunks[0] = (chunks[0],)
-                cut.append(chunks)
-                size += len(text)
+                cut.append(chunks(texts[at]))
+                size += len(texts[at])
                 at += 1
             self._learn(set().union(*cut))
-            out += [b"".join(map(self._known.__getitem__, chunks)) for chunks in cut]
+            out += [b"".join(map(self._known.__getitem__, found)) for found in cut]
         return out
 
     def encode(self, text: str) -> bytes:

@@ -14,16 +14,18 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from relaykit.llm.bpe import _rust_spaces, read_ranks
+from relaykit.llm.bpe import _rust_spaces, chunks, read_ranks
 from relaykit.llm.common import cut, slices
 
 # A price holds ten-thousandths of a nat above, the number of tokens below: of equal prices the fewer tokens win.
@@ -32,6 +34,11 @@ COUNT_MASK = (1 << COUNT_BITS) - 1
 # Products over so many bytes stay within the range of floats: a token's chance is far above 1e-7.
 SHORT = 32
 BYTE = 10.0
+# The price of no token, and so many words are walked at a time.
+FAR = 1 << 61
+WALKED = 50_000
+# A text has fewer bytes, and so fewer tokens.
+PRETOKEN = 1 << 32
 
 
 @dataclass(frozen=True)
@@ -39,7 +46,7 @@ class Estimate:
     rounds: int = 2
     # Pseudo tokens of the prior, a Zipf law by rank: tokens that the corpus lacks keep a price.
     prior: float = 10_000.0
-    # A worker passes its counts on when it holds so many distinct pre-tokens.
+    # A worker passes its counts on when it holds so many distinct chunks.
     held: int = 200_000
 
 
@@ -146,6 +153,21 @@ def expected_counts(counted: Iterable[tuple[bytes, int]], logs: dict[bytes, floa
     return dict(expected)
 
 
+def _cutter(pattern: str) -> tuple[Callable[[str], list], Callable[[object], list[str]]]:
+    """How texts are cut into chunks that come again, and the pre-tokens of a chunk. Another pattern leaves texts whole."""
+    find = regex.compile(_rust_spaces(pattern)).findall
+    if pattern != public_tokenizers.PATTERN:
+        return lambda text: [(text,)], lambda chunk: find(chunk[0])
+
+    def pretokens(chunk: object) -> list[str]:
+        if type(chunk) is not str:
+            return find(chunk[0])
+        # A space with letters is one match.
+        return [" " + chunk] if chunk.isascii() and chunk.isalpha() else find(" " + chunk)
+
+    return chunks, pretokens
+
+
 def estimate(df: DataFrame, path: str, pattern: str, text: str = "text", how: Estimate = Estimate()) -> dict[bytes, float]:
     """Log probabilities of a unigram model over the vocabulary of ``path``, estimated on all texts of ``df``.
 
@@ -159,20 +181,24 @@ def estimate(df: DataFrame, path: str, pattern: str, text: str = "text", how: Es
     longest = max(map(len, ranks))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(_rust_spaces(pattern)).findall
-        counts: Counter = Counter()
+        cut_up, pretokens = _cutter(pattern)
+        found: Counter = Counter()
 
         def rows() -> pa.RecordBatch:
+            counts: dict[str, int] = defaultdict(int)
+            for chunk, n in found.items():
+                for pretoken in pretokens(chunk):
+                    counts[pretoken] += n
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pretoken", "n"])
 
         for batch in batches:
             for part in slices(batch, 0):
                 for body in part.column(0).to_pylist():
                     if body:
-                        counts.update(split(body))
-                if len(counts) > how.held:
+                        found.update(cut_up(body))
+                if len(found) > how.held:
                     yield rows()
-                    counts.clear()
+                    found.clear()
         yield rows()
 
     counted = df.select(F.col(text).alias("text")).mapInArrow(distinct, "pretoken string, n bigint")
@@ -222,6 +248,77 @@ def count_in_trie(pretokens: set[str], prices: dict[bytes, int], longest: int) -
     return counts
 
 
+def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of words of at most ``SHORT`` bytes, filled up with zeros, and their lengths."""
+    return np.frombuffer(b"".join(w.ljust(SHORT, b"\0") for w in words), np.uint8).reshape(-1, SHORT), np.array([len(w) for w in words], np.int64)
+
+
+class Suffixes:
+    """The tokens of at most ``SHORT`` bytes as a trie that is read from their ends.
+
+    Its edges, by depth, are sorted keys (state above, byte); an edge's place is the state that it leads to.
+    """
+
+    def __init__(self, prices: dict[bytes, int]):
+        tokens = [t for t in prices if len(t) <= SHORT]
+        letters, lengths = _letters([t[::-1] for t in tokens])
+        price, state = np.array([prices[t] for t in tokens], np.int64), np.zeros(len(tokens), np.int64)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        for depth in range(SHORT):
+            longer = lengths > depth
+            if not longer.any():
+                break
+            letters, lengths, price, state = letters[longer], lengths[longer], price[longer], state[longer]
+            keys, state = np.unique(state << 8 | letters[:, depth], return_inverse=True)
+            ends, level = lengths == depth + 1, np.full(len(keys), FAR)
+            level[state[ends]] = price[ends]
+            self.levels.append((keys, level))
+
+    def count(self, words: list[bytes]) -> np.ndarray:
+        """Number of tokens of sorted words of at most ``SHORT`` bytes: ``count_in_trie`` for all nodes of one depth at once."""
+        letters, lengths = _letters(words)
+        # How many bytes a word shares with the one before it: so many of its nodes are done.
+        same = np.cumprod(letters[1:] == letters[:-1], axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64)
+        shared = np.concatenate([[0], np.minimum(same, np.minimum(lengths[1:], lengths[:-1]))])
+        order = np.arange(len(words))
+        path = [np.zeros(len(words), np.int64)]
+        for end in range(1, int(lengths.max()) + 1):
+            fresh = (shared < end) & (lengths >= end)
+            best = np.full(len(words), FAR)
+            at = np.flatnonzero(fresh)
+            state = np.zeros(len(at), np.int64)
+            for start, (keys, price) in zip(range(end - 1, -1, -1), self.levels):
+                key = state << 8 | letters[at, start]
+                state = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                found = keys[state] == key
+                at, state = at[found], state[found]
+                if not len(at):
+                    break
+                best[at] = np.minimum(best[at], path[start][at] + price[state])
+            missing = np.flatnonzero(fresh & (best >= FAR))
+            if len(missing):
+                raise ValueError(f"the vocabulary has no token for byte {letters[missing[0], end - 1]}")
+            path.append(best[np.maximum.accumulate(np.where(fresh, order, 0))])
+        return np.stack(path)[lengths, order] & COUNT_MASK
+
+
+def count_all(pretokens: set[str], prices: dict[bytes, int], longest: int, suffixes: Suffixes) -> dict[str, int]:
+    """``count_in_trie``, with short pre-tokens counted by ``suffixes`` of the same prices."""
+    short, long = [], set()
+    for pretoken in pretokens:
+        word = pretoken.encode()
+        if len(word) <= SHORT:
+            short.append((word, pretoken))
+        else:
+            long.add(pretoken)
+    counts = count_in_trie(long, prices, longest)
+    short.sort()
+    for at in range(0, len(short), WALKED):
+        words, texts = zip(*short[at : at + WALKED])
+        counts.update(zip(texts, suffixes.count(words).tolist()))
+    return counts
+
+
 def count_tokens(df: DataFrame, logs: dict[bytes, float], pattern: str, text: str = "text") -> DataFrame:
     """Adds ``n_tokens`` and ``n_pretokens`` (matches of ``pattern``) to every row; a column of such a name is replaced.
 
@@ -236,18 +333,24 @@ def count_tokens(df: DataFrame, logs: dict[bytes, float], pattern: str, text: st
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prices = shared.value
         longest = max(map(len, prices))
-        split = regex.compile(_rust_spaces(pattern)).findall
-        known: dict[str, int] = {}
+        suffixes = Suffixes(prices)
+        cut_up, pretokens = _cutter(pattern)
+        # Tokens of a chunk, and above ``PRETOKEN`` its pre-tokens.
+        known: dict = {}
         for batch in batches:
             for part in slices(batch, place, 2_000_000):
-                found = [split(t) if t else [] for t in part.column(place).to_pylist()]
+                found = [cut_up(t) if t else [] for t in part.column(place).to_pylist()]
                 # Bounded memory: what the slice does not need is forgotten once many are known.
                 needed = set().union(*found)
                 if len(known) > 500_000:
-                    known = {p: known[p] for p in needed & known.keys()}
-                known |= count_in_trie(needed - known.keys(), prices, longest)
-                tokens = pa.array([sum(map(known.__getitem__, f)) for f in found], pa.int64())
-                words = pa.array([len(f) for f in found], pa.int64())
+                    known = {c: known[c] for c in needed & known.keys()}
+                fresh = {c: pretokens(c) for c in needed - known.keys()}
+                counts = count_all(set().union(*fresh.values()), prices, longest, suffixes)
+                for chunk, parts in fresh.items():
+                    known[chunk] = sum(map(counts.__getitem__, parts)) + len(parts) * PRETOKEN
+                sums = [sum(map(known.__getitem__, f)) for f in found]
+                tokens = pa.array([n % PRETOKEN for n in sums], pa.int64())
+                words = pa.array([n // PRETOKEN for n in sums], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, tokens, words], [*part.schema.names, "n_tokens", "n_pretokens"]
                 )

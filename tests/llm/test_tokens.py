@@ -107,6 +107,30 @@ def plain_count(word: bytes, prices: dict[bytes, int]) -> int:
     return best[-1] & token_counts.COUNT_MASK
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.text(alphabet="\x00ab\xe9", min_size=1, max_size=40), max_size=12))
+def test_nodes_of_one_depth_together(words):
+    chances = {b"\x00": 0.1, b"a": 0.2, b"b": 0.1, b"ab": 0.2, b"ba": 0.1, b"bab": 0.1, b"a\x00": 0.05, "\xe9".encode(): 0.05, b"\xc3": 0.05, b"ab" * 17: 0.05}
+    prices = token_counts.prices_of({t: float(np.log(p)) for t, p in chances.items()})
+    got = token_counts.count_all(words, prices, 34, token_counts.Suffixes(prices))
+    assert got == {w: plain_count(w.encode(), prices) for w in words}
+
+
+def test_a_missing_byte_raises_at_once():
+    prices = token_counts.prices_of({b"a": -1.0, b"ab": -1.0})
+    with pytest.raises(ValueError):
+        token_counts.count_all({"ab", "abb"}, prices, 2, token_counts.Suffixes(prices))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="ab1! \xa0\n\t\r\u3000\x1c'\xe9", max_size=14))
+def test_chunks_hold_the_matches_of_the_text(text):
+    for pattern in (PATTERN, r"\w+ ?\w*"):
+        cut_up, pretokens = token_counts._cutter(pattern)
+        find = bpe.Vocabulary({}, pattern).pattern.findall
+        assert [p for chunk in cut_up(text) for p in pretokens(chunk)] == find(text)
+
+
 def plain_round(words: dict[bytes, int], logs: dict[bytes, float], prior: dict[bytes, float], weight: float) -> dict[bytes, float]:
     """One round of expectation-maximisation, each word alone, forward and backward."""
     add, expected = np.logaddexp, {}
