@@ -12,6 +12,7 @@ Where many meet at one shingle, each is compared with the first few only. Then r
 shingle are drawn, and those of other components are compared with them, until little is left or little is gained. Only
 what is not connected by then is compared pair by pair. Before whole sets are compared, 512 parities of each
 set tell how far two sets must be apart at least: their differing bits never outnumber the shingles of just one set.
+Whole sets are made again from the texts, for those alone that the parities leave in doubt.
 So a large group of near copies is connected by a few comparisons a member, and what remains gives few pairs.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import operator
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import reduce
 
@@ -29,9 +30,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from relaykit.llm import simhash
-from relaykit.llm.common import cut, slices, stored
+from relaykit.llm.common import cut, slices
 from relaykit.llm.components import connected_components
 
 # Shingles are counted by the highest bits of their hash. The counts only give the order.
@@ -182,24 +184,42 @@ def _parity(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _marks(rows: DataFrame, words: int) -> DataFrame:
+    """``id``, the name, fingerprint, size and parities of each text's set, and the keys: all in one pass by one worker a task."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                texts = part.column(1).to_pylist()
+                found = [shingles(t, words) for t in texts]
+                prints = [simhash.text_fingerprint(t, words) for t in texts]
+                parity = np.array([_parity(f) for f in found]).reshape(len(found), WORDS).T
+                columns = [pa.array([_node(f) for f in found], pa.int64()), pa.array(prints, pa.int64()), pa.array([len(f) for f in found], pa.int32()), *map(pa.array, parity)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, part.column(2), part.column(3)], names)
+
+    added = rows.sparkSession.createDataFrame([], "node bigint, fingerprint bigint, n int, " + ", ".join(f"{w} bigint" for w in _PARITY)).schema
+    kind = StructType([rows.schema["id"], *added.fields, *[rows.schema[k] for k in _KEYS]])
+    names = kind.names
+    return rows.select("id", "text", *_KEYS).mapInArrow(mark, kind)
+
+
 def _sets(nodes: DataFrame, rows: DataFrame, first: DataFrame, words: int) -> DataFrame:
-    """``node, found, n`` and parities: the whole sets of ``nodes``. ``rows`` has ``text`` and its keys, ``first`` the keys of one text of each node."""
+    """``node, found``: the whole sets of ``nodes``. ``rows`` has ``text`` and its keys, ``first`` the keys of one text of each node."""
     chosen = nodes.join(first, "node").select("node", "first._key", "first._second_key")
-    texts = rows.join(chosen, _KEYS).select("text", "node").dropDuplicates(["node"])
+    # Rows of one key lie together after the join, so copies go without another shuffle of texts.
+    texts = rows.join(chosen, _KEYS).dropDuplicates([*_KEYS, "node"]).select("text", "node")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
-                found = [shingles(t, words) for t in part.column(0).to_pylist()]
-                parity = np.array([_parity(f) for f in found]).reshape(len(found), WORDS).T
-                columns = [part.column(1), pa.array([f.tobytes() for f in found], pa.binary()), pa.array([len(f) for f in found], pa.int32()), *map(pa.array, parity)]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "found", "n", *_PARITY])
+                found = [shingles(t, words).tobytes() for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(found, pa.binary())], ["node", "found"])
 
-    return stored(texts.mapInArrow(whole, "node bigint, found binary, n int, " + ", ".join(f"{w} bigint" for w in _PARITY)))
+    return cut(texts.mapInArrow(whole, "node bigint, found binary"))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """The ``pairs`` whose whole sets are similar."""
+def _similar(pairs: DataFrame, signs: DataFrame, whole: Callable[[DataFrame], DataFrame], least: Fraction) -> DataFrame:
+    """The ``pairs`` whose whole sets are similar. ``whole`` makes the sets; only those that parities leave in doubt are made."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,15 +232,19 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
                 good.append(common * (least.numerator + least.denominator) >= least.numerator * (len(x) + len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    both = _near(pairs, sets, least).join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a")
+    near = cut(_near(pairs, signs, least))
+    if near.isEmpty():
+        return near
+    sets = whole(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
+    both = near.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(compare, "a bigint, b bigint")
+    return cut(both.mapInArrow(compare, "a bigint, b bigint"))
 
 
-def _near(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+def _near(pairs: DataFrame, signs: DataFrame, least: Fraction) -> DataFrame:
     """The ``pairs`` that parities do not rule out."""
     names = ["n", *_PARITY]
-    side = lambda key, mark: sets.select(F.col("node").alias(key), *[F.col(c).alias(f"{mark}{c}") for c in names])
+    side = lambda key, mark: signs.select(F.col("node").alias(key), *[F.col(c).alias(f"{mark}{c}") for c in names])
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(_may_agree("x", "y", least)).select("a", "b")
 
 
@@ -309,16 +333,19 @@ def _near_fingerprints(first: DataFrame) -> DataFrame:
     return equal.union(linked).toDF("x", "y").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _connected(close: DataFrame, met: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """``node, component`` of all nodes that met others, from all links among them; ``close`` are compared first."""
-    parts = sets.select("node", F.col("node").alias("component"))
-    parts = _contracted(parts, cut(_similar(close, sets, least)))
+def _connected(close: DataFrame, met: DataFrame, signs: DataFrame, whole: Callable[[DataFrame], DataFrame], least: Fraction) -> DataFrame:
+    """``node, component`` of all nodes that met others, from all links among them; ``close`` are compared first.
+
+    ``signs`` has the size and the parities of each of these nodes.
+    """
+    parts = signs.select("node", F.col("node").alias("component"))
+    parts = _contracted(parts, _similar(close, signs, whole, least))
     # What SimHash has connected needs no other comparison.
     end = lambda side: parts.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
     pairs = met.filter("b is not null").select("a", "b").distinct().join(end("a"), "a").join(end("b"), "b").filter("_a <> _b").select("a", "b")
-    parts = _contracted(parts, cut(_similar(pairs, sets, least)))
+    parts = _contracted(parts, _similar(pairs, signs, whole, least))
     rest = met.filter("b is null").select("shingle", F.col("a").alias("node"), "n", "place")
-    rest = stored(rest.join(sets.select("node", *_PARITY), "node"))
+    rest = cut(rest.join(signs.select("node", *_PARITY), "node"))
     before, turn = math.inf, 0
     while True:
         members = rest.join(parts, "node")
@@ -330,7 +357,7 @@ def _connected(close: DataFrame, met: DataFrame, sets: DataFrame, least: Fractio
             return parts
         members = members.join(sizes.select("shingle"), "shingle", "left_semi")
         draw = FEW * left["rows"] < left["pairs"] <= WORTH * before
-        links = cut(_similar(_drawn_pairs(members, turn, least) if draw else _all_pairs(members, sizes, least), sets, least))
+        links = _similar(_drawn_pairs(members, turn, least) if draw else _all_pairs(members, sizes, least), signs, whole, least)
         if not links.isEmpty():
             parts = _contracted(parts, links)
         if not draw:
@@ -347,14 +374,16 @@ def deduplicate(df: DataFrame, least: Fraction = Fraction(4, 5), words: int = 5,
     bits of hashes of both, sets by 64 bits, shingles by 64 bits.
     """
     keys = (F.xxhash64(row_id, text).alias("_key"), F.hash(text, row_id).alias("_second_key"))
-    rows = df.select(F.col(text).alias("text"), *keys)
-    marked = df.select(F.col(row_id).alias("id"), node(F.col(text), words).alias("node"), simhash.fingerprint(F.col(text), words).alias("fingerprint"), *keys)
+    rows = df.select(F.col(row_id).alias("id"), F.col(text).alias("text"), *keys)
     rank = F.struct(F.col("id").isNull(), F.col("id"), F.col("_key"), F.col("_second_key"))
-    first = cut(marked.groupBy("node").agg(F.min(rank).alias("first"), F.min("fingerprint").alias("fingerprint")))
+    # Equal sets have equal sizes and parities.
+    first = cut(_marks(rows, words).groupBy("node").agg(F.min(rank).alias("first"), *[F.min(c).alias(c) for c in ("fingerprint", "n", *_PARITY)]))
+    rows = rows.drop("id")
     close = cut(_near_fingerprints(first))
-    met = stored(_first_pairs(_meetings(rows.select("text"), words, least), least))
+    met = cut(_first_pairs(_meetings(rows.select("text"), words, least), least))
     wanted = reduce(DataFrame.union, [pairs.select(F.col(side).alias("node")) for pairs in (met, close) for side in ("a", "b")]).filter("node is not null").distinct()
-    parts = _connected(close, met, _sets(wanted, rows, first, words), least)
+    signs = cut(first.join(wanted, "node", "left_semi").select("node", "n", *_PARITY))
+    parts = _connected(close, met, signs, lambda nodes: _sets(nodes, rows, first, words), least)
     named = first.join(parts.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     chosen = named.groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first")).select("first._key", "first._second_key")
     kept = df.select("*", *keys).join(chosen, _KEYS, "left_semi")

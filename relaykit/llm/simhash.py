@@ -30,7 +30,7 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 BLOCK = 60_000
 
 
-def _fingerprint(text: str | None, words: int, seed: int) -> int:
+def text_fingerprint(text: str | None, words: int = 5, seed: int = 42) -> int:
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return 0
@@ -56,7 +56,7 @@ def fingerprint(text: Column, words: int = 5, seed: int = 42) -> Column:
     @F.arrow_udf("bigint")
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([_fingerprint(t, words, seed) for t in batch.to_pylist()], pa.int64())
+            yield pa.array([text_fingerprint(t, words, seed) for t in batch.to_pylist()], pa.int64())
 
     return hashed(text)
 

@@ -369,3 +369,33 @@ def test_simhash_names_near_copies_before_prefixes_do(spark):
     names = [r["node"] for r in rows.select("doc_id", jaccard.node(F.col("text"), 5).alias("node")).orderBy("doc_id").collect()]
     assert [(r["a"], r["b"]) for r in jaccard._near_fingerprints(first).collect()] == [tuple(sorted(names[:2]))]
     assert sorted(r["doc_id"] for r in jaccard.deduplicate(rows).collect()) == [0, 2]
+
+
+def test_one_worker_a_task_marks_texts_and_only_doubtful_ones_get_whole_sets(spark, monkeypatch):
+    base = prose(200, 1).split()
+    # Two near copies, and texts that share a passage but are far apart by their parities.
+    texts = [" ".join(base), " ".join([*base[:100], "z", *base[101:]])] + [prose(150, 1000 + n) + " " + prose(20, 77) for n in range(6)]
+    asked, whole = [], jaccard._sets
+    monkeypatch.setattr(jaccard, "_sets", lambda nodes, *rest: (asked.append(nodes.count()), whole(nodes, *rest))[1])
+    assert sorted(r["doc_id"] for r in jaccard.deduplicate(docs(spark, texts)).collect()) == [0, *range(2, 8)]
+    assert asked and max(asked) == 2
+    rows = docs(spark, texts).select(F.col("doc_id").alias("id"), "text", F.lit(1).alias("_key"), F.lit(2).alias("_second_key"))
+    marks = jaccard._marks(rows, 5)
+    plan = marks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    names = {r["doc_id"]: tuple(r)[1:] for r in rows.withColumnRenamed("id", "doc_id").select("doc_id", jaccard.node(F.col("text"), 5), simhash.fingerprint(F.col("text"))).collect()}
+    assert {r["id"]: (r["node"], r["fingerprint"]) for r in marks.collect()} == names
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    from relaykit.llm import common
+
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    left = []
+    counted = spark.range(1000).groupBy(F.col("id") % 7).count()
+    for _ in range(2):
+        before = tracker.shuffleStatuses().size()
+        rows = common.cut(counted)
+        left.append(tracker.shuffleStatuses().size() - before)
+        assert rows.count() == 7
+    assert max(left) <= 0 and spark.conf.get(common.DROP_SHUFFLES) == "false"
