@@ -188,7 +188,7 @@ FIELDS = ["click_db_1$", "click_db_2", "click_node_1", "view_db_1$", "error_node
 def m_grid(spark, sf_dir):
     points = long(spark, sf_dir).select("metric", "job", "label_key", "ts", "value")
     bounds = points.agg(F.min("ts").cast("string").alias("a"), F.max("ts").cast("string").alias("b")).first()
-    return series.regular_grid(points, ["metric", "job", "label_key"], bounds["a"], bounds["b"], seconds=3600)
+    return series.regular_grid(points, ["metric", "job", "label_key"], bounds["a"], bounds["b"])
 
 
 def monitor(spark, sf_dir):
@@ -339,9 +339,9 @@ QUERIES = {
     ),
     "m_grid": (
         m_grid,
-        POINTS + """, b AS (SELECT floor(epoch(min(ts)) / 3600)::BIGINT * 3600 AS a, floor(epoch(max(ts)) / 3600)::BIGINT * 3600 AS z FROM x),
-        k AS (SELECT DISTINCT metric, job, label_key FROM x), g AS (SELECT metric, job, label_key, unnest(range(a, z + 3600, 3600)) AS step FROM k, b),
-        p AS (SELECT metric, job, label_key, floor(epoch(ts) / 3600)::BIGINT * 3600 AS step, max_by(value, ts) AS value FROM x GROUP BY ALL)
+        POINTS + """, b AS (SELECT floor(epoch(min(ts)) / 15)::BIGINT * 15 AS a, floor(epoch(max(ts)) / 15)::BIGINT * 15 AS z FROM x),
+        k AS (SELECT DISTINCT metric, job, label_key FROM x), g AS (SELECT metric, job, label_key, unnest(range(a, z + 15, 15)) AS step FROM k, b),
+        p AS (SELECT metric, job, label_key, floor(epoch(ts) / 15)::BIGINT * 15 AS step, max_by(value, ts) AS value FROM x GROUP BY ALL)
         SELECT g.metric, g.job, g.label_key, make_timestamp(g.step * 1000000) AS ts, last_value(value IGNORE NULLS) OVER (PARTITION BY g.metric, g.job, g.label_key ORDER BY g.step) AS value
         FROM g LEFT JOIN p USING (metric, job, label_key, step)""",
     ),

@@ -168,3 +168,13 @@ def test_paths_read_documents_once_and_at_any_depth(spark):
     nodes = document_paths(counted)
     assert seen.value == 0
     assert {(r["path"], r["label"], r["size"]) for r in nodes.collect()} >= {("a", "array", 1), ("a[].b.c.d.e.f", "array", 2), ("a[].b.c.d.e.f[].g", "string", None), ("a[].b.c.d.e.f[]", "int32", None)}
+
+
+def test_the_grid_has_every_step_of_the_range_queries(spark, tmp_path):
+    """``m_grid`` fills the steps of 15 seconds that its points come in, not one step an hour."""
+    from suite.records import m_grid
+
+    events = [(1, "click", 2, "2024-01-01 23:59:31", 1.25), (2, "click", 2, "2024-01-02 00:00:50", 2.5), (3, "view", 2, "2024-01-02 00:01:00", 4.0)]
+    spark.createDataFrame(events, "event_id long, event_type string, user_id long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    by_time = sorted(((r["metric"], r["ts"], r["value"]) for r in m_grid(spark, str(tmp_path)).collect()), key=lambda r: r[:2])
+    assert [v for m, _, v in by_time if m == "click"] == [1.25] * 5 + [2.5] * 2 and [v for m, _, v in by_time if m == "view"] == [None] * 6 + [4.0]
