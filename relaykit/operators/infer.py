@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from relaykit.functions import sqltypes, variants
+from relaykit.functions import sqltypes
+from relaykit.functions.variant_arrays import LABELS, OBJECT, T_ARRAY, T_OBJECT, Run, distinct, runs
 
 # Order in which labels win when one path carries several; numbers are widened within their group.
 NUMERIC_LABELS = ["decimal", "double", "int64", "int32"]
+NODE = T.StructType([T.StructField("path", T.StringType()), T.StructField("label", T.StringType()), T.StructField("size", T.IntegerType())])
 
 
 def document_paths(
@@ -18,62 +24,71 @@ def document_paths(
 ) -> DataFrame:
     """One row per node: ``[id, path, label, size]``; ``size`` is the length of an array.
 
-    Each document is walked by itself, level by level, until no node is left open, so documents are read once.
+    Documents are read once, and all open nodes of a run of documents are closed together, level by level, until none is left.
     Elements stand under ``path[]``; arrays inside arrays are labelled but not entered. A container at ``max_depth``
     is labelled as such and not entered. ``max_depth`` 0 or None: all levels.
     """
-    # No document is deeper than it has brackets.
-    text = F.to_json(F.col(doc))
-    levels = F.lit(max_depth) if max_depth else F.length(text) - F.length(F.translate(text, "{[", ""))
-    start = F.struct(
-        F.transform(F.map_entries(variants.as_map(F.col(doc))), lambda e: _open(e["key"], e["value"])).alias("open"),
-        F.array().cast("array<struct<path:string,label:string,size:int>>").alias("closed"),
-    )
-    walked = F.aggregate(
-        F.sequence(F.lit(0), F.greatest(levels, F.lit(0))), start, lambda seen, level: F.when(F.size(seen["open"]) > 0, _next_level(seen, max_depth, level, element_cap)).otherwise(seen),
-        lambda seen: seen["closed"],
-    )
-    return docs.select(F.col(id_col), F.inline(walked))
-
-
-def _open(path: Column, value: Column) -> Column:
-    return F.struct(path.alias("path"), value.alias("value"))
-
-
-def _label(n: Column, max_depth: int | None, level: Column) -> Column:
-    wrapper = variants.wrapper_label(n["members"])
-    if max_depth:
-        # A container that is not entered is not looked into either.
-        wrapper = F.when(level < max_depth, wrapper)
-    return (
-        F.when(n["members"].isNotNull(), F.coalesce(wrapper, F.lit("object")))
-        .when(n["elements"].isNotNull(), "array")
-        .otherwise(variants.scalar_label(n["value"]))
-    )
-
-
-def _next_level(seen: Column, max_depth: int | None, level: Column, element_cap: int | None) -> Column:
-    """Closes all open nodes of one document and opens their children."""
-    parts = F.transform(
-        seen["open"], lambda n: F.struct(n["path"].alias("path"), n["value"].alias("value"), variants.as_map(n["value"]).alias("members"), variants.as_array(n["value"]).alias("elements"))
-    )
-    labelled = F.transform(parts, lambda n: F.struct(n["path"].alias("path"), _label(n, max_depth, level).alias("label"), n["members"].alias("members"), n["elements"].alias("elements")))
-    last = F.lit(False) if not max_depth else level >= max_depth
-
-    def children(n: Column) -> Column:
-        elements = n["elements"] if element_cap is None else F.slice(n["elements"], 1, element_cap)
-        return (
-            F.when(~last & (n["label"] == "object"), F.transform(F.map_entries(n["members"]), lambda e: _open(F.concat_ws(".", n["path"], e["key"]), e["value"])))
-            .when(~last & n["elements"].isNotNull() & ~n["path"].endswith("[]"), F.transform(elements, lambda x: _open(F.concat(n["path"], F.lit("[]")), x)))
-            .otherwise(F.array())
-        )
-
-    def step(nodes: Column) -> Column:
-        found = F.transform(nodes, lambda n: F.struct(n["path"].alias("path"), n["label"].alias("label"), F.when(~last, F.size(n["elements"])).alias("size")))
-        below = F.flatten(F.transform(nodes, children))
-        return F.struct(below.alias("open"), F.concat(seen["closed"], found).alias("closed"))
-
-    return variants.once(labelled, step)
+    given = docs.select(F.col(id_col), F.col(doc).alias("_doc"))
+    schema = T.StructType([given.schema.fields[0], *NODE.fields])
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            documents = batch.column(1)
+            for start, end in runs(documents):
+                ids = batch.column(0).slice(start, end - start)
+                for row, path, label, size in _nodes(Run(documents.slice(start, end - start)), max_depth, element_cap):
+                    yield pa.RecordBatch.from_arrays([ids.take(row), path, label, size], names=schema.names)
+
+    return given.mapInArrow(walked, schema)
+
+
+def _nodes(run: Run, max_depth: int | None, element_cap: int | None, most: int = 100_000) -> Iterator[tuple[pa.Array, ...]]:
+    """Nodes of all documents of a run, at most ``most`` at once: document row, path, label, size."""
+    labels = pa.array(LABELS)
+    paths: list[str] = []
+    whole: dict[str, int] = {}  # number of each path in ``paths``
+
+    def numbered(found: list[str]) -> np.ndarray:
+        for path in found:
+            if path not in whole:
+                whole[path] = len(paths)
+                paths.append(path)
+        return np.array([whole[path] for path in found], np.int64)
+
+    def inside(row: np.ndarray, path: np.ndarray, at: np.ndarray, under: bool) -> tuple[np.ndarray, ...]:
+        parent, name, child = run.members(at, row)
+        names = run.names
+        first, second, which = distinct(path[parent], name, len(names))
+        below = numbered([f"{paths[p]}.{names[n]}" if under else names[n] for p, n in zip(first.tolist(), second.tolist())])
+        return row[parent], below[which], child
+
+    roots = run.types(run.starts) == T_OBJECT
+    row = run.rows[roots]
+    todo = [(0, *inside(row, np.zeros_like(row), run.starts[roots], False))]
+    while todo:
+        level, row, path, at = todo.pop()
+        if len(at) > most:
+            todo += [(level, row[k : k + most], path[k : k + most], at[k : k + most]) for k in range(0, len(at), most)]
+            continue
+        if not len(at):
+            continue
+        last = bool(max_depth) and level >= max_depth
+        types = run.types(at)
+        label = run.scalar_labels(at, types)
+        objects, arrays = np.flatnonzero(types == T_OBJECT), np.flatnonzero(types == T_ARRAY)
+        size = np.full(len(at), -1, np.int32)
+        if not last:
+            # A container that is not entered is not looked into either.
+            label[objects] = run.wrappers(at[objects], row[objects], types[objects])[0]
+            objects = objects[label[objects] == OBJECT]
+            size[arrays] = run.sizes(at[arrays], False)
+            todo.append((level + 1, *inside(row[objects], path[objects], at[objects], True)))
+            entered = np.array([not p.endswith("[]") for p in paths], bool)
+            arrays = arrays[entered[path[arrays]]]
+            parent, _, child = run.elements(at[arrays], element_cap)
+            first, _, which = distinct(path[arrays][parent], np.zeros(len(parent), np.int64), 1)
+            todo.append((level + 1, row[arrays][parent], numbered([f"{paths[p]}[]" for p in first.tolist()])[which], child))
+        yield pa.array(row), pa.array(paths, pa.string()).take(pa.array(path)), labels.take(pa.array(label)), pa.array(size, mask=size < 0)
 
 
 def _per_document(nodes: DataFrame, id_col: str, *keys: str, **counts: Column) -> DataFrame:
