@@ -18,6 +18,9 @@ NULL, BOOL, INT32, INT64, DOUBLE, STRING, OBJECT, ARRAY, OBJECT_ID, DATE, DECIMA
 _BASIC_SHORT, _BASIC_OBJECT, _BASIC_ARRAY = 1, 2, 3
 T_INT8, T_INT16, T_INT32, T_INT64, T_DATE, T_TIMESTAMP, T_TIMESTAMP_NTZ, T_BINARY, T_STRING = 3, 4, 5, 6, 11, 12, 13, 15, 16
 T_SHORT, T_OBJECT, T_ARRAY = 64, 65, 66
+_SIZES = np.array([1, 1, 1, 2, 3, 5, 9, 9, 6, 10, 18, 5, 9, 9, 5, 0, 0, 9, 9, 9, 17, *[1] * 46])
+_NO_NAMES = b"\x01\x00\x00"
+VARIANT = pa.struct([pa.field("value", pa.binary(), False), pa.field("metadata", pa.binary(), False, {b"variant": b"true"})])
 # Days and microseconds of the years 0 to 9999, which are written with four digits.
 _DAYS, _MICROS = (-719_528, 2_932_896), (-62_167_219_200_000_000, 253_402_300_799_999_999)
 
@@ -168,6 +171,37 @@ class Run:
             found[able[fits]] = DATE
         return found
 
+    def kinds(self, at: np.ndarray, row: np.ndarray, types: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Like ``variants.kind``, and the position of the number that a wrapper holds (-1 for none)."""
+        found, inner = self.scalar_kinds(at, types), np.full(len(at), -1, np.int64)
+        some = np.flatnonzero(types == T_OBJECT)
+        if len(some):
+            found[some], inner[some] = self.wrappers(at[some], row[some], types[some])
+        return found, inner
+
+    def copies(self, at: np.ndarray, row: np.ndarray, wanted: np.ndarray) -> pa.Array:
+        """Values as documents of their own, null where not wanted."""
+        types = self.types(at)
+        length = np.where(wanted, _SIZES[types], 0)
+        text = wanted & ((types == T_SHORT) | (types == T_STRING) | (types == T_BINARY))
+        if text.any():
+            start, size = self.texts(at[text], types[text])
+            length[text] = start - at[text] + size
+        for number in (T_OBJECT, T_ARRAY):
+            some = np.flatnonzero(wanted & (types == number))
+            info, count, first = self._parts(at[some], number == T_OBJECT)
+            width, id_width = (info & 3) + 1, ((info >> 2) & 3) + 1 if number == T_OBJECT else 0
+            ends = first + count * (id_width + width)
+            length[some] = ends + width + self._number(ends, width) - at[some]
+        whole = wanted & (types >= T_OBJECT)
+        # A scalar needs no names.
+        names = pa.array([_NO_NAMES]).take(pa.array(np.zeros(len(at), np.int64), mask=whole))
+        if whole.any():
+            of = self.metadata.dictionary.take(self.metadata.indices.take(pa.array(row, mask=~whole))).cast(pa.binary())
+            names = pc.coalesce(names, of)
+        value = self.gathered(at, length).cast(pa.binary())
+        return pa.StructArray.from_arrays([value, names], fields=list(VARIANT), mask=pa.array(~wanted))
+
     def scalar_kinds(self, at: np.ndarray, types: np.ndarray) -> np.ndarray:
         """Like ``variants.scalar_kind``; objects and arrays as such."""
         found = _KINDS[types]
@@ -192,8 +226,8 @@ class Run:
         return found
 
     def wrappers(self, at: np.ndarray, row: np.ndarray, types: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Like ``variants.wrapper_label``, for all values: the label or ``OBJECT``, and the position of what is held (0 for none)."""
-        label, inner = np.full(len(at), OBJECT, np.uint8), np.zeros(len(at), np.int64)
+        """Like ``variants.wrapper_label``, for all values: the label or ``OBJECT``, and the position of the number that is held (-1 for none)."""
+        label, inner = np.full(len(at), OBJECT, np.uint8), np.full(len(at), -1, np.int64)
         some = np.flatnonzero(types == T_OBJECT)
         some = some[self.sizes(at[some], True) == 1] if len(some) else some
         if len(some):
@@ -210,7 +244,8 @@ class Run:
                 if key == "$oid" and len(which):
                     which = which[self._is_hex(*self.texts(child[which], held[which]))]
                 label[some[which]] = LABELS.index(wrapped)
-                inner[some[which]] = child[which]
+                if key.startswith("$number"):
+                    inner[some[which]] = child[which]
         return label, inner
 
 
