@@ -195,14 +195,19 @@ def shape_profile(nodes: DataFrame, id_share: float = 0.9, small_array: int = 8)
 
     Arrays with at least ``id_share`` ids become junction tables; scalar arrays of at most ``small_array`` stay JSON.
     """
-    nodes = nodes.withColumn("element", F.col("path").endswith("[]"))
-    per_path = nodes.groupBy(F.regexp_replace("path", r"\[\]$", "").alias("path")).agg(
-        F.count_if(~F.col("element") & (F.col("label") == "array")).alias("n_arrays"),
-        F.count_if(~F.col("element") & (F.col("label") == "object")).alias("n_objects"),
-        F.count_if("element").alias("n_elements"),
-        F.max(F.when(~F.col("element"), F.col("size"))).alias("max_length"),
-        F.count_if(F.col("element") & (F.col("label") == "objectId")).alias("n_ids"),
-        F.count_if(F.col("element") & (F.col("label") == "object")).alias("n_element_objects"),
+    # Nodes are counted by whole paths first: those of elements are cut for each path, not for each node.
+    counted = nodes.groupBy("path").agg(
+        *[F.count_if(F.col("label") == label).alias(label) for label in ("array", "object", "objectId")], F.count(F.lit(1)).alias("n"), F.max("size").alias("size")
+    )
+    element = F.col("path").endswith("[]")
+    total = lambda where, name: F.coalesce(F.sum(F.when(where, F.col(name))), F.lit(0))
+    per_path = counted.groupBy(F.regexp_replace("path", r"\[\]$", "").alias("path")).agg(
+        total(~element, "array").alias("n_arrays"),
+        total(~element, "object").alias("n_objects"),
+        total(element, "n").alias("n_elements"),
+        F.max(F.when(~element, F.col("size"))).alias("max_length"),
+        total(element, "objectId").alias("n_ids"),
+        total(element, "object").alias("n_element_objects"),
     )
     ids = F.col("n_ids") / F.nullif(F.col("n_elements"), F.lit(0))
     return (

@@ -90,3 +90,13 @@ def test_runs_of_any_size_give_the_same_nodes(spark, size):
             assert len(row) <= 7
             found.update(zip((row.to_numpy() + start).tolist(), path.to_pylist(), label.to_pylist()))
     assert found == {(r, p, k): n for r in range(50) for p, k, n in [("a", "array", 1), ("a[]", "int32", r + 1), ("b", "object", 1), ("b.c", "string", 1)]}
+
+
+def test_shapes_are_counted_by_whole_paths_first(spark):
+    """Nodes of elements are not renamed one by one."""
+    rows = [("a", "array", 2), ("a[]", "objectId", None), ("a[]", "object", None), ("b", "array", 0), ("c", "object", None), ("c[]", "array", 9), ("d", "string", None)]
+    profile = infer.shape_profile(spark.createDataFrame(rows, "path string, label string, size int"))
+    assert sorted((r["path"], r["n_arrays"], r["n_objects"], r["n_elements"], r["max_length"], r["id_share"], r["suggestion"]) for r in profile.collect()) == [
+        ("a", 1, 0, 2, 2, 0.5, "child_table"), ("b", 1, 0, 0, 0, None, "jsonb"), ("c", 0, 1, 1, None, 0.0, "columnize"),
+    ]
+    assert profile._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
